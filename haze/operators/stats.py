@@ -208,10 +208,11 @@ def boxplot(df: DataFrame, value: str, group: str, whisker: float = 1.5, accurac
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("fence_lo", F.col("q1") - whisker * F.col("iqr")) \
          .withColumn("fence_hi", F.col("q3") + whisker * F.col("iqr"))
-    inside = (x >= F.col("fence_lo")) & (x <= F.col("fence_hi"))
+    v = F.col("x")
+    inside = (v >= F.col("fence_lo")) & (v <= F.col("fence_hi"))
     w = df.where(x.isNotNull()).select(group, x.alias("x")).join(q.select(group, "fence_lo", "fence_hi"), group)
     w = w.groupBy(group).agg(
-        F.min(F.when(inside, x)).alias("whisker_lo"), F.max(F.when(inside, x)).alias("whisker_hi"),
+        F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
         F.count_if(~inside).alias("n_fliers"), F.count(F.lit(1)).alias("n"))
     return q.join(w, group).select(group, "n", "q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi", "n_fliers")
 
