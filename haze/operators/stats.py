@@ -130,7 +130,7 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).where(F.col(col).isNotNull()).distinct()
 
 
-def _pair_corr(a: Column, b: Column) -> Column:
+def pearson(a: Column, b: Column) -> Column:
     """Pairwise-complete Pearson r; null when either side is constant (no divide error)."""
     both = a.isNotNull() & b.isNotNull()
     aa = F.when(both, a)
@@ -147,7 +147,7 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, corr double")
-    wide = df.agg(*[_pair_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     entries = []
     for i, (a, b) in enumerate(pairs):
         entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr")))
