@@ -59,8 +59,8 @@ VIEWS: dict[str, str] = {
                value AS score
         FROM {events}""",
     "pred_reg": """
-        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice AS y,
-               l_extendedprice * 0.9e0 + l_quantity * 100 AS y_hat
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice / 1000.0e0 AS y,
+               l_extendedprice / 1000.0e0 * 0.9e0 + l_quantity / 10.0e0 AS y_hat
         FROM {lineitem}""",
 }
 
