@@ -1,0 +1,87 @@
+"""Random Fourier features (Rahimi & Recht, 2007) as a Spark ML Estimator.
+
+Spark has no kernel SVR.  An RBF kernel exp(-γ‖x-x'‖²) is approximated by
+z(x) = sqrt(2/D)·cos(Wx + b), W ~ N(0, 2γ), b ~ U(0, 2π); a linear model on
+z(x) then stands in for the kernel machine.  The projection is written as
+built-in array expressions (``zip_with`` + ``aggregate``), so it runs in
+the JVM; W and b are drawn once on the driver (D·d numbers).
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class _RffParams(Params):
+    inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "feature vector out", TypeConverters.toString)
+    numFeatures = Param(Params._dummy(), "numFeatures", "number of random features D", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "kernel width; <= 0 means 'scale' = 1/(d·Var(X))", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(inputCol="features", outputCol="rff", numFeatures=100, gamma=0.0, seed=42)
+
+
+class RandomFourierFeatures(Estimator, _RffParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, *, inputCol="features", outputCol="rff", numFeatures=100, gamma=0.0, seed=42):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def setGamma(self, value):
+        return self._set(gamma=value)
+
+    def _fit(self, df: DataFrame) -> "RandomFourierFeaturesModel":
+        col = self.getOrDefault(self.inputCol)
+        arr = vector_to_array(F.col(col))
+        d = len(df.select(col).first()[0])
+        gamma = self.getOrDefault(self.gamma)
+        if gamma <= 0:
+            # 'scale': 1 / (d · variance of all feature values), one aggregation
+            v = df.select(F.explode(arr).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
+            gamma = 1.0 / (d * v) if v > 0 else 1.0
+        rng = np.random.default_rng(self.getOrDefault(self.seed))
+        dd = self.getOrDefault(self.numFeatures)
+        w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(dd, d))
+        b = rng.uniform(0.0, 2 * math.pi, size=dd)
+        model = RandomFourierFeaturesModel(inputCol=col, outputCol=self.getOrDefault(self.outputCol),
+                                           weights=[float(x) for x in w.ravel()], offsets=[float(x) for x in b],
+                                           inputDim=d)
+        return self._copyValues(model)
+
+
+class RandomFourierFeaturesModel(Model, _RffParams, DefaultParamsReadable, DefaultParamsWritable):
+    weights = Param(Params._dummy(), "weights", "W, row-major D×d", TypeConverters.toListFloat)
+    offsets = Param(Params._dummy(), "offsets", "b, length D", TypeConverters.toListFloat)
+    inputDim = Param(Params._dummy(), "inputDim", "d", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol="features", outputCol="rff", numFeatures=100, gamma=0.0, seed=42,
+                 weights=None, offsets=None, inputDim=0):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        d = self.getOrDefault(self.inputDim)
+        w = self.getOrDefault(self.weights)
+        b = self.getOrDefault(self.offsets)
+        dd = len(b)
+        x = vector_to_array(F.col(self.getOrDefault(self.inputCol)))
+        scale = math.sqrt(2.0 / dd)
+        comps = []
+        for k in range(dd):
+            wk = F.array(*[F.lit(w[k * d + j]) for j in range(d)])
+            dot = F.aggregate(F.zip_with(x, wk, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
+            comps.append(F.lit(scale) * F.cos(dot + F.lit(b[k])))
+        return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(F.array(*comps)))
