@@ -22,14 +22,17 @@ from haze.session import scratch_dir
 SMALL = dict(grid="small", cv_folds=2, parallelism=2, max_features=8)
 TREE_KW = dict(numTrees=20, maxDepth=5)
 GBT_KW = dict(maxIter=10, maxDepth=3)
+RBF_KW = dict(numFeatures=30, maxIter=50)
+LR_KW = dict(maxIter=100)
+MODEL_PARAMS = {"forest": TREE_KW, "gbt": GBT_KW, "rbf": RBF_KW, "logistic": LR_KW}
 
 
 def _cls_cfg(**kw):
-    return ClassificationConfig(**{**SMALL, **kw})
+    return ClassificationConfig(**{**SMALL, "model_params": MODEL_PARAMS, **kw})
 
 
 def _reg_cfg(**kw):
-    return RegressionConfig(**{**SMALL, "target_column": "target", **kw})
+    return RegressionConfig(**{**SMALL, "target_column": "target", "model_params": MODEL_PARAMS, **kw})
 
 
 def _cls_prep(spark, sf_dir, **kw):
@@ -63,7 +66,7 @@ def _one_regressor(spark, sf_dir, name, **model_kw):
 @register("clf_logistic")
 def clf_logistic(spark, sf_dir):
     """Logistic regression (one-vs-rest over the PM2.5 terciles), robust-scaled chain, hold-out metrics."""
-    return _one_classifier(spark, sf_dir, "logistic")
+    return _one_classifier(spark, sf_dir, "logistic", **LR_KW)
 
 
 @register("clf_forest")
@@ -95,7 +98,7 @@ def reg_gbt(spark, sf_dir):
 @register("reg_rbf")
 def reg_rbf(spark, sf_dir):
     """RBF-kernel regression approximated by random Fourier features + Huber linear regression."""
-    return _one_regressor(spark, sf_dir, "rbf", numFeatures=50)
+    return _one_regressor(spark, sf_dir, "rbf", **RBF_KW)
 
 
 @register("reg_tree")
@@ -138,7 +141,7 @@ def grid_search(spark, sf_dir):
 def cv_scores(spark, sf_dir):
     """Per-fold weighted F1 of logistic regression and its mean / population std."""
     cfg, prep = _cls_prep(spark, sf_dir, cv_folds=3)
-    folds = training.cross_val_scores(prep, "logistic", cfg, "classification")
+    folds = training.cross_val_scores(prep, "logistic", cfg, "classification", **LR_KW)
     summary = stats.score_summary(folds, "score")
     return rounded(folds.crossJoin(F.broadcast(summary)))
 

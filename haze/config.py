@@ -25,6 +25,7 @@ class _Common:
     exclude_derived: bool = False  # drop features computed from the label source (off = reference)
     select_on_train: bool = False  # choose features on the training rows only (off = reference)
     out_dir: str | None = None
+    model_params: dict = field(default_factory=dict)  # per model name: constructor overrides
 
     def validate(self):
         if self.outlier_method not in OUTLIER_METHODS:

@@ -89,7 +89,7 @@ def regressor(name: str, seed: int = 42, **kw):
                                     gamma=kw.get("gamma", 0.0), seed=seed)
         # tol 1e-3 is the reference library's default for its kernel regressor
         lin = LinearRegression(featuresCol="rff", labelCol="label", loss="huber", epsilon=1.35,
-                               regParam=kw.get("regParam", 0.01), maxIter=200, tol=1e-3)
+                               regParam=kw.get("regParam", 0.01), maxIter=kw.get("maxIter", 200), tol=1e-3)
         return Pipeline(stages=[rff, lin]), (rff, lin)
     if name == "linear":
         lin = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal")

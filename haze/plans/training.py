@@ -197,7 +197,7 @@ def train(df: DataFrame, cfg, task: str) -> TrainResult:
     rows, fitted = [], {}
     names = M.CLASSIFIER_NAMES if task == "classification" else M.REGRESSOR_NAMES
     for pos, name in enumerate(cfg.models):
-        model, cv_mean, cv_std, _ = fit_model(prep, name, cfg, task)
+        model, cv_mean, cv_std, _ = fit_model(prep, name, cfg, task, **cfg.model_params.get(name, {}))
         fitted[name] = model
         if task == "classification":
             r = evaluate_classifier(model, test, len(prep.labels))
