@@ -80,7 +80,7 @@ def assign_chunks(df: DataFrame, key_cols: list[str], sizes_for, strata: list[st
     for g, n in sizes.items():
         for j, r in enumerate(_cut_ranks(sizes_for(n))):
             targets.append((g, j, r))
-    cuts = _radix_select(hashed, h, key_cols, strata, targets, leaf_rows)
+    cuts = _radix_select(hashed, h, key_cols, strata, targets, leaf_rows, sizes)
     return _apply_cuts(hashed, h, key_cols, strata, cuts, out).drop(h)
 
 
@@ -99,11 +99,16 @@ def _stratum_match(strata: list[str], values: tuple) -> Column:
     return cond
 
 
-def _radix_select(df: DataFrame, h: str, key_cols: list[str], strata: list[str], targets, leaf_rows: int):
+def _radix_select(df: DataFrame, h: str, key_cols: list[str], strata: list[str], targets, leaf_rows: int,
+                  sizes: dict | None = None):
     """Exact key (hash, *key) at each target rank, found level by level on hash prefixes."""
     state = {(g, j): ["", r] for g, j, r in targets}   # prefix, residual rank inside the prefix
     done: dict = {}
     plen = 0
+    # a stratum that is already small enough is ranked from its keys directly
+    small = {(g, j): ("", r) for (g, j), (_p, r) in state.items() if sizes is not None and sizes[g] <= leaf_rows}
+    if small:
+        _rank_leaves(df, h, key_cols, strata, small, state, done)
     while state:
         # rows of every still-open (stratum, prefix) counted per next DIGITS hex digits
         open_keys = {(g, p) for (g, _j), (p, _r) in state.items()}
@@ -130,22 +135,28 @@ def _radix_select(df: DataFrame, h: str, key_cols: list[str], strata: list[str],
             else:
                 raise RuntimeError("rank beyond stratum size")
         if leaf:
-            lcond = F.lit(False)
-            for (g, _j), (p, _r) in leaf.items():
-                lcond = lcond | (_stratum_match(strata, g) & F.startswith(F.col(h), F.lit(p)))
-            rows = df.where(lcond).select(*strata, h, *key_cols).collect()
-            groups: dict = {}
-            for row in rows:
-                g = tuple(row[c] for c in strata)
-                groups.setdefault(g, []).append(tuple([row[h]] + [row[c] for c in key_cols]))
-            for (g, j), (p, r) in leaf.items():
-                cand = sorted(t for t in groups.get(g, []) if t[0].startswith(p))
-                done[(g, j)] = cand[r]
-                del state[(g, j)]
+            _rank_leaves(df, h, key_cols, strata, leaf, state, done)
         plen += step
     return done
 
 
+def _rank_leaves(df: DataFrame, h: str, key_cols: list[str], strata: list[str], leaf: dict, state: dict,
+                 done: dict) -> None:
+    """Fetch the (bounded) keys under each leaf prefix and pick the wanted rank exactly."""
+    lcond = F.lit(False)
+    for (g, _j), (p, _r) in leaf.items():
+        lcond = lcond | (_stratum_match(strata, g) & F.startswith(F.col(h), F.lit(p)))
+    rows = df.where(lcond).select(*strata, h, *key_cols).collect()
+    groups: dict = {}
+    for row in rows:
+        g = tuple(row[c] for c in strata)
+        groups.setdefault(g, []).append(tuple([row[h]] + [row[c] for c in key_cols]))
+    for (g, j), (p, r) in leaf.items():
+        cand = sorted(t for t in groups.get(g, []) if t[0].startswith(p))
+        done[(g, j)] = cand[r]
+        del state[(g, j)]
+
+
 def _apply_cuts(df: DataFrame, h: str, key_cols: list[str], strata: list[str], cuts: dict, out: str) -> DataFrame:
     spark = df.sparkSession
     by_stratum: dict = {}
@@ -192,6 +203,19 @@ def fraction_sample(df: DataFrame, key_cols: list[str], frac: float, seed: int =
     return marked.withColumn(out, (F.col("_chunk") == 0).cast("int")).drop("_chunk")
 
 
+def holdout_and_folds(df: DataFrame, key_cols: list[str], test_frac: float = 0.2, k: int = 5, seed: int = 42,
+                      strata: list[str] | None = None) -> DataFrame:
+    """Hold-out flag and k folds of the remaining rows from one selection pass: in hash order the
+    first ceil(test_frac·n) rows (per stratum) are the test set, the rest is cut into k folds.
+    Adds ``is_test`` (1/0) and ``fold`` (-1 on test rows)."""
+    def sizes(n):
+        t = holdout_sizes(n, test_frac)[0]
+        return [t] + kfold_sizes(n - t, k)
+    marked = assign_chunks(df, key_cols, sizes, strata, seed, "_chunk")
+    return (marked.withColumn("is_test", (F.col("_chunk") == 0).cast("int"))
+                  .withColumn("fold", (F.col("_chunk") - 1).cast("int")).drop("_chunk"))
+
+
 def kfold(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42, strata: list[str] | None = None,
           out: str = "fold") -> DataFrame:
     """Shuffled k-fold assignment (0..k-1), stratified when ``strata`` is given."""

@@ -92,16 +92,12 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     else:
         df = df.withColumn("label", F.col(target).cast("double"))
     df = df.select(*key, *candidates, "label").persist(StorageLevel.MEMORY_AND_DISK)
-    # split (stratified by label for classification), then folds on the training rows
+    # hold-out (stratified by label for classification) and folds of the training rows, one pass
     strata = ["label"] if task == "classification" and getattr(cfg, "use_stratified_split", False) else None
-    marked = split.holdout_split(df, key, cfg.test_size, cfg.random_state, strata=strata)
-    sel_rows = marked.where(F.col("is_test") == 0) if cfg.select_on_train else marked
+    data = split.holdout_and_folds(df, key, cfg.test_size, cfg.cv_folds, cfg.random_state, strata=strata)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    sel_rows = data.where(F.col("is_test") == 0) if cfg.select_on_train else data
     chosen = _select(sel_rows, candidates, cfg, task)
-    fold_strata = ["label"] if task == "classification" else None
-    train = split.kfold(marked.where(F.col("is_test") == 0), key, cfg.cv_folds, cfg.random_state,
-                        strata=fold_strata)
-    test = marked.where(F.col("is_test") == 1).withColumn("fold", F.lit(-1))
-    data = train.unionByName(test).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = data.where(F.col("is_test") == 0).count()
     df.unpersist()
     return Prepared(data, chosen, candidates, labels, n_train, label_model)
