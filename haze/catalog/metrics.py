@@ -216,9 +216,9 @@ m AS (SELECT 'scaled' AS model, 0 AS pos, 1 - avg((y - y_hat) * (y - y_hat)) / v
 
 def _comparison(spark, sf_dir):
     df = _pred_reg(spark, sf_dir)
-    mean_y = df.agg(F.avg("y").alias("m"))
-    models = [("scaled", F.col("y_hat")), ("identity_plus", F.col("y") + 0.5), ("mean_only", F.col("m"))]
-    base = df.crossJoin(F.broadcast(mean_y))   # one-row parameter table
+    mean_y = df.agg(F.avg("y").alias("m")).first()["m"]
+    models = [("scaled", F.col("y_hat")), ("identity_plus", F.col("y") + 0.5), ("mean_only", F.lit(mean_y))]
+    base = df
     parts = []
     for pos, (name, pred) in enumerate(models):
         m = metrics.regression_metrics(base.select("y", pred.alias("y_hat")), msle=False)

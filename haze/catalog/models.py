@@ -142,8 +142,9 @@ def cv_scores(spark, sf_dir):
     """Per-fold weighted F1 of logistic regression and its mean / population std."""
     cfg, prep = _cls_prep(spark, sf_dir, cv_folds=3)
     folds = training.cross_val_scores(prep, "logistic", cfg, "classification", **LR_KW)
-    summary = stats.score_summary(folds, "score")
-    return rounded(folds.crossJoin(F.broadcast(summary)))
+    s = stats.score_summary(folds, "score").first()
+    return rounded(folds.withColumn("mean", F.lit(s["mean"])).withColumn("std", F.lit(s["std"]))
+                   .withColumn("n_folds", F.lit(s["n_folds"])))
 
 
 @register("train_classification")

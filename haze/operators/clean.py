@@ -119,12 +119,11 @@ def remove_outliers(df: DataFrame, cols: list[str], method: str = "iqr", **kw) -
 
 
 def removal_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows before/after, removed, and percent of the start (two counts in one plan)."""
-    b = before.agg(F.count(F.lit(1)).alias("n_before"))
-    a = after.agg(F.count(F.lit(1)).alias("n_after"))
-    return b.crossJoin(a).select(
-        "n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"),
-        F.try_divide((F.col("n_before") - F.col("n_after")) * 100.0, F.col("n_before")).alias("pct_removed"))
+    """Rows before/after, removed, and percent of the start (two counts)."""
+    nb, na = before.count(), after.count()
+    pct = (nb - na) * 100.0 / nb if nb else None
+    return before.sparkSession.createDataFrame(
+        [(nb, na, nb - na, pct)], "n_before long, n_after long, n_removed long, pct_removed double")
 
 
 def parse_timestamp(df: DataFrame, col: str, fmt: str | None = None, strict: bool = True) -> DataFrame:

@@ -83,9 +83,10 @@ def average_models(coefs: DataFrame, features: list[str], weight: str = "n") ->
 
 
 def linear_score(df: DataFrame, model: DataFrame, features: list[str], out: str = "y_hat") -> DataFrame:
-    """ŷ = intercept + Σ b_i·x_i with a one-row coefficient table (broadcast: exactly one row)."""
-    m = model.select("intercept", *[f"b_{c}" for c in features])
-    pred = F.col("intercept")
+    """ŷ = intercept + Σ b_i·x_i; the one-row coefficient table is read back (d+1 numbers) and
+    the score is a plain projection with literals (whole-stage codegen, no join)."""
+    m = model.select("intercept", *[f"b_{c}" for c in features]).first()
+    pred = F.lit(m["intercept"])
     for c in features:
-        pred = pred + F.col(f"b_{c}") * F.col(c).cast("double")
-    return df.crossJoin(F.broadcast(m)).withColumn(out, pred).drop("intercept", *[f"b_{c}" for c in features])
+        pred = pred + F.lit(m[f"b_{c}"]) * F.col(c).cast("double")
+    return df.withColumn(out, pred)

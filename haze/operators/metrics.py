@@ -148,7 +148,11 @@ def roc_curve(df: DataFrame, positive: Column, score: str, by: list[str] | None
     counts = _score_counts(df, positive, score, by).withColumn("_neg_s", -F.col("_s"))
     cum = prefix_sums(counts, "_neg_s", ["pos", "neg"], by, buckets, inclusive=True)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = cum.join(totals, by, "inner") if by else cum.crossJoin(F.broadcast(totals))
+    if by:
+        j = cum.join(totals, by, "inner")
+    else:
+        t = totals.first()
+        j = cum.withColumn("P", F.lit(t["P"])).withColumn("N", F.lit(t["N"]))
     return j.select(*by, F.col("_s").alias("threshold"),
                     F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
                     F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
@@ -189,9 +193,10 @@ def residuals(df: DataFrame, keys: list[str], y: str = "y", y_hat: str = "y_hat"
 
 def pred_vs_actual(df: DataFrame, y: str = "y", y_hat: str = "y_hat") -> DataFrame:
     """R² and the diagonal's range (min/max over both columns) for an actual-vs-predicted plot."""
-    m = regression_metrics(df, y, y_hat, msle=False).select("n", "r2")
-    r = df.agg(F.least(F.min(y), F.min(y_hat)).alias("lo"), F.greatest(F.max(y), F.max(y_hat)).alias("hi"))
-    return m.crossJoin(r)
+    e = F.col(y) - F.col(y_hat)
+    return df.agg(F.count(F.lit(1)).alias("n"),
+                  (F.lit(1.0) - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"),
+                  F.least(F.min(y), F.min(y_hat)).alias("lo"), F.greatest(F.max(y), F.max(y_hat)).alias("hi"))
 
 
 def kde_on_bins(df: DataFrame, col: str, grid_points: int = 200, bins: int = 256, cut: float = 3.0) -> DataFrame:

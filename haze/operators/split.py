@@ -157,33 +157,54 @@ def _rank_leaves(df: DataFrame, h: str, key_cols: list[str], strata: list[str],
         del state[(g, j)]
 
 
+LITERAL_STRATA = 64
+
+
 def _apply_cuts(df: DataFrame, h: str, key_cols: list[str], strata: list[str], cuts: dict, out: str) -> DataFrame:
-    spark = df.sparkSession
+    """Chunk index = number of cut keys at or below the row's (hash, key).
+
+    With few strata the cut keys become literals in one projection (no join);
+    with many, a table of one row per stratum (its size is known here) is
+    broadcast and joined on the strata columns.
+    """
     by_stratum: dict = {}
     for (g, j), key in cuts.items():
         by_stratum.setdefault(g, []).append((j, key))
-    key_types = {c: df.schema[c].dataType.simpleString() for c in key_cols}
-    struct_t = "struct<" + ",".join([f"{h}:string"] + [f"{c}:{key_types[c]}" for c in key_cols]) + ">"
-    strata_t = [f"{c} {df.schema[c].dataType.simpleString()}" for c in strata]
-    schema = ", ".join(strata_t + [f"_cuts array<{struct_t}>"])
-    rows = []
-    for g in by_stratum:
-        ordered = [k for _j, k in sorted(by_stratum[g])]
-        rows.append(tuple(list(g) + [[tuple(k) for k in ordered]]))
+    ordered = {g: [k for _j, k in sorted(v)] for g, v in by_stratum.items()}
     row_key = F.struct(F.col(h).alias(h), *[F.col(c) for c in key_cols])
-    if not rows:
+    key_types = {c: df.schema[c].dataType for c in key_cols}
+
+    def lit_key(k):
+        return F.struct(F.lit(k[0]).alias(h), *[F.lit(v).cast(key_types[c]).alias(c) for c, v in zip(key_cols, k[1:])])
+
+    def count_below(keys):
+        expr = F.lit(0)
+        for k in keys:
+            expr = expr + (row_key >= lit_key(k)).cast("int")
+        return expr
+
+    if not ordered:
         return df.withColumn(out, F.lit(0))
-    table = spark.createDataFrame(rows, schema)   # one row per stratum: size known here
-    if strata:
-        cond = None
-        for c in strata:
-            e = df[c].eqNullSafe(table[c])
-            cond = e if cond is None else cond & e
-        joined = df.join(F.broadcast(table), cond, "left").drop(*[table[c] for c in strata])
-    else:
-        joined = df.crossJoin(F.broadcast(table))
+    if not strata:
+        return df.withColumn(out, count_below(ordered[()]).cast("int"))
+    if len(ordered) <= LITERAL_STRATA:
+        expr = None
+        for g, keys in ordered.items():
+            cond = _stratum_match(strata, g)
+            expr = F.when(cond, count_below(keys)) if expr is None else expr.when(cond, count_below(keys))
+        return df.withColumn(out, F.coalesce(expr, F.lit(0)).cast("int"))
+    struct_t = "struct<" + ",".join([f"{h}:string"] + [f"{c}:{key_types[c].simpleString()}" for c in key_cols]) + ">"
+    strata_t = [f"{c} {df.schema[c].dataType.simpleString()}" for c in strata]
+    schema = ", ".join(strata_t + [f"_cuts array<{struct_t}>"])
+    rows = [tuple(list(g) + [[tuple(k) for k in keys]]) for g, keys in ordered.items()]
+    table = df.sparkSession.createDataFrame(rows, schema)   # one row per stratum: size known here
+    cond = None
+    for c in strata:
+        e = df[c].eqNullSafe(table[c])
+        cond = e if cond is None else cond & e
+    joined = df.join(F.broadcast(table), cond, "left").drop(*[table[c] for c in strata])
     chunk = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: row_key >= c)), F.lit(0))
-    return joined.withColumn(out, F.greatest(chunk, F.lit(0)).cast("int")).drop("_cuts")
+    return joined.withColumn(out, chunk.cast("int")).drop("_cuts")
 
 
 def holdout_split(df: DataFrame, key_cols: list[str], test_frac: float = 0.2, seed: int = 42,

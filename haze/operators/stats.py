@@ -169,20 +169,25 @@ def nullity_corr(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram over [min, max], last bin closed; empty bins kept.
 
-    Two passes: the range (one row), then counts per bin joined onto the
-    ``bins``-row bin table (both sides bounded by ``bins``).
+    Two passes: the range (one row, read back as two numbers), then counts per
+    bin joined onto the ``bins``-row bin table.
     """
     x = F.col(col).cast("double")
-    rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = rng["lo"], rng["hi"]
     spark = df.sparkSession
-    edges = spark.range(bins).withColumnRenamed("id", "bin").crossJoin(F.broadcast(rng))
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    edges = edges.select(
-        F.col("bin").cast("int").alias("bin"),
-        F.when(F.col("hi") > F.col("lo"), F.col("lo") + F.col("bin") * width).otherwise(F.col("lo") - 0.5 + F.col("bin") / F.lit(bins)).alias("bin_lo"),
-        F.when(F.col("hi") > F.col("lo"), F.col("lo") + (F.col("bin") + 1) * width).otherwise(F.col("lo") - 0.5 + (F.col("bin") + 1) / F.lit(bins)).alias("bin_hi"))
-    binned = (df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x")).crossJoin(F.broadcast(rng))
-              .select(bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    if lo is None:
+        return spark.createDataFrame([], "bin int, bin_lo double, bin_hi double, n long")
+    b = F.col("bin")
+    if hi > lo:
+        width = (F.lit(hi) - F.lit(lo)) / F.lit(bins)
+        edge_lo, edge_hi = F.lit(lo) + b * width, F.lit(lo) + (b + 1) * width
+    else:  # numpy widens a zero range to [lo - 0.5, lo + 0.5]
+        edge_lo, edge_hi = F.lit(lo) - 0.5 + b / F.lit(bins), F.lit(lo) - 0.5 + (b + 1) / F.lit(bins)
+    edges = spark.range(bins).withColumnRenamed("id", "bin").select(
+        b.cast("int").alias("bin"), edge_lo.alias("bin_lo"), edge_hi.alias("bin_hi"))
+    binned = (df.where(x.isNotNull() & ~F.isnan(x))
+              .select(bin_index(x, F.lit(lo), F.lit(hi), bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
     return (edges.join(binned, "bin", "left")
             .select("bin", "bin_lo", "bin_hi", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
