@@ -74,6 +74,24 @@ def federated_avg(spark, sf_dir):
     return rounded(res.metrics)
 
 
+@register("metric_sink", FED_SQL + """
+SELECT count(*) AS n,
+       round(1 - avg((y - y_hat) * (y - y_hat)) / var_pop(y), 6) AS r2,
+       round(avg((y - y_hat) * (y - y_hat)), 6) AS mse, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse,
+       round(avg(abs(y - y_hat)), 6) AS mae, round(avg(abs(y - y_hat) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape,
+       round(1 - var_pop(y - y_hat) / var_pop(y), 6) AS explained_variance,
+       round(CASE WHEN least(min(y), min(y_hat)) >= 0 THEN avg(pow(ln(1 + y) - ln(1 + y_hat), 2)) END, 6) AS msle
+FROM scored""")
+def metric_sink(spark, sf_dir):
+    """Averaged-model metrics written as a JSON record to the shared folder and read back."""
+    from haze.session import scratch_dir
+    from haze.sources import files
+    df = Views(spark, sf_dir)["readings_signal"]
+    res = grouped_model.run(df, grouped_model.GroupedModelConfig(features=ONE))
+    path = files.write_metadata(rounded(res.metrics), scratch_dir(spark, "metrics-json"))
+    return spark.read.schema(res.metrics.schema).json(path)
+
+
 @register("federated_avg_multi")
 def federated_avg_multi(spark, sf_dir):
     """Averaged per-city model on three features: hold-out metrics (rows check; numpy-checked in tests)."""

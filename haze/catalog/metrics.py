@@ -62,6 +62,17 @@ def classification_report(spark, sf_dir):
     return rounded(metrics.classification_report(_pred_class(spark, sf_dir)))
 
 
+@register("notebook_metrics", PC + PER_CLASS_SQL + """
+SELECT 'Accuracy' AS metric, round(CAST(sum(tp) AS DOUBLE) / sum(support), 2) AS value FROM pc
+UNION ALL SELECT 'F1-Score (Weighted)', round(sum(f1 * support) / sum(support), 2) FROM pc
+UNION ALL SELECT 'Precision (Macro)', round(avg(p), 2) FROM pc
+UNION ALL SELECT 'Recall (Macro)', round(avg(r), 2) FROM pc
+UNION ALL SELECT 'F1-Score (Macro)', round(avg(f1), 2) FROM pc""")
+def notebook_metrics(spark, sf_dir):
+    """Per-model metric table with values rounded to two places for display."""
+    return metrics.metric_table(_pred_class(spark, sf_dir))
+
+
 AUC_COUNTS = """,
 sc AS (SELECT score AS s, CAST(count_if(y = 'purchase') AS DOUBLE) AS pos,
               CAST(count_if(y <> 'purchase') AS DOUBLE) AS neg FROM pred_class GROUP BY 1)"""

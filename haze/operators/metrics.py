@@ -77,6 +77,20 @@ def classification_report(df: DataFrame, y: str = "y", y_hat: str = "y_hat") ->
     return pc.unionByName(macro).unionByName(weighted)
 
 
+def metric_table(df: DataFrame, y: str = "y", y_hat: str = "y_hat", places: int = 2) -> DataFrame:
+    """The notebook's per-model table: (metric, value) for accuracy, weighted F1 and macro
+    precision / recall / F1, rounded for display."""
+    pc = per_class(df, y, y_hat)
+    n = F.sum("support")
+    row = pc.agg((F.sum("tp") / n).alias("a"), (F.sum(F.col("f1") * F.col("support")) / n).alias("fw"),
+                 F.avg("precision").alias("pm"), F.avg("recall").alias("rm"), F.avg("f1").alias("fm"))
+    names = [("Accuracy", "a"), ("F1-Score (Weighted)", "fw"), ("Precision (Macro)", "pm"),
+             ("Recall (Macro)", "rm"), ("F1-Score (Macro)", "fm")]
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("metric"), F.round(F.col(c), places).alias("value")) for k, c in names])).alias("m")
+    ).select("m.*")
+
+
 def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], partition_cols: list[str] | None = None,
                 buckets: int = 1024, inclusive: bool = False) -> DataFrame:
     """Running sums of ``value_cols`` in ``order_col`` order within each partition, without

@@ -104,3 +104,35 @@ def test_keep_first_dedupe(spark):
     df = spark.createDataFrame([(2, "x", 1.0), (1, "x", 2.0), (3, "y", 3.0)], "id int, k string, v double")
     out = {r["k"]: r["v"] for r in dedupe.dedupe_keep_first(df, ["k"], "id").collect()}
     assert out == {"x": 2.0, "y": 3.0}
+
+
+def test_plan_time_checks(spark):
+    from haze.operators import quality
+    df = spark.createDataFrame([(1, "a", 2.0, True)], "i int, s string, d double, b boolean")
+    with pytest.raises(quality.DataQualityError, match=r"\['x', 'y'\]"):
+        quality.require_columns(df, ["i", "x", "y"])
+    with pytest.raises(quality.DataQualityError):
+        quality.require_nonempty(df.where("i > 5"))
+    assert quality.numeric_columns(df) == ["i", "d"]          # booleans are not numbers
+    assert quality.string_columns(df) == ["s"]
+    with pytest.raises(quality.DataQualityError):
+        quality.check_feature_width(["a", "b"], ["a"])
+    with pytest.raises(quality.DataQualityError):
+        quality.require_several_classes(df, "s")
+    assert quality.drop_columns(df, ["s", "nope"]).columns == ["i", "d", "b"]
+
+
+def test_features_only_when_inputs_exist(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "temperature double, humidity double")
+    out = features.add_poly_features(features.add_interaction_features(df, "classification"), "classification")
+    assert "temp_humidity_ratio" in out.columns
+    assert "pm25_temp_interaction" not in out.columns and "pm25_squared" not in out.columns
+    assert features.add_time_features(df).columns == df.columns
+
+
+def test_many_strata_use_broadcast_cut_table(spark):
+    from haze.operators import split
+    df = spark.range(2000).select(F.col("id"), (F.col("id") % 100).alias("g"))
+    out = split.holdout_split(df, ["id"], 0.2, strata=["g"])
+    sizes = {r["g"]: r["n"] for r in out.where("is_test = 1").groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) == 100 and set(sizes.values()) == {4}
