@@ -71,9 +71,11 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     strs = [c for c in quality.string_columns(df) if c != target]
     df = clean.impute_median(df, num)
     df = clean.impute_mode(df, strs)
+    # the outlier cascade scans the filled table once per column: keep it (spills to disk when large)
+    filled = df.persist(StorageLevel.MEMORY_AND_DISK)
     # outliers over numeric columns except the target, in column order
     out_cols = [c for c in num if c != target]
-    df, _fences = clean.remove_outliers(df, out_cols, cfg.outlier_method)
+    df, _fences = clean.remove_outliers(filled, out_cols, cfg.outlier_method)
     # features: one-hot strings, time parts, interactions, polynomials; incomplete rows dropped
     for c in strs:
         df = feat.one_hot(df, c, prefix=c)
@@ -92,6 +94,8 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     else:
         df = df.withColumn("label", F.col(target).cast("double"))
     df = df.select(*key, *candidates, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    filled.unpersist()
     # hold-out (stratified by label for classification) and folds of the training rows, one pass
     strata = ["label"] if task == "classification" and getattr(cfg, "use_stratified_split", False) else None
     data = split.holdout_and_folds(df, key, cfg.test_size, cfg.cv_folds, cfg.random_state, strata=strata)
