@@ -27,6 +27,9 @@ from haze.functions.fourier import RandomFourierFeatures
 from haze.functions.scalers import ExactScaler
 
 MAX_DEPTH = 30  # Spark's tree depth cap stands for "no limit"
+# Deep trees: let each pass over the data grow more nodes, and keep node ids per row between levels
+# (checkpointed to spark.checkpoint.dir) instead of re-walking every tree from the root.
+TREE_SPEED = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
 
 CLASSIFIER_NAMES = {"logistic": "Logistic Regression", "forest": "Random Forest", "gbt": "Gradient Boosting",
                     "tree": "Decision Tree"}
@@ -57,12 +60,12 @@ def classifier(name: str, n_classes: int, n_train: int, seed: int = 42, **kw):
     if name == "forest":
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=kw.get("numTrees", 100),
                                     maxDepth=kw.get("maxDepth", 15), minInstancesPerNode=kw.get("minLeaf", 1),
-                                    featureSubsetStrategy="sqrt", seed=seed)
+                                    featureSubsetStrategy="sqrt", seed=seed, **TREE_SPEED)
         return rf, rf
     if name == "gbt":
         gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=kw.get("maxIter", 100),
                             maxDepth=kw.get("maxDepth", 6), stepSize=kw.get("stepSize", 0.1),
-                            subsamplingRate=kw.get("subsample", 1.0), seed=seed)
+                            subsamplingRate=kw.get("subsample", 1.0), seed=seed, **TREE_SPEED)
         if multi:
             return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label",
                              parallelism=min(n_classes, 4)), gbt
@@ -77,12 +80,12 @@ def regressor(name: str, seed: int = 42, **kw):
     if name == "forest":
         rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=kw.get("numTrees", 100),
                                    maxDepth=kw.get("maxDepth", 15), minInstancesPerNode=kw.get("minLeaf", 2),
-                                   featureSubsetStrategy="all", seed=seed)
+                                   featureSubsetStrategy="all", seed=seed, **TREE_SPEED)
         return rf, rf
     if name == "gbt":
         g = GBTRegressor(featuresCol="features", labelCol="label", maxIter=kw.get("maxIter", 100),
                          maxDepth=kw.get("maxDepth", 6), stepSize=kw.get("stepSize", 0.1),
-                         subsamplingRate=kw.get("subsample", 0.8), seed=seed)
+                         subsamplingRate=kw.get("subsample", 0.8), seed=seed, **TREE_SPEED)
         return g, g
     if name == "rbf":
         rff = RandomFourierFeatures(inputCol="features", outputCol="rff", numFeatures=kw.get("numFeatures", 100),

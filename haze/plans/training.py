@@ -99,6 +99,11 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     # hold-out (stratified by label for classification) and folds of the training rows, one pass
     strata = ["label"] if task == "classification" and getattr(cfg, "use_stratified_split", False) else None
     data = split.holdout_and_folds(df, key, cfg.test_size, cfg.cv_folds, cfg.random_state, strata=strata)
+    # model fitting is CPU-bound per row: never fit on fewer partitions than there are cores
+    # (small inputs get coalesced to one partition by AQE); large inputs keep their partitioning
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     sel_rows = data.where(F.col("is_test") == 0) if cfg.select_on_train else data
     chosen = _select(sel_rows, candidates, cfg, task)
