@@ -215,11 +215,13 @@ def boxplot(df: DataFrame, value: str, group: str, whisker: float = 1.5, accurac
          .withColumn("fence_hi", F.col("q3") + whisker * F.col("iqr"))
     v = F.col("x")
     inside = (v >= F.col("fence_lo")) & (v <= F.col("fence_hi"))
-    w = df.where(x.isNotNull()).select(group, x.alias("x")).join(q.select(group, "fence_lo", "fence_hi"), group)
-    w = w.groupBy(group).agg(
+    # the quartile table is used once: its columns ride along as grouping keys of the second pass
+    w = df.where(x.isNotNull()).select(group, x.alias("x")).join(q, group)
+    return w.groupBy(group, "q1", "median", "q3", "iqr").agg(
+        F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_fliers"), F.count(F.lit(1)).alias("n"))
-    return q.join(w, group).select(group, "n", "q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi", "n_fliers")
+        F.count_if(~inside).alias("n_fliers")
+    ).select(group, "n", "q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi", "n_fliers")
 
 
 def weighted_average(df: DataFrame, value_cols: list[str], weight: str, by: list[str] | None = None) -> DataFrame:
