@@ -155,3 +155,21 @@ def append_dedup(spark, sf_dir):
     hist = v["readings"].where(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp")).select(*cols)
     new = v["readings_dups"].where(F.col("ts") >= F.lit("2024-01-10 00:00:00").cast("timestamp")).select(*cols)
     return dedupe.append_dedupe(hist, new, ["city", "ts"], "reading_id")
+
+
+@register("reject_rows", view_sql("readings") + """
+SELECT count_if(humidity <= 85) AS n_good, count_if(humidity > 85) AS n_rejected FROM readings""")
+def reject_rows(spark, sf_dir):
+    """Readings landed as CSV where the PM2.5 field of humid readings arrived as text: a permissive
+    scan parses the rest and sends those lines to a reject frame; counts of both."""
+    v = Views(spark, sf_dir)
+    path = scratch_dir(spark, "readings-csv-rejects")
+    r = v["readings"]
+    pm = F.when(F.col("humidity") > 85, F.lit("n/a")).otherwise(F.col("pm25").cast("string"))
+    line = F.concat_ws(",", F.col("reading_id").cast("string"), "city",
+                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), pm,
+                       *[F.col(c).cast("string") for c in ["aqi", "temperature", "humidity", "pressure", "wind_speed"]])
+    r.select(line.alias("value")).write.mode("overwrite").text(path)
+    schema = files.T.StructType([files.T.StructField("reading_id", files.T.LongType())] + list(files.READING.fields))
+    good, bad = files.read_csv_permissive(spark, path, schema, header=False)
+    return spark.createDataFrame([(good.count(), bad.count())], "n_good long, n_rejected long")

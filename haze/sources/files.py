@@ -55,10 +55,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = READING, hea
             .option("timestampFormat", TS_FORMAT).option("enforceSchema", True).csv(path))
 
 
-def read_csv_permissive(spark: SparkSession, path: str, schema: T.StructType = READING) -> tuple[DataFrame, DataFrame]:
+def read_csv_permissive(spark: SparkSession, path: str, schema: T.StructType = READING,
+                        header: bool = True) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected raw lines): malformed lines go to a reject frame instead of failing the job."""
     s = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(s).option("header", True).option("mode", "PERMISSIVE")
+    df = (spark.read.schema(s).option("header", header).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").option("timestampFormat", TS_FORMAT).csv(path))
     df = df.cache()  # a corrupt-record query must not re-read lazily between the two filters
     bad = df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
