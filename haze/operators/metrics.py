@@ -130,8 +130,13 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], partition_
 
 
 def _score_counts(df: DataFrame, positive: Column, score: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by, F.col(score).alias("_s")).agg(
+    """(by, score, pos, neg) per distinct score, written once to the shared checkpoint folder:
+    the bucket bounds, the bucket totals and the running sums all read it, so the prediction
+    table is scanned once, and a lost executor does not send the job back to the raw rows."""
+    from haze.session import cut_lineage
+    counts = df.groupBy(*by, F.col(score).alias("_s")).agg(
         F.count_if(positive).cast("double").alias("pos"), F.count_if(~positive).cast("double").alias("neg"))
+    return cut_lineage(counts)
 
 
 def roc_auc(df: DataFrame, positive: Column, score: str, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
