@@ -31,12 +31,13 @@ METHODS = ("standard", "robust", "minmax")
 class _ScalerParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "columns to scale (in place)", TypeConverters.toListString)
     method = Param(Params._dummy(), "method", "standard | robust | minmax", TypeConverters.toString)
-    accuracy = Param(Params._dummy(), "accuracy", "0 = exact quantiles, >0 = percentile_approx accuracy",
+    accuracy = Param(Params._dummy(), "accuracy",
+                     "-1 = auto (exact unless a column is continuous at scale), 0 = exact, >0 = percentile_approx accuracy",
                      TypeConverters.toInt)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(method="standard", accuracy=0)
+        self._setDefault(method="standard", accuracy=-1)
 
     def getInputCols(self):
         return self.getOrDefault(self.inputCols)
@@ -50,20 +51,21 @@ class _ScalerParams(Params):
 
 class ExactScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, *, inputCols=None, method="standard", accuracy=0):
+    def __init__(self, *, inputCols=None, method="standard", accuracy=-1):
         super().__init__()
         kwargs = self._input_kwargs
         self._set(**kwargs)
 
     @keyword_only
-    def setParams(self, *, inputCols=None, method="standard", accuracy=0):
+    def setParams(self, *, inputCols=None, method="standard", accuracy=-1):
         return self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "ExactScalerModel":
         cols, method = self.getInputCols(), self.getMethod()
         if method not in METHODS:
             raise ValueError(f"unknown scaling method {method!r}; use one of {METHODS}")
-        centers, scales = fit_scaling(df, cols, method, self.getAccuracy() or None)
+        a = self.getAccuracy()
+        centers, scales = fit_scaling(df, cols, method, stats.AUTO if a < 0 else (a or None))
         model = ExactScalerModel(inputCols=cols, method=method, centers=centers, scales=scales)
         return self._copyValues(model)
 
@@ -73,7 +75,7 @@ class ExactScalerModel(Model, _ScalerParams, DefaultParamsReadable, DefaultParam
     scales = Param(Params._dummy(), "scales", "per-column divisor", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, method="standard", accuracy=0, centers=None, scales=None):
+    def __init__(self, *, inputCols=None, method="standard", accuracy=-1, centers=None, scales=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -86,9 +88,11 @@ def fit_scaling(df: DataFrame, cols: list[str], method: str, accuracy: int | Non
     """(centres, divisors) per column from one aggregation job."""
     if not cols:
         return [], []
+    acc = stats.resolve_accuracy(df, cols, accuracy) if method == "robust" else {c: None for c in cols}
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
+        accuracy = acc[c]
         if method == "standard":
             aggs += [F.avg(x).alias(f"{c}__a"), F.stddev_pop(x).alias(f"{c}__b")]
         elif method == "robust":

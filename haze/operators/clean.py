@@ -65,9 +65,10 @@ def remove_outliers_iqr(df: DataFrame, cols: list[str], k: float = 1.5, cascade:
         for f in fences:
             cur = cur.where(F.col(f.column).between(F.lit(f.lower), F.lit(f.upper)))
         return cur, fences
+    acc = stats.resolve_accuracy(df, cols, accuracy)
     for c in cols:
-        r = cur.agg(stats.quantile_expr(F.col(c).cast("double"), 0.25, accuracy).alias("q1"),
-                    stats.quantile_expr(F.col(c).cast("double"), 0.75, accuracy).alias("q3")).first()
+        r = cur.agg(stats.quantile_expr(F.col(c).cast("double"), 0.25, acc[c]).alias("q1"),
+                    stats.quantile_expr(F.col(c).cast("double"), 0.75, acc[c]).alias("q3")).first()
         f = _iqr_fence(c, r["q1"], r["q3"], k)
         fences.append(f)
         if f.lower is None:

@@ -22,6 +22,23 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+AUTO = "auto"
+EXACT_MAX_DISTINCT = 1_000_000   # "auto": exact quantiles up to this many distinct values per column
+APPROX_ACCURACY = 1_000_000      # "auto": otherwise percentile_approx with rank error 1/1e6
+
+
+def resolve_accuracy(df: DataFrame, cols: list[str], accuracy) -> dict:
+    """Per-column accuracy.  ``"auto"`` spends one HyperLogLog pass: columns with a bounded number
+    of distinct values keep exact quantiles (whose state is a value→count map merged in one task
+    for a global aggregate); continuous columns switch to ``percentile_approx``."""
+    if accuracy != AUTO:
+        return {c: accuracy for c in cols}
+    if not cols:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
+    return {c: (None if (row[c] or 0) <= EXACT_MAX_DISTINCT else APPROX_ACCURACY) for c in cols}
+
+
 def quantile_expr(col: str | Column, p: float | list[float], accuracy: int | None = None) -> Column:
     """Exact (linear) quantile, or ``percentile_approx`` when an accuracy is given."""
     c = _c(col)
@@ -38,10 +55,11 @@ def _pname(p: float) -> str:
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int | None = None,
               by: list[str] | None = None) -> DataFrame:
     """Wide table: ``{col}_{pNN}`` for every column and probability, in one aggregation."""
+    acc = resolve_accuracy(df, cols, accuracy)
     aggs = []
     for c in cols:
         for p in probs:
-            aggs.append(quantile_expr(F.col(c).cast("double"), float(p), accuracy).alias(f"{c}_{_pname(p)}"))
+            aggs.append(quantile_expr(F.col(c).cast("double"), float(p), acc[c]).alias(f"{c}_{_pname(p)}"))
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
@@ -49,7 +67,8 @@ def medians(df: DataFrame, cols: list[str], accuracy: int | None = None) -> dict
     """Per-column median (nulls skipped) as a driver dict: one job, one row."""
     if not cols:
         return {}
-    row = df.agg(*[quantile_expr(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols]).first()
+    acc = resolve_accuracy(df, cols, accuracy)
+    row = df.agg(*[quantile_expr(F.col(c).cast("double"), 0.5, acc[c]).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from haze.config import ClassificationConfig, RegressionConfig
 from haze.functions import features as feat
-from haze.operators import clean, metrics, quality, select, split
+from haze.operators import clean, metrics, quality, select, split, stats
 from haze.plans import models as M
 from haze.sources import files
 
@@ -69,13 +69,14 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     # missing values: median for numbers (target too), most frequent for strings
     num = _numeric_features(df, set(key))
     strs = [c for c in quality.string_columns(df) if c != target]
-    df = clean.impute_median(df, num)
+    df = clean.impute_median(df, num, stats.AUTO)
     df = clean.impute_mode(df, strs)
     # the outlier cascade scans the filled table once per column: keep it (spills to disk when large)
     filled = df.persist(StorageLevel.MEMORY_AND_DISK)
     # outliers over numeric columns except the target, in column order
     out_cols = [c for c in num if c != target]
-    df, _fences = clean.remove_outliers(filled, out_cols, cfg.outlier_method)
+    kw = {"accuracy": stats.AUTO} if cfg.outlier_method == "iqr" else {}
+    df, _fences = clean.remove_outliers(filled, out_cols, cfg.outlier_method, **kw)
     # features: one-hot strings, time parts, interactions, polynomials; incomplete rows dropped
     for c in strs:
         df = feat.one_hot(df, c, prefix=c)
