@@ -18,8 +18,9 @@ Instead the cut points are found by **radix selection** on the hash:
 4. once a bucket holds at most ``leaf_rows`` rows, those few keys are fetched
    and ranked exactly on the driver.
 
-Every step scans in parallel; what reaches the driver is bounded by
-``cuts × 16**DIGITS`` counts and ``cuts × leaf_rows`` keys.  The cut keys then
+Every step scans in parallel; what reaches the driver per level is bounded
+(about a million prefix counts and two million keys, whatever the number of
+cuts: the leaf size and the digits per level shrink as cuts grow).  The cut keys then
 go back as a small broadcast table (one row per stratum) and each row's chunk
 is the number of cut keys at or below its own (hash, key).
 """
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 DIGITS = 3
 HASH_LEN = 32
-MAX_STRATA = 100_000
+MAX_STRATA = 1_000            # strata are class labels; more strata than this is refused
+FETCH_BUDGET = 2_000_000      # keys fetched to the driver per selection level, over all cuts
+COUNT_BUDGET = 1_100_000      # prefix counts returned to the driver per selection level
 
 
 def order_hash(key_cols: list[str], seed: int = 42) -> Column:
@@ -80,6 +83,8 @@ def assign_chunks(df: DataFrame, key_cols: list[str], sizes_for, strata: list[st
     for g, n in sizes.items():
         for j, r in enumerate(_cut_ranks(sizes_for(n))):
             targets.append((g, j, r))
+    # bound the driver traffic however many cuts there are: fewer keys per leaf when cuts are many
+    leaf_rows = min(leaf_rows, max(64, FETCH_BUDGET // max(1, len(targets))))
     cuts = _radix_select(hashed, h, key_cols, strata, targets, leaf_rows, sizes)
     return _apply_cuts(hashed, h, key_cols, strata, cuts, out).drop(h)
 
@@ -115,7 +120,8 @@ def _radix_select(df: DataFrame, h: str, key_cols: list[str], strata: list[str],
         cond = F.lit(False)
         for g, p in open_keys:
             cond = cond | (_stratum_match(strata, g) & (F.substring(F.col(h), 1, plen) == F.lit(p)))
-        step = min(DIGITS, HASH_LEN - plen)
+        digits = DIGITS if len(open_keys) * 16 ** DIGITS <= COUNT_BUDGET else 2
+        step = min(digits, HASH_LEN - plen)
         counts = (df.where(cond).groupBy(*strata, F.substring(F.col(h), 1, plen + step).alias("_p"))
                   .count().collect())
         by_prefix: dict = {}
