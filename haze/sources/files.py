@@ -61,7 +61,10 @@ def read_csv_permissive(spark: SparkSession, path: str, schema: T.StructType = R
     s = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     df = (spark.read.schema(s).option("header", header).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").option("timestampFormat", TS_FORMAT).csv(path))
-    df = df.cache()  # a corrupt-record query must not re-read lazily between the two filters
+    # the corrupt-record column is only reliable on a fully parsed row (CSV column pruning would skip
+    # the bad field), so both frames read one persisted parse (spills to disk when large)
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     bad = df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
     good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return good, bad
