@@ -9,9 +9,11 @@ happens in local tests.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -39,11 +41,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a private one only when unset."""
+    """The shared checkpoint folder named by the cluster; a private one only when unset in local mode.
+
+    Off local mode an unset folder raises: a private folder would be a different disk on every executor.
+    """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="haze-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -53,11 +60,39 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (never reused between runs)."""
-    root = checkpoint_root(spark)
-    path = f"{root}/haze/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    return f"{checkpoint_root(spark)}/haze/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder made by ``scratch_dir`` through the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df, name: str):
+    """The rows of ``df``, written as Parquet to a fresh shared scratch folder and read back.
+
+    Cuts the lineage with files that outlive any executor; downstream stages reread instead of
+    recomputing.  Part counts follow the input.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, so that Python workers can import it from any folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_haze_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    zipped = Path(tempfile.mkdtemp(prefix="haze-src-")) / "haze_src.zip"
+    with zipfile.ZipFile(zipped, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(zipped))
+    sc._haze_shipped = True
 
 
 def cut_lineage(df, eager: bool = True):
