@@ -17,6 +17,7 @@ score and gets ``default``; with an empty class there is no model and every unde
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -133,11 +134,12 @@ def calibrated(scores: DataFrame) -> float | None:
         return None
     best = None
     below_a = below_b = 0
-    for cut, a, b in sorted((r["cell"], r["a"], r["b"]) for r in found) + [(BIN_LIMIT + 1, 0, 0)]:
-        key = (-((n_a - below_a) / n_a + below_b / n_b), abs(cut))
-        best = min(best or (key, cut), (key, cut))
-        below_a, below_b = below_a + a, below_b + b
-    return best[1] / BINS_PER_UNIT
+    low = -BIN_LIMIT
+    for cell, a, b in sorted((r["cell"], r["a"], r["b"]) for r in found) + [(BIN_LIMIT + 1, 0, 0)]:
+        cut = min(max(0, low), cell)  # every cut from low to cell splits alike: the one nearest to 0
+        best = min(best or (math.inf,), (-((n_a - below_a) / n_a + below_b / n_b), abs(cut), cut))
+        below_a, below_b, low = below_a + a, below_b + b, cell + 1
+    return best[2] / BINS_PER_UNIT
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow",
