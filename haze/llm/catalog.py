@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import decontaminate, quality, urls
+from haze.llm import decontaminate, packing, quality, urls
 
 URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
              urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
@@ -35,8 +35,20 @@ def op7_quality_rules(spark, sf_dir):
                        quality.base_failed().alias("base_failed"), (F.col("verdict") == "keep").alias("kept"))
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenised_pieces(docs, tokenizer_file())
+    return packing.packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op6_url_filter, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_decontaminate, op6_url_filter, op7_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
