@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import decontaminate, packing, quality, urls
+from haze.llm import decontaminate, neardup, packing, quality, urls
 
 URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
              urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
@@ -35,6 +35,12 @@ def op7_quality_rules(spark, sf_dir):
                        quality.base_failed().alias("base_failed"), (F.col("verdict") == "keep").alias("kept"))
 
 
+def op8_superminhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.groups(docs, width=2, percent=80).select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -48,7 +54,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op6_url_filter, op7_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op6_url_filter, op7_quality_rules, op8_superminhash, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
