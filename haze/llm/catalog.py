@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import decontaminate, neardup, packing, quality, urls
+from haze.llm import decontaminate, neardup, packing, quality, repeats, urls
 
 URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
              urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
@@ -41,6 +41,10 @@ def op8_superminhash(spark, sf_dir):
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op9_repeated_substrings(spark, sf_dir):
+    return repeats.removal_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -54,7 +58,8 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op6_url_filter, op7_quality_rules, op8_superminhash, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op6_url_filter, op7_quality_rules, op8_superminhash, op9_repeated_substrings,
+                                  op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
