@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import decontaminate, neardup, packing, personal, quality, repeats, urls
+from haze.llm import archives, decontaminate, neardup, packing, personal, quality, repeats, urls
 
 URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
              urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
@@ -23,6 +23,10 @@ def op1_decontaminate(spark, sf_dir):
                        (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_arc_to_warc(spark, sf_dir):
+    return archives.pages_through_archives(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_personal_data(spark, sf_dir):
     return personal.report(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op4_personal_data, op6_url_filter, op7_quality_rules, op8_superminhash, op9_repeated_substrings,
+    return {f.__name__: f for f in (op1_decontaminate, op2_arc_to_warc, op4_personal_data, op6_url_filter, op7_quality_rules, op8_superminhash, op9_repeated_substrings,
                                   op10_best_fit_packing)}
 
 
