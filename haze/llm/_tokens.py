@@ -19,12 +19,13 @@ _ODD = re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
-    def __init__(self, path: str, cache: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache: int = CACHE_CHUNKS, specials: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = not specials
         self.limit, self.known = cache, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -50,6 +51,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file, so that its cache outlives a task."""
-    return Encoder(path)
+def encoder(path: str, specials: bool = True) -> Encoder:
+    """One encoder per worker process and file, so that its cache outlives a task.
+
+    Without ``specials`` the strings of special tokens in a text are ordinary text.
+    """
+    return Encoder(path, specials=specials)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import archives, decontaminate, neardup, packing, personal, quality, repeats, urls
+from haze.llm import (archives, chat, decontaminate, neardup, packing, personal, quality, repeats,
+                      token_files, urls)
+from haze.session import scratch_dir
 
 URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
              urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
@@ -27,10 +29,21 @@ def op2_arc_to_warc(spark, sf_dir):
     return archives.pages_through_archives(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.counts_through_files(docs, scratch_dir(spark, "tokens"), tokenizer_file(), separator=49407)
+
+
 def op4_personal_data(spark, sf_dir):
     return personal.report(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_repair(spark, sf_dir):
+    rows = chat.repaired(table(spark, sf_dir, "conversations"))
+    return rows.select(F.col("conv").alias("conv_id"), "turn", "role", "new_role", "action",
+                       F.array_join("inserted", ",").alias("inserted"), "piece")
+
+
 def op6_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -66,8 +79,9 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_arc_to_warc, op4_personal_data, op6_url_filter, op7_quality_rules, op8_superminhash, op9_repeated_substrings,
-                                  op10_best_fit_packing)}
+    return {f.__name__: f for f in (
+        op1_decontaminate, op2_arc_to_warc, op3_token_counts, op4_personal_data, op5_chat_repair, op6_url_filter,
+        op7_quality_rules, op8_superminhash, op9_repeated_substrings, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
