@@ -10,7 +10,7 @@ from haze.functions import features
 from haze.operators import stats
 
 NUM = ["pm25", "aqi", "temperature", "humidity", "pressure", "wind_speed"]
-GAP_NUM = ["pm25", "aqi", "temperature", "humidity", "pressure", "wind_speed"]
+GAP_NUM = NUM
 
 
 def _union(parts: list[str]) -> str:
@@ -52,7 +52,8 @@ def label_encode(spark, sf_dir):
     f"round(quantile_cont({c}, 0.5), 6) AS {c}" for c in GAP_NUM) + " FROM readings_gaps")
 def medians(spark, sf_dir):
     df = Views(spark, sf_dir)["readings_gaps"]
-    return rounded(df.agg(*[stats.quantile_expr(F.col(c), 0.5).alias(c) for c in GAP_NUM]))
+    found = stats.medians(df, GAP_NUM)
+    return rounded(spark.range(1).select(*[F.lit(found[c]).cast("double").alias(c) for c in GAP_NUM]))
 
 
 @register("most_frequent", """

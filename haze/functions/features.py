@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haze.operators import stats
+from haze.operators.quantile import exact_quantiles
 
 EPS_RATIO = 1e-8
 
@@ -93,19 +93,16 @@ def aqi_band(x: Column) -> Column:
     return expr.otherwise(F.lit(AQI_TOP))
 
 
-def tercile_thresholds(df: DataFrame, col: str, accuracy: int | None = None) -> tuple[float, float]:
-    r = df.agg(stats.quantile_expr(F.col(col).cast("double"), 0.33, accuracy).alias("p33"),
-               stats.quantile_expr(F.col(col).cast("double"), 0.66, accuracy).alias("p66")).first()
-    return r["p33"], r["p66"]
+def tercile_thresholds(df: DataFrame, col: str) -> tuple[float, float]:
+    return tuple(exact_quantiles(df, [col], [0.33, 0.66])[col])
 
 
 def tercile_class(x: Column, p33: float, p66: float) -> Column:
     return F.when(x <= F.lit(p33), "Low").when(x <= F.lit(p66), "Medium").otherwise("High")
 
 
-def add_tercile_label(df: DataFrame, col: str = "pm25", label: str = "label",
-                      accuracy: int | None = None) -> DataFrame:
-    p33, p66 = tercile_thresholds(df, col, accuracy)
+def add_tercile_label(df: DataFrame, col: str = "pm25", label: str = "label") -> DataFrame:
+    p33, p66 = tercile_thresholds(df, col)
     return df.withColumn(label, tercile_class(F.col(col), p33, p66))
 
 
@@ -120,32 +117,37 @@ def digitize(x: Column, edges: list[float] | None = None) -> Column:
     return expr.otherwise(F.lit(top)).cast("int")
 
 
-def category_values(df: DataFrame, col: str, limit: int = 10_000) -> list:
-    """Sorted distinct non-null values (a bounded driver list: refuses very wide categories)."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"'{col}' has more than {limit} categories; use OneHotEncoder on an index instead")
-    return sorted(vals)
+def category_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct non-null values: the names of the columns that one-hot coding makes."""
+    return sorted(r[0] for r in df.select(F.col(f"`{col}`")).where(F.col(f"`{col}`").isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None, drop_first: bool = False,
             values: list | None = None, keep_source: bool = False) -> DataFrame:
-    """One int column per sorted category ``{prefix}_{value}``; null gives all zeros."""
+    """One int column per sorted category ``{prefix}_{value}``; null gives all zeros.
+
+    Names are used as they are; quote them (backticks) to read one that holds a dot.
+    """
     vals = values if values is not None else category_values(df, col)
     if drop_first:
         vals = vals[1:]
     p = prefix or col
-    flags = [F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{p}_{v}") for v in vals]
-    rest = [F.col(c) for c in df.columns if keep_source or c != col]
+    flags = [F.coalesce((F.col(f"`{col}`") == F.lit(v)).cast("int"), F.lit(0)).alias(f"{p}_{v}") for v in vals]
+    rest = [F.col(f"`{c}`") for c in df.columns if keep_source or c != col]
     return df.select(*rest, *flags)
 
 
 def label_index(df: DataFrame, label: str, out: str = "label_idx"):
-    """Fit a StringIndexer with classes sorted a..z (0-based); returns (frame, fitted model)."""
+    """Fit a StringIndexer with classes sorted a..z (0-based); returns (frame, fitted model).
+
+    A null label keeps a null code and is no class.
+    """
     from pyspark.ml.feature import StringIndexer
+    known = df.where(F.col(label).isNotNull())
     model = StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df)
-    return model.transform(df).withColumn(out, F.col(out).cast("int")), model
+                          handleInvalid="keep").fit(known)
+    code = F.when(F.col(label).isNotNull(), F.col(out)).cast("int")
+    return model.transform(df).withColumn(out, code), model
 
 
 def label_decode(df: DataFrame, index_col: str, labels: list[str], out: str = "label_decoded") -> DataFrame:

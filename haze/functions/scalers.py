@@ -9,7 +9,7 @@ keep the reference's rules:
 * robust:   (x - median) / (Q3 - Q1), IQR 0 -> divide by 1
 * minmax:   (x - min) / (max - min), range 0 -> 0
 
-``fit`` is one aggregation job over all columns; ``transform`` is a plain
+``fit`` covers all columns in the same jobs; ``transform`` is a plain
 projection (codegen, no Python).  Both are saveable inside a
 ``PipelineModel`` (params are plain JSON lists).
 """
@@ -23,7 +23,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haze.operators import stats
+from haze.operators.quantile import exact_quantiles
 
 METHODS = ("standard", "robust", "minmax")
 
@@ -31,13 +31,10 @@ METHODS = ("standard", "robust", "minmax")
 class _ScalerParams(Params):
     inputCols = Param(Params._dummy(), "inputCols", "columns to scale (in place)", TypeConverters.toListString)
     method = Param(Params._dummy(), "method", "standard | robust | minmax", TypeConverters.toString)
-    accuracy = Param(Params._dummy(), "accuracy",
-                     "-1 = auto (exact unless a column is continuous at scale), 0 = exact, >0 = percentile_approx accuracy",
-                     TypeConverters.toInt)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(method="standard", accuracy=-1)
+        self._setDefault(method="standard")
 
     def getInputCols(self):
         return self.getOrDefault(self.inputCols)
@@ -45,27 +42,23 @@ class _ScalerParams(Params):
     def getMethod(self):
         return self.getOrDefault(self.method)
 
-    def getAccuracy(self):
-        return self.getOrDefault(self.accuracy)
-
 
 class ExactScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, *, inputCols=None, method="standard", accuracy=-1):
+    def __init__(self, *, inputCols=None, method="standard"):
         super().__init__()
         kwargs = self._input_kwargs
         self._set(**kwargs)
 
     @keyword_only
-    def setParams(self, *, inputCols=None, method="standard", accuracy=-1):
+    def setParams(self, *, inputCols=None, method="standard"):
         return self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "ExactScalerModel":
         cols, method = self.getInputCols(), self.getMethod()
         if method not in METHODS:
             raise ValueError(f"unknown scaling method {method!r}; use one of {METHODS}")
-        a = self.getAccuracy()
-        centers, scales = fit_scaling(df, cols, method, stats.AUTO if a < 0 else (a or None))
+        centers, scales = fit_scaling(df, cols, method)
         model = ExactScalerModel(inputCols=cols, method=method, centers=centers, scales=scales)
         return self._copyValues(model)
 
@@ -75,7 +68,7 @@ class ExactScalerModel(Model, _ScalerParams, DefaultParamsReadable, DefaultParam
     scales = Param(Params._dummy(), "scales", "per-column divisor", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, method="standard", accuracy=-1, centers=None, scales=None):
+    def __init__(self, *, inputCols=None, method="standard", centers=None, scales=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -84,28 +77,31 @@ class ExactScalerModel(Model, _ScalerParams, DefaultParamsReadable, DefaultParam
                              self.getOrDefault(self.scales))
 
 
-def fit_scaling(df: DataFrame, cols: list[str], method: str, accuracy: int | None = None) -> tuple[list[float], list[float]]:
-    """(centres, divisors) per column from one aggregation job."""
+def fit_scaling(df: DataFrame, cols: list[str], method: str) -> tuple[list[float], list[float]]:
+    """(centres, divisors) per column, all columns in the same jobs."""
     if not cols:
         return [], []
-    acc = stats.resolve_accuracy(df, cols, accuracy) if method == "robust" else {c: None for c in cols}
+    if method == "robust":
+        found = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        row = {k: v for i, c in enumerate(cols) for q1, q2, q3 in [found[c]]
+               for k, v in ((f"{i}__a", q2), (f"{i}__b", None if q2 is None else q3 - q1))}
+        return _pairs(row, cols, method)
     aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        accuracy = acc[c]
+    for i, c in enumerate(cols):
+        x = F.col(f"`{c}`").cast("double")
         if method == "standard":
-            aggs += [F.avg(x).alias(f"{c}__a"), F.stddev_pop(x).alias(f"{c}__b")]
-        elif method == "robust":
-            aggs += [stats.quantile_expr(x, 0.5, accuracy).alias(f"{c}__a"),
-                     (stats.quantile_expr(x, 0.75, accuracy) - stats.quantile_expr(x, 0.25, accuracy)).alias(f"{c}__b")]
+            aggs += [F.avg(x).alias(f"{i}__a"), F.stddev_pop(x).alias(f"{i}__b")]
         elif method == "minmax":
-            aggs += [F.min(x).alias(f"{c}__a"), (F.max(x) - F.min(x)).alias(f"{c}__b")]
+            aggs += [F.min(x).alias(f"{i}__a"), (F.max(x) - F.min(x)).alias(f"{i}__b")]
         else:
             raise ValueError(f"unknown scaling method {method!r}")
-    row = df.agg(*aggs).first()
+    return _pairs(df.agg(*aggs).first(), cols, method)
+
+
+def _pairs(row, cols: list[str], method: str) -> tuple[list[float], list[float]]:
     centers, scales = [], []
-    for c in cols:
-        a, b = row[f"{c}__a"], row[f"{c}__b"]
+    for i in range(len(cols)):
+        a, b = row[f"{i}__a"], row[f"{i}__b"]
         centers.append(float(a) if a is not None else 0.0)
         if method == "minmax":
             scales.append(float(b) if b not in (None, 0.0) else 0.0)
@@ -122,15 +118,15 @@ def apply_scaling(df: DataFrame, cols: list[str], centers: list[float], scales:
         if c in spec:
             m, s = spec[c]
             if s == 0.0:
-                out.append(F.when(F.col(c).isNotNull(), F.lit(0.0)).alias(c))
+                out.append(F.when(F.col(f"`{c}`").isNotNull(), F.lit(0.0)).alias(c))
             else:
-                out.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(c))
+                out.append(((F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(s)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(f"`{c}`"))
     return df.select(*out)
 
 
-def scale(df: DataFrame, cols: list[str], method: str = "standard", accuracy: int | None = None) -> DataFrame:
+def scale(df: DataFrame, cols: list[str], method: str = "standard") -> DataFrame:
     """Fit on ``df`` and apply to it (fit on train + apply elsewhere: use ExactScaler)."""
-    centers, scales = fit_scaling(df, cols, method, accuracy)
+    centers, scales = fit_scaling(df, cols, method)
     return apply_scaling(df, cols, centers, scales)

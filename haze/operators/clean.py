@@ -5,22 +5,26 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haze.operators import stats
+from haze.operators.quantile import exact_quantiles, number
 
 log = logging.getLogger(__name__)
 
 
-def impute_median(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
-    """Fill nulls (and NaN) with each column's median: one aggregation job, then a projection."""
-    med = stats.medians(df, cols, accuracy)
+def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Fill nulls (and NaN) with each column's exact median.
+
+    An integer column that is filled becomes double, since a median may lie between two integers; one
+    without missing values keeps its type.
+    """
+    med = stats.medians(df, cols)
+    missing = df.agg(*[F.count_if(number(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first() if cols else {}
+    holes = {c for i, c in enumerate(cols) if missing[f"m{i}"]}
     return df.select(*[
-        F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c),
-                   F.lit(med[c]).cast(df.schema[c].dataType)).alias(c)
-        if c in med and med[c] is not None else F.col(c)
+        F.coalesce(number(c), F.lit(med[c])).alias(c) if c in holes and med[c] is not None else F.col(f"`{c}`")
         for c in df.columns])
 
 
@@ -45,31 +49,25 @@ class Fence:
     skipped: bool = False
 
 
-def remove_outliers_iqr(df: DataFrame, cols: list[str], k: float = 1.5, cascade: bool = True,
-                        accuracy: int | None = None) -> tuple[DataFrame, list[Fence]]:
+def remove_outliers_iqr(df: DataFrame, cols: list[str], k: float = 1.5, cascade: bool = True) -> tuple[DataFrame, list[Fence]]:
     """Keep rows inside [Q1 - k·IQR, Q3 + k·IQR], column by column.
 
     ``cascade=True`` is the reference's order-dependent rule: each column's
     quartiles are taken on the rows still left after the columns before it
-    (one small aggregation job per column; the filters stack up in one plan
+    (a few small jobs per column; the filters stack up in one plan
     and the scan prunes to the numeric columns).  ``cascade=False`` takes all
     fences from the input in a single job.
     """
     fences: list[Fence] = []
     cur = df
     if not cascade:
-        q = stats.quantiles(df, cols, [0.25, 0.75], accuracy).first()
-        for c in cols:
-            q1, q3 = q[f"{c}_p25"], q[f"{c}_p75"]
+        for c, (q1, q3) in exact_quantiles(df, cols, [0.25, 0.75]).items():
             fences.append(_iqr_fence(c, q1, q3, k))
         for f in fences:
             cur = cur.where(F.col(f.column).between(F.lit(f.lower), F.lit(f.upper)))
         return cur, fences
-    acc = stats.resolve_accuracy(df, cols, accuracy)
     for c in cols:
-        r = cur.agg(stats.quantile_expr(F.col(c).cast("double"), 0.25, acc[c]).alias("q1"),
-                    stats.quantile_expr(F.col(c).cast("double"), 0.75, acc[c]).alias("q3")).first()
-        f = _iqr_fence(c, r["q1"], r["q3"], k)
+        f = _iqr_fence(c, *exact_quantiles(cur, [c], [0.25, 0.75])[c], k)
         fences.append(f)
         if f.lower is None:
             cur = cur.where(F.lit(False))
@@ -120,11 +118,11 @@ def remove_outliers(df: DataFrame, cols: list[str], method: str = "iqr", **kw) -
 
 
 def removal_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows before/after, removed, and percent of the start (two counts)."""
-    nb, na = before.count(), after.count()
-    pct = (nb - na) * 100.0 / nb if nb else None
-    return before.sparkSession.createDataFrame(
-        [(nb, na, nb - na, pct)], "n_before long, n_after long, n_removed long, pct_removed double")
+    """Rows before/after, removed, and percent of the start."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    both = n(before, "n_before").join(n(after, "n_after"))  # two one-row tables
+    return both.select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"),
+                       F.try_divide((F.col("n_before") - F.col("n_after")) * F.lit(100.0), F.col("n_before")).alias("pct_removed"))
 
 
 def parse_timestamp(df: DataFrame, col: str, fmt: str | None = None, strict: bool = True) -> DataFrame:
@@ -134,8 +132,3 @@ def parse_timestamp(df: DataFrame, col: str, fmt: str | None = None, strict: boo
     else:
         parsed = F.try_to_timestamp(F.col(col), F.lit(fmt)) if fmt else F.try_to_timestamp(F.col(col))
     return df.withColumn(col, parsed)
-
-
-def persist_for_loop(df: DataFrame) -> DataFrame:
-    """Cache an input that a driver loop will scan many times (spills to disk when large)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -12,13 +12,17 @@ def dedupe_keep_first(df: DataFrame, keys: list[str], order_by: str | list[str])
     Written as a hash aggregation with ``min_by`` rather than a window: the
     aggregation combines map-side, so a hot key (many copies) is reduced in
     every input task before the shuffle instead of landing whole in one sort.
-    Null keys form one group, as in pandas.
+    Null keys form one group, as in pandas.  A null order value comes last; equal order values are
+    settled by the other columns, so the surviving row does not depend on how rows are dealt.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     others = [c for c in df.columns if c not in keys]
     if not others:
         return df.dropDuplicates(keys)
-    order_key = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    ties = [c for c in others if c not in order and kinds[c] not in ("map", "variant")]
+    order_key = F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))],
+                         *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)])
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in others]), order_key).alias("_first"))
     return first.select(*[F.col(k) for k in keys], *[F.col(f"_first.{c}").alias(c) for c in others]).select(*df.columns)
 

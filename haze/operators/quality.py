@@ -87,8 +87,8 @@ def unseen_labels(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     return t.join(train.select(label).distinct(), on=label, how="left_anti")
 
 
-def warn_unseen_labels(train: DataFrame, test: DataFrame, label: str, limit: int = 20) -> list:
-    found = [r[0] for r in unseen_labels(train, test, label).limit(limit).collect()]
+def warn_unseen_labels(train: DataFrame, test: DataFrame, label: str) -> list:
+    found = [r[0] for r in unseen_labels(train, test, label).collect()]
     if found:
         log.warning("Test set has labels not seen in training: %s", found)
     return found

@@ -5,10 +5,7 @@ correlations), never a job per column.  Every aggregate used here is
 partial/final (map-side combine), so a hot group costs no single task more
 than its share of input.
 
-Exact quantiles use ``percentile`` (linear interpolation, like numpy).  Its
-state is a value->count map, i.e. O(distinct values) per group: fine for
-sensor readings with fixed precision.  For high-cardinality columns pass
-``accuracy=<int>`` to switch to ``percentile_approx``.
+Quantiles are exact at any size; see ``haze.operators.quantile``.
 """
 
 from __future__ import annotations
@@ -17,34 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _c(col: str | Column) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
-AUTO = "auto"
-EXACT_MAX_DISTINCT = 1_000_000   # "auto": exact quantiles up to this many distinct values per column
-APPROX_ACCURACY = 1_000_000      # "auto": otherwise percentile_approx with rank error 1/1e6
-
-
-def resolve_accuracy(df: DataFrame, cols: list[str], accuracy) -> dict:
-    """Per-column accuracy.  ``"auto"`` spends one HyperLogLog pass: columns with a bounded number
-    of distinct values keep exact quantiles (whose state is a value→count map merged in one task
-    for a global aggregate); continuous columns switch to ``percentile_approx``."""
-    if accuracy != AUTO:
-        return {c: accuracy for c in cols}
-    if not cols:
-        return {}
-    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
-    return {c: (None if (row[c] or 0) <= EXACT_MAX_DISTINCT else APPROX_ACCURACY) for c in cols}
-
-
-def quantile_expr(col: str | Column, p: float | list[float], accuracy: int | None = None) -> Column:
-    """Exact (linear) quantile, or ``percentile_approx`` when an accuracy is given."""
-    c = _c(col)
-    if accuracy is None:
-        return F.percentile(c, p) if not isinstance(p, list) else F.percentile(c, F.array(*[F.lit(float(x)) for x in p]))
-    return F.percentile_approx(c, p, accuracy)
+from haze.operators.quantile import exact_quantiles, grouped_quantiles
 
 
 def _pname(p: float) -> str:
@@ -52,24 +22,16 @@ def _pname(p: float) -> str:
     return f"p{s}"
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int | None = None,
-              by: list[str] | None = None) -> DataFrame:
-    """Wide table: ``{col}_{pNN}`` for every column and probability, in one aggregation."""
-    acc = resolve_accuracy(df, cols, accuracy)
-    aggs = []
-    for c in cols:
-        for p in probs:
-            aggs.append(quantile_expr(F.col(c).cast("double"), float(p), acc[c]).alias(f"{c}_{_pname(p)}"))
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Wide one-row table: ``{col}_{pNN}`` for every column and probability, exact."""
+    found = exact_quantiles(df, cols, probs)
+    return df.sparkSession.range(1).select(*[
+        F.lit(v).cast("double").alias(f"{c}_{_pname(p)}") for c in cols for p, v in zip(probs, found[c])])
 
 
-def medians(df: DataFrame, cols: list[str], accuracy: int | None = None) -> dict[str, float | None]:
-    """Per-column median (nulls skipped) as a driver dict: one job, one row."""
-    if not cols:
-        return {}
-    acc = resolve_accuracy(df, cols, accuracy)
-    row = df.agg(*[quantile_expr(F.col(c).cast("double"), 0.5, acc[c]).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Per-column median (nulls and NaN skipped) as a driver dict."""
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -131,18 +93,17 @@ def _to_long(wide: DataFrame, cols: list[str], stats: list[str]) -> DataFrame:
     ])).alias("r")).select("r.*")
 
 
-def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75 %, max per column: one job, exact numbers."""
+def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+    """count, mean, sample std, min, 25/50/75 %, max per column: one aggregation and exact quantiles."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 quantile_expr(x, 0.25, accuracy).alias(f"{c}__p25"),
-                 quantile_expr(x, 0.5, accuracy).alias(f"{c}__p50"),
-                 quantile_expr(x, 0.75, accuracy).alias(f"{c}__p75"),
-                 F.max(x).alias(f"{c}__max")]
-    return _to_long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    found = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    wide = df.agg(*aggs).select("*", *[F.lit(v).cast("double").alias(f"{c}__{p}") for c in cols
+                                       for p, v in zip(("p25", "p50", "p75"), found[c])])
+    return _to_long(wide, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -218,17 +179,15 @@ def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(hi > lo, F.least(idx, F.lit(bins - 1))).otherwise(F.lit(bins // 2))
 
 
-def boxplot(df: DataFrame, value: str, group: str, whisker: float = 1.5, accuracy: int | None = None) -> DataFrame:
+def boxplot(df: DataFrame, value: str, group: str, whisker: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the extreme data inside the fences, flier count.
 
-    Pass 1: quartiles per group (partial aggregation).  Pass 2: the one-row-
+    Pass 1: exact quartiles per group.  Pass 2: the one-row-
     per-group quartile table is joined back (AQE broadcasts it when it is
     small) and whiskers/fliers are one more aggregation.
     """
     x = F.col(value).cast("double")
-    q = df.where(x.isNotNull()).groupBy(group).agg(
-        quantile_expr(x, 0.25, accuracy).alias("q1"), quantile_expr(x, 0.5, accuracy).alias("median"),
-        quantile_expr(x, 0.75, accuracy).alias("q3"))
+    q = grouped_quantiles(df, value, [group], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("fence_lo", F.col("q1") - whisker * F.col("iqr")) \
          .withColumn("fence_hi", F.col("q3") + whisker * F.col("iqr"))

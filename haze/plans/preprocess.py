@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from haze.functions import features, scalers
 from haze.operators import clean, dedupe, quality
+from haze.sources.files import READING
 
-REQUIRED = ["ts", "city", "temperature", "humidity", "pressure", "wind_speed", "pm25", "aqi"]
-NUMERIC = ["temperature", "humidity", "pressure", "wind_speed", "pm25", "aqi"]
+# from the fixed schema of a reading
+REQUIRED = [f.name for f in READING.fields if f.name != "reading_id"]
+NUMERIC = [f.name for f in READING.fields if f.dataType.typeName() == "double"]
 
 
 @dataclass
@@ -22,7 +24,6 @@ class PreprocessConfig:
     band_col: str = "aqi"
     scale_method: str = "standard"
     check_nonempty: bool = True
-    accuracy: int | None = None
 
 
 def clean_readings(df: DataFrame, cfg: PreprocessConfig | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def clean_readings(df: DataFrame, cfg: PreprocessConfig | None = None) -> DataFr
         quality.require_nonempty(df)
     if dict(df.dtypes)["ts"] == "string":
         df = clean.parse_timestamp(df, "ts")
-    df = clean.impute_median(df, cfg.numeric, cfg.accuracy)
+    df = clean.impute_median(df, cfg.numeric)
     df = quality.drop_null_rows(df)
     df = dedupe.dedupe_keep_first(df, cfg.keys, cfg.order_col)
     return df.withColumn("aqi_class", features.aqi_band(F.col(cfg.band_col)))
@@ -49,4 +50,4 @@ def preprocess(df: DataFrame, cfg: PreprocessConfig | None = None) -> DataFrame:
     cfg = cfg or PreprocessConfig()
     cleaned = clean_readings(df, cfg)
     encoded = features.one_hot(cleaned, "city", prefix="city")
-    return scalers.scale(encoded, cfg.numeric, cfg.scale_method, cfg.accuracy)
+    return scalers.scale(encoded, cfg.numeric, cfg.scale_method)

@@ -136,11 +136,3 @@ def test_many_strata_use_broadcast_cut_table(spark):
     out = split.holdout_split(df, ["id"], 0.2, strata=["g"])
     sizes = {r["g"]: r["n"] for r in out.where("is_test = 1").groupBy("g").agg(F.count("*").alias("n")).collect()}
     assert len(sizes) == 100 and set(sizes.values()) == {4}
-
-
-def test_auto_quantile_accuracy(spark, monkeypatch):
-    monkeypatch.setattr(stats, "EXACT_MAX_DISTINCT", 5)
-    df = spark.range(100).select((F.col("id") % 3).cast("double").alias("few"), F.col("id").cast("double").alias("many"))
-    acc = stats.resolve_accuracy(df, ["few", "many"], stats.AUTO)
-    assert acc["few"] is None and acc["many"] == stats.APPROX_ACCURACY
-    assert stats.medians(df, ["few", "many"], stats.AUTO)["few"] == 1.0
