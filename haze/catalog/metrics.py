@@ -91,15 +91,17 @@ def roc_auc(spark, sf_dir):
 @register("roc_curve", PC + AUC_COUNTS + """
 SELECT s AS threshold,
        round(sum(neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(neg) OVER (), 6) AS fpr,
-       round(sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(pos) OVER (), 6) AS tpr FROM sc""")
+       round(sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(pos) OVER (), 6) AS tpr FROM sc
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0e0, 0.0e0""")
 def roc_curve(spark, sf_dir):
+    """The curve of 'purchase' against the rest, from its start at (0, 0)."""
     df = _pred_class(spark, sf_dir)
     return rounded(metrics.roc_curve(df, F.col("y") == F.lit("purchase"), "score"))
 
 
 def _ovr_long(df):
     """One row per (event, class) with a per-class score; the class list is the bounded label set."""
-    classes = features.category_values(df, "y", limit=metrics.MAX_CLASSES)
+    classes = features.category_values(df, "y")
     long = df.select("event_id", "y", "score", F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
     base = ((F.col("event_id") * 7 + F.length("cls") * 13) % 101) / 100.0
     bonus = F.when(F.col("y") == F.col("cls"), F.col("score") / 500.0).otherwise(F.lit(0.0))
@@ -123,6 +125,22 @@ def roc_auc_ovr(spark, sf_dir):
     return rounded(metrics.roc_auc_ovr(_ovr_long(_pred_class(spark, sf_dir)), "y", "cls", "cls_score"))
 
 
+@register("roc_curve_ovr", PC + """,
+classes AS (SELECT DISTINCT y AS cls FROM pred_class),
+lg AS (SELECT p.y, c.cls, ((p.event_id * 7 + length(c.cls) * 13) % 101) / 100.0e0
+              + CASE WHEN p.y = c.cls THEN p.score / 500.0e0 ELSE 0.0e0 END AS s
+       FROM pred_class p CROSS JOIN classes c),
+sc AS (SELECT cls, s, CAST(count_if(y = cls) AS DOUBLE) AS pos, CAST(count_if(y <> cls) AS DOUBLE) AS neg FROM lg GROUP BY 1, 2)
+SELECT cls, round(s, 6) AS threshold,
+       round(sum(neg) OVER (PARTITION BY cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(neg) OVER (PARTITION BY cls), 6) AS fpr,
+       round(sum(pos) OVER (PARTITION BY cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(pos) OVER (PARTITION BY cls), 6) AS tpr FROM sc
+UNION ALL SELECT cls, CAST('inf' AS DOUBLE), 0.0e0, 0.0e0 FROM classes""")
+def roc_curve_ovr(spark, sf_dir):
+    """One curve per class against the rest, each from (0, 0)."""
+    long = _ovr_long(_pred_class(spark, sf_dir))
+    return rounded(metrics.roc_curve(long, F.col("y") == F.col("cls"), "cls_score", by=["cls"]))
+
+
 REG_SQL = """SELECT count(*) AS n,
        round(1 - avg((y - y_hat) * (y - y_hat)) / var_pop(y), 6) AS r2,
        round(avg((y - y_hat) * (y - y_hat)), 6) AS mse, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse,

@@ -5,10 +5,82 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haze.catalog import register
-from haze.catalog._util import Views, view_sql
+from haze.catalog._util import Views, rounded, view_sql
+from haze.functions import features
 from haze.operators import quality, stats
 
 
+REQUIRED = ["city", "ts", "temperature", "humidity", "pm10", "station"]
+
+
+@register("required_columns", view_sql("readings") + """
+SELECT c.column, CAST(0 AS BIGINT) + (SELECT count(*) FROM readings) AS n_rows
+FROM (SELECT unnest(['pm10', 'station']) AS column) c""")
+def required_columns(spark, sf_dir):
+    """The required columns that the readings lack (the check names every one), beside their row count."""
+    df = Views(spark, sf_dir)["readings"]
+    missing = quality.missing_columns(df, REQUIRED)
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.lit(missing)).alias("column"), "n_rows")
+
+
+@register("nonempty", view_sql("readings") + """
+SELECT city, count(*) > 0 AS nonempty, count_if(pm25 > 480) > 0 AS any_extreme FROM readings GROUP BY city""")
+def nonempty(spark, sf_dir):
+    """The emptiness check on each city's readings and on its extreme ones."""
+    df = Views(spark, sf_dir)["readings"]
+    cities = [r["city"] for r in df.select("city").distinct().collect()]
+    rows = [(c, quality.is_nonempty(df.where(F.col("city") == c)),
+             quality.is_nonempty(df.where((F.col("city") == c) & (F.col("pm25") > 480)))) for c in cities]
+    return spark.createDataFrame(rows, "city string, nonempty boolean, any_extreme boolean")
+
+
+@register("select_dtypes", view_sql("readings") + """
+SELECT reading_id, pm25, aqi, temperature, humidity, pressure, wind_speed FROM readings""")
+def select_dtypes(spark, sf_dir):
+    """Numeric columns by type, in schema order."""
+    df = Views(spark, sf_dir)["readings"]
+    return quality.select_columns(df, quality.numeric_columns(df))
+
+
+@register("feature_width", view_sql("readings", "readings_gaps") + """
+SELECT CAST(9 AS INTEGER) AS n_train, CAST(8 AS INTEGER) AS n_test, false AS same,
+       (SELECT count(*) FROM readings) AS n_rows""")
+def feature_width(spark, sf_dir):
+    """The width check of a train and a test table, one of which has lost a column."""
+    v = Views(spark, sf_dir)
+    train, test = v["readings"], quality.drop_columns(v["readings_gaps"], ["aqi"])
+    try:
+        quality.check_feature_width(train.columns, test.columns)
+        same = True
+    except quality.DataQualityError:
+        same = False
+    return train.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(len(train.columns)).alias("n_train"), F.lit(len(test.columns)).alias("n_test"), F.lit(same).alias("same"), "n_rows")
+
+
+@register("class_check", view_sql("readings") + """,
+q AS (SELECT quantile_cont(pm25, 0.33) AS a, quantile_cont(pm25, 0.66) AS b FROM readings),
+l AS (SELECT CASE WHEN pm25 <= a THEN 'Low' WHEN pm25 <= b THEN 'Medium' ELSE 'High' END AS label FROM readings, q)
+SELECT label, count(*) AS n, CAST(1 AS BIGINT) AS n_before, (SELECT count(DISTINCT label) FROM l) AS n_after FROM l GROUP BY label""")
+def class_check(spark, sf_dir):
+    """A target with one class is relabelled by terciles: class counts before and after."""
+    df = Views(spark, sf_dir)["readings"].withColumn("label", F.lit("only"))
+    before = quality.distinct_count(df, "label")
+    if before < 2:
+        df = features.add_tercile_label(df, "pm25", "label")
+    after = quality.require_several_classes(df, "label")
+    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumns(
+        {"n_before": F.lit(before).cast("long"), "n_after": F.lit(after).cast("long")})
+
+
+@register("features_if_present", view_sql("readings") + """
+SELECT reading_id, temperature, humidity, round(temperature / (humidity + 1e-8), 6) AS temp_humidity_ratio FROM readings""")
+def features_if_present(spark, sf_dir):
+    """Engineered features of a table without time, PM2.5 and pressure: only the ratio can be made."""
+    df = Views(spark, sf_dir)["readings"].select("reading_id", "temperature", "humidity")
+    return rounded(features.engineer_features(df, "classification"))
+
+
 @register("drop_cols", view_sql("readings") + """
 SELECT reading_id, city, ts, pm25, temperature, humidity, pressure, wind_speed FROM readings""")
 def drop_cols(spark, sf_dir):

@@ -104,11 +104,14 @@ def air_weather_join(spark, sf_dir):
 
 
 @register("asof_weather", view_sql("readings") + ", " + WEATHER_SQL + """,
-shifted AS (SELECT reading_id, city, ts + INTERVAL 7 MINUTE AS ts FROM readings)
+shifted AS (SELECT reading_id, city, ts + INTERVAL 7 MINUTE AS ts FROM readings),
+one AS (SELECT * FROM weather QUALIFY row_number() OVER (
+  PARTITION BY city, weather_ts ORDER BY temperature DESC, humidity DESC) = 1)
 SELECT s.reading_id, s.city, s.ts, w.weather_ts, round(w.temperature, 6) AS temperature, w.humidity
-FROM shifted s ASOF LEFT JOIN weather w ON s.city = w.city AND s.ts >= w.weather_ts""")
+FROM shifted s ASOF LEFT JOIN one w ON s.city = w.city AND s.ts >= w.weather_ts""")
 def asof_weather(spark, sf_dir):
-    """Readings (7 minutes later than the events) matched to the latest weather snapshot at or before them."""
+    """Readings (7 minutes later than the events) matched to the latest weather snapshot at or before them
+    (of snapshots of one second the one with the largest values)."""
     v = Views(spark, sf_dir)
     w = files.flatten_weather(_weather_payloads(v["events"])).select("city", "weather_ts", "temperature", "humidity")
     left = v["readings"].select("reading_id", "city", (F.col("ts") + F.expr("INTERVAL 7 MINUTES")).alias("ts"))

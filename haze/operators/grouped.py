@@ -1,16 +1,14 @@
 """Per-group least squares, support-weighted model averaging and linear scoring.
 
-A per-group fit never ships a group's rows anywhere: each group is reduced
-to its sufficient statistics (n, Σx, Σxxᵀ, Σxy, Σy) by a partial/final
-aggregation — a hot group is combined map-side in every task — and only
-that O(d²) row per group is solved, in a ``mapInPandas`` over the small
-statistics table (no second shuffle).
+A per-group fit never ships a group's rows anywhere: each group is reduced to its means, variances
+and covariances by a partial/final aggregation whose states are centred and mergeable, so a
+hot group is combined map-side in every task and an offset as large as an epoch costs no digits.
+Only that O(d^2) row per group is solved, all groups of a batch in one stacked numpy call, on centred
+and scaled columns; the intercept follows from the means.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,50 +18,52 @@ def _pairs(d: int) -> list[tuple[int, int]]:
 
 
 def sufficient_stats(df: DataFrame, group: str, features: list[str], target: str) -> DataFrame:
-    """One row per group: n, Σx_i, Σx_i·x_j (i ≤ j), Σx_i·y, Σy."""
-    xs = [F.col(c).cast("double") for c in features]
-    y = F.col(target).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy")]
-    aggs += [F.sum(x).alias(f"sx{i}") for i, x in enumerate(xs)]
-    aggs += [F.sum(xs[i] * xs[j]).alias(f"sxx{i}_{j}") for i, j in _pairs(len(xs))]
-    aggs += [F.sum(x * y).alias(f"sxy{i}") for i, x in enumerate(xs)]
-    complete = df.where(F.col(target).isNotNull())
+    """One row per group: n, means, and the covariances of features and target (rows without gaps)."""
+    xs = [F.col(f"`{c}`").cast("double") for c in features]
+    y = F.col(f"`{target}`").cast("double")
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("my")]
+    aggs += [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]
+    aggs += [(F.var_pop(xs[i]) if i == j else F.covar_pop(xs[i], xs[j])).alias(f"c{i}_{j}") for i, j in _pairs(len(xs))]
+    aggs += [F.covar_pop(x, y).alias(f"cy{i}") for i, x in enumerate(xs)]
+    complete = df.where(F.col(f"`{target}`").isNotNull())
     for c in features:
-        complete = complete.where(F.col(c).isNotNull())
+        complete = complete.where(F.col(f"`{c}`").isNotNull())
     return complete.groupBy(group).agg(*aggs)
 
 
-def _solve_batch(pdf: pd.DataFrame, d: int) -> np.ndarray:
-    """Least-squares coefficients [intercept, b_1..b_d] for every row of a statistics batch."""
-    out = np.full((len(pdf), d + 1), np.nan)
-    for r, row in enumerate(pdf.itertuples(index=False)):
-        rec = row._asdict()
-        a = np.empty((d + 1, d + 1))
-        b = np.empty(d + 1)
-        a[0, 0] = rec["n"]
-        b[0] = rec["sy"]
-        for i in range(d):
-            a[0, i + 1] = a[i + 1, 0] = rec[f"sx{i}"]
-            b[i + 1] = rec[f"sxy{i}"]
-        for i, j in _pairs(d):
-            a[i + 1, j + 1] = a[j + 1, i + 1] = rec[f"sxx{i}_{j}"]
-        out[r] = np.linalg.lstsq(a, b, rcond=None)[0]
-    return out
-
-
 def solve_ols(stats: DataFrame, group: str, features: list[str]) -> DataFrame:
-    """(group, n, intercept, b_<feature>...) from the sufficient-statistics table."""
-    d = len(features)
+    """(group, n, intercept, b_<feature>...) from the statistics table.
+
+    A constant column gets 0; among collinear columns the smallest coefficients are taken.
+    """
+    d, pairs = len(features), _pairs(len(features))
     gtype = stats.schema[group].dataType.simpleString()
-    schema = f"{group} {gtype}, n long, intercept double, " + ", ".join(f"b_{c} double" for c in features)
+    schema = f"`{group}` {gtype}, n long, intercept double, " + ", ".join(f"`b_{c}` double" for c in features)
+    names = ["n", "intercept", *[f"b_{c}" for c in features]]
+
+    def solve(batches):  # self-contained: workers need numpy and pandas alone
+        import numpy as np
+        import pandas as pd
 
-    def solve(batches):
         for pdf in batches:
-            coef = _solve_batch(pdf, d)
-            res = pd.DataFrame({group: pdf[group].values, "n": pdf["n"].values.astype("int64"),
-                                "intercept": coef[:, 0]})
-            for i, c in enumerate(features):
-                res[f"b_{c}"] = coef[:, i + 1]
+            if not len(pdf):
+                continue
+            cov = np.empty((len(pdf), d, d))
+            for i, j in pairs:
+                cov[:, i, j] = cov[:, j, i] = pdf[f"c{i}_{j}"]
+            cy = pdf[[f"cy{i}" for i in range(d)]].to_numpy(float)
+            mean = pdf[[f"m{i}" for i in range(d)]].to_numpy(float)
+            scale = np.sqrt(np.einsum("kii->ki", cov))
+            flat = ~(scale > 1e-12 * (1 + np.abs(mean)))
+            scale[flat] = 1.0
+            corr = cov / scale[:, :, None] / scale[:, None, :]
+            corr[flat] = 0.0
+            corr.transpose(0, 2, 1)[flat] = 0.0
+            b = np.einsum("kij,kj->ki", np.linalg.pinv(corr, rcond=1e-10, hermitian=True), np.where(flat, 0.0, cy / scale)) / scale
+            out = np.column_stack([pdf["my"].to_numpy(float) - (b * mean).sum(axis=1), b])
+            res = pd.DataFrame({group: pdf[group].values, "n": pdf["n"].astype("int64").values})
+            for k, name in enumerate(names[1:]):
+                res[name] = out[:, k]
             yield res
 
     return stats.mapInPandas(solve, schema)
@@ -79,14 +79,14 @@ def average_models(coefs: DataFrame, features: list[str], weight: str = "n") ->
     """Sample-weighted mean of intercepts and coefficients (one row)."""
     w = F.col(weight).cast("double")
     cols = ["intercept"] + [f"b_{c}" for c in features]
-    return coefs.agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in cols], F.sum(weight).alias("n"))
+    return coefs.agg(*[(F.sum(F.col(f"`{c}`") * w) / F.sum(w)).alias(c) for c in cols], F.sum(weight).alias("n"))
 
 
 def linear_score(df: DataFrame, model: DataFrame, features: list[str], out: str = "y_hat") -> DataFrame:
     """ŷ = intercept + Σ b_i·x_i; the one-row coefficient table is read back (d+1 numbers) and
     the score is a plain projection with literals (whole-stage codegen, no join)."""
-    m = model.select("intercept", *[f"b_{c}" for c in features]).first()
+    m = model.select("intercept", *[F.col(f"`b_{c}`") for c in features]).first()
     pred = F.lit(m["intercept"])
     for c in features:
-        pred = pred + F.lit(m[f"b_{c}"]) * F.col(c).cast("double")
+        pred = pred + F.lit(m[f"b_{c}"]) * F.col(f"`{c}`").cast("double")
     return df.withColumn(out, pred)

@@ -13,25 +13,22 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 1_000
-MAPE_EPS = 2.220446049250313e-16  # float64 machine epsilon, the floor on |y| in MAPE
-
+from haze.session import written
 
-def _labels(df: DataFrame, y: str, y_hat: str) -> list:
-    both = df.select(F.col(y).alias("l")).union(df.select(F.col(y_hat).alias("l"))).where(F.col("l").isNotNull())
-    vals = [r[0] for r in both.distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(vals) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return sorted(vals)
+MAPE_EPS = 2.220446049250313e-16  # float64 machine epsilon, the floor on |y| in MAPE
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", y_hat: str = "y_hat") -> DataFrame:
-    """Long confusion matrix (y, y_hat, n) over all label pairs, zeros kept; labels sorted."""
-    labels = _labels(df, y, y_hat)
-    spark = df.sparkSession
-    dt = df.schema[y].dataType.simpleString()
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], f"{y} {dt}, {y_hat} {dt}")
-    counts = df.groupBy(y, y_hat).agg(F.count(F.lit(1)).alias("n"))
+    """Long confusion matrix (y, y_hat, n) over all pairs of labels that occur on either side, zeros kept.
+
+    One scan: labels and grid come from the counted pairs.  The grid is the result's own size (labels
+    squared) and is made by exploding the label list of each label, on the cluster.
+    """
+    counts = written(df.groupBy(y, y_hat).agg(F.count(F.lit(1)).alias("n")), "confusion")
+    labels = counts.select(F.explode(F.array(y, y_hat)).alias("l")).where(F.col("l").isNotNull()).distinct()
+    every = labels.agg(F.array_sort(F.collect_list("l")).alias("a")).first()["a"] or []
+    grid = labels.select(F.col("l").alias(y), F.explode(F.lit(every).cast(f"array<{df.schema[y].dataType.simpleString()}>")).alias(y_hat)) \
+        if every else counts.select(y, y_hat).limit(0)
     return (grid.join(counts, [y, y_hat], "left")
             .select(y, y_hat, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
@@ -133,10 +130,9 @@ def _score_counts(df: DataFrame, positive: Column, score: str, by: list[str]) ->
     """(by, score, pos, neg) per distinct score, written once to the shared checkpoint folder:
     the bucket bounds, the bucket totals and the running sums all read it, so the prediction
     table is scanned once, and a lost executor does not send the job back to the raw rows."""
-    from haze.session import cut_lineage
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(
         F.count_if(positive).cast("double").alias("pos"), F.count_if(~positive).cast("double").alias("neg"))
-    return cut_lineage(counts)
+    return written(counts, "scores")
 
 
 def roc_auc(df: DataFrame, positive: Column, score: str, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
@@ -162,7 +158,7 @@ def roc_auc_ovr(long_scores: DataFrame, y: str, cls: str, score: str, buckets: i
 
 
 def roc_curve(df: DataFrame, positive: Column, score: str, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, thresholds descending (all points kept)."""
+    """(threshold, fpr, tpr) at every distinct score, thresholds descending, after the start (infinity, 0, 0)."""
     by = list(by or [])
     counts = _score_counts(df, positive, score, by).withColumn("_neg_s", -F.col("_s"))
     cum = prefix_sums(counts, "_neg_s", ["pos", "neg"], by, buckets, inclusive=True)
@@ -172,9 +168,11 @@ def roc_curve(df: DataFrame, positive: Column, score: str, by: list[str] | None
     else:
         t = totals.first()
         j = cum.withColumn("P", F.lit(t["P"])).withColumn("N", F.lit(t["N"]))
-    return j.select(*by, F.col("_s").alias("threshold"),
-                    F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
-                    F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
+    points = j.select(*by, F.col("_s").cast("double").alias("threshold"),
+                      F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"),
+                      F.try_divide(F.col("cum_pos"), F.col("P")).alias("tpr"))
+    start = totals.where(F.col("P").isNotNull()).select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.unionByName(points)
 
 
 def regression_metrics(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by: list[str] | None = None,

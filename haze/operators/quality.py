@@ -17,17 +17,25 @@ class DataQualityError(ValueError):
     pass
 
 
+def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
+    return [c for c in required if c not in df.columns]
+
+
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """Raise listing every missing column (checked on the schema, no job)."""
-    missing = [c for c in required if c not in df.columns]
+    missing = missing_columns(df, required)
     if missing:
         raise DataQualityError(f"Missing required columns: {missing}")
     return df
 
 
+def is_nonempty(df: DataFrame) -> bool:
+    return not df.isEmpty()
+
+
 def require_nonempty(df: DataFrame, what: str = "Input data") -> DataFrame:
     """Raise when the frame has no row (a LIMIT 1 job, never a full count)."""
-    if df.isEmpty():
+    if not is_nonempty(df):
         raise DataQualityError(f"{what} is empty")
     return df
 

@@ -1,7 +1,7 @@
 """Deterministic splits and folds with exact sizes, without a global sort.
 
 Rows are ordered by a seeded hash of their key: ``md5(key || '-' || seed)``
-(hex, so string order is numeric order), ties broken by the key itself.
+(hex, so string order is numeric order), rows with equal keys by a hash of the whole row.
 A split cuts that order into consecutive chunks of exact sizes (hold-out:
 ``ceil(frac·n)`` test rows first; k-fold: sizes ``n//k + 1`` for the first
 ``n % k`` folds, then ``n//k``), optionally per stratum.
@@ -15,14 +15,13 @@ Instead the cut points are found by **radix selection** on the hash:
    next ``DIGITS`` hex digits — a partial aggregation whose output is at
    most ``16**DIGITS`` rows per cut — and the bucket holding the wanted rank
    extends the prefix;
-4. once a bucket holds at most ``leaf_rows`` rows, those few keys are fetched
-   and ranked exactly on the driver.
-
-Every step scans in parallel; what reaches the driver per level is bounded
-(about a million prefix counts and two million keys, whatever the number of
-cuts: the leaf size and the digits per level shrink as cuts grow).  The cut keys then
-go back as a small broadcast table (one row per stratum) and each row's chunk
-is the number of cut keys at or below its own (hash, key).
+4. once a bucket holds at most ``leaf_rows`` rows, those few hashes are fetched and ranked exactly
+   on the driver; a bucket of equal keys is split further by a hash of the whole row.
+
+Every step scans in parallel; what reaches the driver per level is bounded (about a million prefix
+counts and two million hashes, whatever the number of cuts: the leaf size and the digits per level
+shrink as cuts grow).  The cuts then go back as literals or as a small broadcast table (one row per
+stratum), and each row's chunk is the number of cuts at or below its own hash.
 """
 
 from __future__ import annotations
@@ -32,22 +31,32 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haze.session import written
+
 DIGITS = 3
 HASH_LEN = 32
-MAX_STRATA = 1_000            # strata are class labels; more strata than this is refused
+TIE_LEN = 16                  # hex digits of the row hash that orders rows with equal keys
+LITERAL_STRATA = 64           # up to this many open prefixes or strata become literals, more a joined table
 FETCH_BUDGET = 2_000_000      # keys fetched to the driver per selection level, over all cuts
 COUNT_BUDGET = 1_100_000      # prefix counts returned to the driver per selection level
 
 
 def order_hash(key_cols: list[str], seed: int = 42) -> Column:
-    """md5 hex of the key text and the seed; a single key is written as ``cast(key as string)``."""
+    """md5 hex of the key text and the seed; a single key is written as ``cast(key as string)``, null as empty."""
     if len(key_cols) == 1:
-        text = F.col(key_cols[0]).cast("string")
+        text = F.coalesce(F.col(f"`{key_cols[0]}`").cast("string"), F.lit(""))
     else:
-        text = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
+        text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in key_cols])
     return F.md5(F.concat(text, F.lit(f"-{seed}")))
 
 
+def _row_hash(df: DataFrame, seed: int) -> Column:
+    """16 hex digits of the whole row: orders rows whose keys are equal."""
+    parts = [F.col(f"`{f.name}`") if f.dataType.typeName() not in ("map", "variant") else F.to_json(F.col(f"`{f.name}`"))
+             for f in df.schema.fields]
+    return F.lower(F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), TIE_LEN, "0"))
+
+
 def kfold_sizes(n: int, k: int) -> list[int]:
     q, r = divmod(n, k)
     return [q + 1] * r + [q] * (k - r)
@@ -73,27 +82,32 @@ def assign_chunks(df: DataFrame, key_cols: list[str], sizes_for, strata: list[st
                   seed: int = 42, out: str = "chunk", leaf_rows: int = 50_000) -> DataFrame:
     """Add ``out`` = index of the consecutive chunk each row falls in.
 
-    ``sizes_for(n)`` gives the chunk sizes of a stratum with ``n`` rows.
+    ``sizes_for(n)`` gives the chunk sizes of a stratum with ``n`` rows.  Rows are split, not keys: rows
+    with one key are ordered by a hash of the whole row, and if a cut falls among rows that are equal
+    throughout, the table is written once with a number per row that settles them.
     """
     strata = list(strata or [])
-    h = "_h"
-    hashed = df.withColumn(h, order_hash(key_cols, seed))
+    order = F.concat(order_hash(key_cols, seed), _row_hash(df, seed))
+    hashed = df.withColumn("_h", order)
+    cuts = _cuts(hashed, strata, sizes_for, leaf_rows, HASH_LEN + TIE_LEN)
+    if cuts is None:
+        numbered = written(df.withColumn("_copy", F.monotonically_increasing_id()), "split")
+        hashed = numbered.withColumn("_h", F.concat(order, F.md5(F.col("_copy").cast("string")))).drop("_copy")
+        cuts = _cuts(hashed, strata, sizes_for, leaf_rows, 2 * HASH_LEN + TIE_LEN)
+    return _apply_cuts(hashed, strata, cuts, out).drop("_h")
+
+
+def _cuts(hashed: DataFrame, strata: list[str], sizes_for, leaf_rows: int, length: int) -> dict | None:
+    """(stratum, cut) -> hash of the first row after the cut; None if a cut falls among equal hashes."""
     sizes = _stratum_sizes(hashed, strata)
-    targets = []  # (stratum tuple, cut index, rank)
-    for g, n in sizes.items():
-        for j, r in enumerate(_cut_ranks(sizes_for(n))):
-            targets.append((g, j, r))
+    targets = [(g, j, r) for g, n in sizes.items() for j, r in enumerate(_cut_ranks(sizes_for(n)))]
     # bound the driver traffic however many cuts there are: fewer keys per leaf when cuts are many
     leaf_rows = min(leaf_rows, max(64, FETCH_BUDGET // max(1, len(targets))))
-    cuts = _radix_select(hashed, h, key_cols, strata, targets, leaf_rows, sizes)
-    return _apply_cuts(hashed, h, key_cols, strata, cuts, out).drop(h)
+    return _radix_select(hashed, strata, targets, leaf_rows, sizes, length)
 
 
 def _stratum_sizes(df: DataFrame, strata: list[str]) -> dict[tuple, int]:
-    rows = (df.groupBy(*strata).count().limit(MAX_STRATA + 1).collect() if strata
-            else [df.agg(F.count(F.lit(1)).alias("count")).first()])
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
+    rows = df.groupBy(*strata).count().collect() if strata else [df.agg(F.count(F.lit(1)).alias("count")).first()]
     return {tuple(r[c] for c in strata): r["count"] for r in rows}
 
 
@@ -104,25 +118,43 @@ def _stratum_match(strata: list[str], values: tuple) -> Column:
     return cond
 
 
-def _radix_select(df: DataFrame, h: str, key_cols: list[str], strata: list[str], targets, leaf_rows: int,
-                  sizes: dict | None = None):
-    """Exact key (hash, *key) at each target rank, found level by level on hash prefixes."""
+def _table(df: DataFrame, strata: list[str], rows: list[tuple], extra: str) -> tuple[DataFrame, Column]:
+    """A broadcast table (one row per open prefix or stratum) and its null-safe join condition on the strata."""
+    kinds = ", ".join([f"_s{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(strata)] + [extra])
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, kinds))
+    cond = F.lit(True)
+    for i, c in enumerate(strata):
+        cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(f"_s{i}"))
+    return table, cond
+
+
+def _under(df: DataFrame, strata: list[str], prefixes: set[tuple[tuple, str]]) -> DataFrame:
+    """Rows under any of the (stratum, hash prefix) pairs, with their prefix ``_pre``."""
+    length = {len(p) for _, p in prefixes}.pop()
+    head = F.substring("_h", 1, length) if length else F.lit("")
+    if len(prefixes) <= LITERAL_STRATA:
+        cond = F.lit(False)
+        for g, p in prefixes:
+            cond = cond | (_stratum_match(strata, g) & (head == F.lit(p)))
+        return df.where(cond).withColumn("_pre", head)
+    table, same = _table(df, strata, [(*g, p) for g, p in prefixes], "_pre string")
+    return df.join(table, same & (head == F.col("_pre")))
+
+
+def _radix_select(df: DataFrame, strata: list[str], targets, leaf_rows: int, sizes: dict, length: int):
+    """The hash at each target rank, found level by level on hash prefixes."""
     state = {(g, j): ["", r] for g, j, r in targets}   # prefix, residual rank inside the prefix
     done: dict = {}
     plen = 0
     # a stratum that is already small enough is ranked from its keys directly
-    small = {(g, j): ("", r) for (g, j), (_p, r) in state.items() if sizes is not None and sizes[g] <= leaf_rows}
-    if small:
-        _rank_leaves(df, h, key_cols, strata, small, state, done)
+    small = {(g, j): ("", r) for (g, j), (_p, r) in state.items() if sizes[g] <= leaf_rows}
+    if small and not _rank_leaves(df, strata, small, state, done):
+        return None
     while state:
-        # rows of every still-open (stratum, prefix) counted per next DIGITS hex digits
         open_keys = {(g, p) for (g, _j), (p, _r) in state.items()}
-        cond = F.lit(False)
-        for g, p in open_keys:
-            cond = cond | (_stratum_match(strata, g) & (F.substring(F.col(h), 1, plen) == F.lit(p)))
-        digits = DIGITS if len(open_keys) * 16 ** DIGITS <= COUNT_BUDGET else 2
-        step = min(digits, HASH_LEN - plen)
-        counts = (df.where(cond).groupBy(*strata, F.substring(F.col(h), 1, plen + step).alias("_p"))
+        digits = DIGITS if len(open_keys) * 16 ** DIGITS <= COUNT_BUDGET else 2 if len(open_keys) * 256 <= COUNT_BUDGET else 1
+        step = min(digits, length - plen)
+        counts = (_under(df, strata, open_keys).groupBy(*strata, F.substring("_h", 1, plen + step).alias("_p"))
                   .count().collect())
         by_prefix: dict = {}
         for row in counts:
@@ -134,59 +166,55 @@ def _radix_select(df: DataFrame, h: str, key_cols: list[str], strata: list[str],
             for nxt, cnt in sorted(by_prefix.get((g, p), [])):
                 if r < acc + cnt:
                     state[(g, j)] = [nxt, r - acc]
-                    if cnt <= leaf_rows or plen + step >= HASH_LEN:
+                    if plen + step >= length:
+                        if r > acc:  # the cut falls inside a run of equal hashes
+                            return None
+                        done[(g, j)] = nxt
+                        del state[(g, j)]
+                    elif cnt <= leaf_rows:
                         leaf[(g, j)] = (nxt, r - acc)
                     break
                 acc += cnt
             else:
                 raise RuntimeError("rank beyond stratum size")
-        if leaf:
-            _rank_leaves(df, h, key_cols, strata, leaf, state, done)
+        if leaf and not _rank_leaves(df, strata, leaf, state, done):
+            return None
         plen += step
     return done
 
 
-def _rank_leaves(df: DataFrame, h: str, key_cols: list[str], strata: list[str], leaf: dict, state: dict,
-                 done: dict) -> None:
-    """Fetch the (bounded) keys under each leaf prefix and pick the wanted rank exactly."""
-    lcond = F.lit(False)
-    for (g, _j), (p, _r) in leaf.items():
-        lcond = lcond | (_stratum_match(strata, g) & F.startswith(F.col(h), F.lit(p)))
-    rows = df.where(lcond).select(*strata, h, *key_cols).collect()
+def _rank_leaves(df: DataFrame, strata: list[str], leaf: dict, state: dict, done: dict) -> bool:
+    """Fetch the (bounded) hashes under each leaf prefix and pick the wanted rank; False on a tie at a cut."""
+    rows = _under(df, strata, {(g, p) for (g, _j), (p, _r) in leaf.items()}).select(*strata, "_pre", "_h").collect()
     groups: dict = {}
     for row in rows:
-        g = tuple(row[c] for c in strata)
-        groups.setdefault(g, []).append(tuple([row[h]] + [row[c] for c in key_cols]))
+        groups.setdefault((tuple(row[c] for c in strata), row["_pre"]), []).append(row["_h"])
+    for v in groups.values():
+        v.sort()
     for (g, j), (p, r) in leaf.items():
-        cand = sorted(t for t in groups.get(g, []) if t[0].startswith(p))
+        cand = groups[(g, p)]
+        if r and cand[r] == cand[r - 1]:
+            return False
         done[(g, j)] = cand[r]
         del state[(g, j)]
+    return True
 
 
-LITERAL_STRATA = 64
+def _apply_cuts(df: DataFrame, strata: list[str], cuts: dict, out: str) -> DataFrame:
+    """Chunk index = number of cuts at or below the row's hash.
 
-
-def _apply_cuts(df: DataFrame, h: str, key_cols: list[str], strata: list[str], cuts: dict, out: str) -> DataFrame:
-    """Chunk index = number of cut keys at or below the row's (hash, key).
-
-    With few strata the cut keys become literals in one projection (no join);
-    with many, a table of one row per stratum (its size is known here) is
-    broadcast and joined on the strata columns.
+    With few strata the cuts become literals in one projection (no join); with many, a table of one
+    row per stratum is broadcast and joined on the strata columns.
     """
     by_stratum: dict = {}
     for (g, j), key in cuts.items():
         by_stratum.setdefault(g, []).append((j, key))
     ordered = {g: [k for _j, k in sorted(v)] for g, v in by_stratum.items()}
-    row_key = F.struct(F.col(h).alias(h), *[F.col(c) for c in key_cols])
-    key_types = {c: df.schema[c].dataType for c in key_cols}
-
-    def lit_key(k):
-        return F.struct(F.lit(k[0]).alias(h), *[F.lit(v).cast(key_types[c]).alias(c) for c, v in zip(key_cols, k[1:])])
 
     def count_below(keys):
         expr = F.lit(0)
         for k in keys:
-            expr = expr + (row_key >= lit_key(k)).cast("int")
+            expr = expr + (F.col("_h") >= F.lit(k)).cast("int")
         return expr
 
     if not ordered:
@@ -199,18 +227,10 @@ def _apply_cuts(df: DataFrame, h: str, key_cols: list[str], strata: list[str], c
             cond = _stratum_match(strata, g)
             expr = F.when(cond, count_below(keys)) if expr is None else expr.when(cond, count_below(keys))
         return df.withColumn(out, F.coalesce(expr, F.lit(0)).cast("int"))
-    struct_t = "struct<" + ",".join([f"{h}:string"] + [f"{c}:{key_types[c].simpleString()}" for c in key_cols]) + ">"
-    strata_t = [f"{c} {df.schema[c].dataType.simpleString()}" for c in strata]
-    schema = ", ".join(strata_t + [f"_cuts array<{struct_t}>"])
-    rows = [tuple(list(g) + [[tuple(k) for k in keys]]) for g, keys in ordered.items()]
-    table = df.sparkSession.createDataFrame(rows, schema)   # one row per stratum: size known here
-    cond = None
-    for c in strata:
-        e = df[c].eqNullSafe(table[c])
-        cond = e if cond is None else cond & e
-    joined = df.join(F.broadcast(table), cond, "left").drop(*[table[c] for c in strata])
-    chunk = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: row_key >= c)), F.lit(0))
-    return joined.withColumn(out, chunk.cast("int")).drop("_cuts")
+    table, same = _table(df, strata, [(*g, keys) for g, keys in ordered.items()], "_cuts array<string>")
+    joined = df.join(table, same, "left")
+    chunk = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: F.col("_h") >= c)), F.lit(0))
+    return joined.withColumn(out, chunk.cast("int")).drop("_cuts", *[f"_s{i}" for i in range(len(strata))])
 
 
 def holdout_split(df: DataFrame, key_cols: list[str], test_frac: float = 0.2, seed: int = 42,

@@ -66,11 +66,15 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
             log.warning("target %r missing or single-class: building terciles of %s", target, cfg.label_source)
             df = feat.add_tercile_label(df, cfg.label_source, target)
     quality.require_columns(df, [target])
-    # missing values: median for numbers (target too), most frequent for strings
+    # a timestamp that arrived as text is parsed, never one-hot coded
+    if dict(df.dtypes).get(TIME_COL) == "string":
+        df = clean.parse_timestamp(df, TIME_COL)
+    # missing values: median for numbers, most frequent for strings; the target too
     num = _numeric_features(df, set(key))
-    strs = [c for c in quality.string_columns(df) if c != target]
+    texts = [c for c in quality.string_columns(df) if c not in key]
+    strs = [c for c in texts if c != target]
     df = clean.impute_median(df, num)
-    df = clean.impute_mode(df, strs)
+    df = clean.impute_mode(df, texts)
     # the outlier cascade scans the filled table once per column: keep it (spills to disk when large)
     filled = df.persist(StorageLevel.MEMORY_AND_DISK)
     # outliers over numeric columns except the target, in column order
@@ -79,6 +83,7 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     # features: one-hot strings, time parts, interactions, polynomials; incomplete rows dropped
     for c in strs:
         df = feat.one_hot(df, c, prefix=c)
+    df = df.toDF(*[c.replace(".", "_") for c in df.columns])  # model stages read a dot as a nested field
     df = feat.engineer_features(df, task, TIME_COL)
     exclude = {target, "aqi", TIME_COL, *key}
     if cfg.exclude_derived and task == "classification":
@@ -102,7 +107,7 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     # model fitting is CPU-bound per row: never fit on fewer partitions than there are cores
     # (small inputs get coalesced to one partition by AQE); large inputs keep their partitioning
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
+    if data.select(F.spark_partition_id()).distinct().count() < cores:
         data = data.repartition(cores)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     sel_rows = data.where(F.col("is_test") == 0) if cfg.select_on_train else data

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haze.operators.quality import DataQualityError
+from haze.session import written
+
 # Timestamps keep microseconds through a CSV round trip.
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # Raw reading layout (column order matters to the outlier cascade).  The raw
 # files call the PM2.5 column "pm2.5"; a dot cannot be resolved unquoted in
 # Spark, so the schema renames it positionally to pm25.
+# fixed values: the data contract of a raw reading, in column order
 READING = T.StructType([
     T.StructField("city", T.StringType()),
     T.StructField("ts", T.TimestampType()),
@@ -48,25 +52,54 @@ WEATHER_JSON = T.StructType([
 ])
 
 
+def _by_header(spark: SparkSession, path: str, schema: T.StructType) -> tuple[T.StructType, list[str]]:
+    """The schema in the order of the file's own header, and the missing column names.
+
+    Header names may be the raw ones (``RAW_NAMES``); columns outside ``schema`` are read as text.
+    """
+    back = {v: k for k, v in RAW_NAMES.items()}
+    names = [back.get(c, c) for c in spark.read.option("header", True).csv(path).columns]
+    fields = {f.name: f for f in schema.fields}
+    kinds = [fields.get(n) or T.StructField(n, T.StringType()) for n in names]
+    return T.StructType(kinds), [f.name for f in schema.fields if f.name not in names]
+
+
+def _named(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> T.StructType:
+    if not header:
+        return schema
+    found, missing = _by_header(spark, path, schema)
+    if missing:
+        raise DataQualityError(f"Missing required columns: {missing}")
+    return found
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = READING, header: bool = True,
              mode: str = "FAILFAST") -> DataFrame:
-    """CSV with an explicit schema (no inference pass); columns are taken by position."""
-    return (spark.read.schema(schema).option("header", header).option("mode", mode)
-            .option("timestampFormat", TS_FORMAT).option("enforceSchema", True).csv(path))
+    """CSV with an explicit schema (no inference pass), columns taken by header name.
+
+    Without a header they are taken by position.  Every column of ``schema`` has to be there; others
+    are dropped.  All files of a folder share one column order: it is taken from one of them.
+    """
+    found = _named(spark, path, schema, header)
+    df = (spark.read.schema(found).option("header", header).option("mode", mode)
+          .option("timestampFormat", TS_FORMAT).csv(path))
+    return df.select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def read_csv_permissive(spark: SparkSession, path: str, schema: T.StructType = READING,
                         header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected raw lines): malformed lines go to a reject frame instead of failing the job."""
-    s = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
+    """(good rows, rejected raw lines): malformed lines go to a reject frame instead of failing the job.
+
+    Both frames read one parse, written to the shared scratch folder: the corrupt-record column is only
+    reliable on fully parsed rows, and a lost executor must not change it.
+    """
+    found = _named(spark, path, schema, header)
+    s = T.StructType(found.fields + [T.StructField("_corrupt_record", T.StringType())])
     df = (spark.read.schema(s).option("header", header).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").option("timestampFormat", TS_FORMAT).csv(path))
-    # the corrupt-record column is only reliable on a fully parsed row (CSV column pruning would skip
-    # the bad field), so both frames read one persisted parse (spills to disk when large)
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = written(df, "csv-parse")
     bad = df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    good = df.where(F.col("_corrupt_record").isNull()).select(*[F.col(f"`{f.name}`") for f in schema.fields])
     return good, bad
 
 

@@ -116,8 +116,7 @@ def test_asof_join_matches_merge_asof(spark):
     right = pd.DataFrame({"k": rng.choice(["a", "b"], 150),
                           "rt": base + pd.to_timedelta(rng.choice(86400 * 3, 150, replace=False), "s"),
                           "v": rng.normal(size=150)})
-    got = joins.asof_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "rt",
-                          bucket_seconds=7200).toPandas().sort_values("lid").reset_index(drop=True)
+    got = joins.asof_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "rt").toPandas().sort_values("lid").reset_index(drop=True)
     want = pd.merge_asof(left.sort_values("t"), right.sort_values("rt"), left_on="t", right_on="rt", by="k",
                          direction="backward").sort_values("lid").reset_index(drop=True)
     assert np.allclose(got["v"].fillna(-999).values, want["v"].fillna(-999).values)
