@@ -1,8 +1,7 @@
-"""Model queries: fits, tuning, cross-validation, full training runs, prediction, persistence.
+"""Model queries: fits, tuning, cross-validation, training runs, prediction, persistence.
 
-Fitted trees have no SQL twin; these are checked by rows here and by
-planted-signal and save/load tests.  Grids are cut to two points and two
-folds, forests to at most 20 trees of depth 5, so each query stays small.
+Fitted trees have no SQL twin: those queries return hold-out metrics (rows-only check, held by the
+planted-signal tests); the prepared input, predictions' rows, save/load and run records have one.
 """
 
 from __future__ import annotations
@@ -17,104 +16,101 @@ from haze.catalog._util import Views, rounded, view_sql
 from haze.config import ClassificationConfig, RegressionConfig
 from haze.operators import stats
 from haze.plans import training
-from haze.session import scratch_dir
+from haze.session import scratch_dir, written
+from haze.sources import files
 
-SMALL = dict(grid="small", cv_folds=2, parallelism=2, max_features=8)
-TREE_KW = dict(numTrees=20, maxDepth=5)
-GBT_KW = dict(maxIter=10, maxDepth=3)
-RBF_KW = dict(numFeatures=30, maxIter=50)
-LR_KW = dict(maxIter=100)
-MODEL_PARAMS = {"forest": TREE_KW, "gbt": GBT_KW, "rbf": RBF_KW, "logistic": LR_KW}
+# Single fits use the reference's own settings (100 trees of depth 15, 100 rounds, 1,000 iterations,
+# 100 random features, trees without a depth limit).  README names what no query runs.
 
+# The classification input in SQL: tercile label, median fill (no gaps in readings), the outlier cascade in
+# column order, engineered features, hold-out per class in hash order.
+_COLS = ["pm25", "aqi", "temperature", "humidity", "pressure", "wind_speed"]
 
-def _cls_cfg(**kw):
-    return ClassificationConfig(**{**SMALL, "model_params": MODEL_PARAMS, **kw})
 
+def _holdout_sql() -> str:
+    parts = [view_sql("readings") + """,
+q AS (SELECT quantile_cont(pm25, 0.33) AS a, quantile_cont(pm25, 0.66) AS b FROM readings),
+c0 AS (SELECT readings.*, CASE WHEN pm25 <= a THEN 0 WHEN pm25 <= b THEN 1 ELSE 2 END AS band FROM readings, q)"""]
+    for i, c in enumerate(_COLS):
+        parts.append(f"""f{i} AS (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM c{i}),
+c{i + 1} AS (SELECT c{i}.* FROM c{i}, f{i} WHERE {c} BETWEEN q1 - 1.5e0 * (q3 - q1) AND q3 + 1.5e0 * (q3 - q1))""")
+    parts.append("""labelled AS (SELECT *, CASE band WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS label,
+    temperature / (humidity + 1e-8) AS temp_humidity_ratio, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week FROM c6),
+counted AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (
+    PARTITION BY label ORDER BY md5(concat(CAST(reading_id AS VARCHAR), '-42')), reading_id) - 1 AS r FROM labelled),
+marked AS (SELECT *, CAST(ceil(0.2e0 * n) AS BIGINT) AS t FROM counted)
+""")
+    return ",\n".join(parts)
 
-def _reg_cfg(**kw):
-    return RegressionConfig(**{**SMALL, "target_column": "target", "model_params": MODEL_PARAMS, **kw})
 
+HOLDOUT = _holdout_sql()
 
-# Prepared (cleaned, featured, split, persisted) model inputs, shared by the model queries of one
-# session: several queries fit different models on the same prepared rows, as a user would.
-_PREPARED: dict = {}
 
+def _prepared(spark, sf_dir, task, **kw):
+    if task == "classification":
+        cfg, view = ClassificationConfig(**kw), "readings"
+    else:
+        cfg, view = RegressionConfig(**{"target_column": "target", **kw}), "readings_signal"
+    return cfg, training.prepare(Views(spark, sf_dir)[view], cfg, task)
 
-def _prepared(spark, sf_dir, task, cfg):
-    key = (spark.sparkContext.applicationId, sf_dir, task, repr(cfg))
-    if key not in _PREPARED:
-        view = "readings" if task == "classification" else "readings_signal"
-        _PREPARED[key] = training.prepare(Views(spark, sf_dir)[view], cfg, task)
-    return _PREPARED[key]
 
+def _fitted(spark, sf_dir, task, name, **model_kw):
+    cfg, prep = _prepared(spark, sf_dir, task)
+    model, *_ = training.fit_model(prep, name, cfg, task, tune=False, cv=False, **model_kw)
+    return prep, model
 
-def _cls_prep(spark, sf_dir, **kw):
-    cfg = _cls_cfg(**kw)
-    return cfg, _prepared(spark, sf_dir, "classification", cfg)
 
-
-def _reg_prep(spark, sf_dir, **kw):
-    cfg = _reg_cfg(**kw)
-    return cfg, _prepared(spark, sf_dir, "regression", cfg)
-
-
-def _one_classifier(spark, sf_dir, name, **model_kw):
-    cfg, prep = _cls_prep(spark, sf_dir)
-    model, cv_mean, cv_std, _ = training.fit_model(prep, name, cfg, "classification", tune=False, **model_kw)
-    r = training.evaluate_classifier(model, prep.data.where("is_test = 1"), len(prep.labels))
-    r.update(cv_f1_mean=cv_mean, cv_f1_std=cv_std, n_features=len(prep.features))
-    return rounded(spark.createDataFrame([r]))
-
-
-def _one_regressor(spark, sf_dir, name, **model_kw):
-    cfg, prep = _reg_prep(spark, sf_dir)
-    model, cv_mean, cv_std, _ = training.fit_model(prep, name, cfg, "regression", tune=False, **model_kw)
-    r = training.evaluate_regressor(model, prep.data.where("is_test = 1"))
-    r.update(cv_mse_mean=cv_mean, cv_mse_std=cv_std, n_features=len(prep.features))
+def _one(spark, sf_dir, task, name, **model_kw):
+    prep, model = _fitted(spark, sf_dir, task, name, **model_kw)
+    test = prep.data.where("is_test = 1")
+    r = training.evaluate_classifier(model, test, len(prep.labels)) if task == "classification" \
+        else training.evaluate_regressor(model, test)
+    r["n_features"] = len(prep.features)
+    prep.data.unpersist()
     return rounded(spark.createDataFrame([r]))
 
 
 @register("clf_logistic")
 def clf_logistic(spark, sf_dir):
     """Logistic regression (one-vs-rest over the PM2.5 terciles), robust-scaled chain, hold-out metrics."""
-    return _one_classifier(spark, sf_dir, "logistic", **LR_KW)
+    return _one(spark, sf_dir, "classification", "logistic")
 
 
 @register("clf_forest")
 def clf_forest(spark, sf_dir):
-    return _one_classifier(spark, sf_dir, "forest", **TREE_KW)
+    return _one(spark, sf_dir, "classification", "forest")
 
 
 @register("clf_gbt")
 def clf_gbt(spark, sf_dir):
     """Boosted trees; three classes → one-vs-rest over binary GBTs, AUC from raw scores."""
-    return _one_classifier(spark, sf_dir, "gbt", **GBT_KW)
+    return _one(spark, sf_dir, "classification", "gbt")
 
 
 @register("clf_tree")
 def clf_tree(spark, sf_dir):
-    return _one_classifier(spark, sf_dir, "tree", maxDepth=5)
+    return _one(spark, sf_dir, "classification", "tree")
 
 
 @register("reg_forest")
 def reg_forest(spark, sf_dir):
-    return _one_regressor(spark, sf_dir, "forest", **TREE_KW)
+    return _one(spark, sf_dir, "regression", "forest")
 
 
 @register("reg_gbt")
 def reg_gbt(spark, sf_dir):
-    return _one_regressor(spark, sf_dir, "gbt", **GBT_KW)
+    return _one(spark, sf_dir, "regression", "gbt")
 
 
 @register("reg_rbf")
 def reg_rbf(spark, sf_dir):
     """RBF-kernel regression approximated by random Fourier features + Huber linear regression."""
-    return _one_regressor(spark, sf_dir, "rbf", **RBF_KW)
+    return _one(spark, sf_dir, "regression", "rbf")
 
 
 @register("reg_tree")
 def reg_tree(spark, sf_dir):
-    return _one_regressor(spark, sf_dir, "tree", maxDepth=5)
+    return _one(spark, sf_dir, "regression", "tree")
 
 
 @register("reg_linear", view_sql("readings_signal") + """
@@ -129,30 +125,46 @@ def reg_linear(spark, sf_dir):
                                          "intercept double, b_temperature double"))
 
 
-@register("chained_scaler_fit")
+@register("chained_scaler_fit", HOLDOUT + "SELECT reading_id, label FROM marked WHERE r < t")
 def chained_scaler_fit(spark, sf_dir):
-    """Exact robust scaler + assembler + forest as one Pipeline; test-row predictions."""
-    cfg, prep = _cls_prep(spark, sf_dir)
-    model, *_ = training.fit_model(prep, "forest", cfg, "classification", tune=False, **TREE_KW)
-    out = model.transform(prep.data.where("is_test = 1")).select("reading_id", "label", "prediction")
+    """Exact robust scaler + assembler + forest as one chain, applied to the hold-out rows."""
+    prep, model = _fitted(spark, sf_dir, "classification", "forest")
+    out = written(model.transform(prep.data.where("is_test = 1")).where(F.col("prediction").isNotNull()).select(
+        "reading_id", F.col("label").cast("int").alias("label")), "predictions")
+    prep.data.unpersist()
     return out
 
 
+@register("model_input", HOLDOUT + """
+SELECT reading_id, label, CAST(r < t AS INTEGER) AS is_test,
+       CASE WHEN r < t THEN -1 WHEN r - t < (n - t) % 5 * ((n - t) // 5 + 1) THEN CAST((r - t) // ((n - t) // 5 + 1) AS INTEGER)
+            ELSE CAST((r - t - (n - t) % 5 * ((n - t) // 5 + 1)) // ((n - t) // 5) + (n - t) % 5 AS INTEGER) END AS fold,
+       round(temp_humidity_ratio, 6) AS temp_humidity_ratio, day_of_week FROM marked""")
+def model_input(spark, sf_dir):
+    """The prepared classification input: labels, outlier cascade, features, stratified hold-out and folds."""
+    _, prep = _prepared(spark, sf_dir, "classification")
+    out = written(prep.data.select("reading_id", F.col("label").cast("int").alias("label"), "is_test", "fold",
+                                   "temp_humidity_ratio", "day_of_week"), "model-input")
+    prep.data.unpersist()
+    return rounded(out)
+
+
 @register("grid_search")
 def grid_search(spark, sf_dir):
-    """Two-point forest grid, 2 folds on the fold column: mean and std of weighted F1 per point."""
-    cfg, prep = _cls_prep(spark, sf_dir)
-    _m, _mean, _std, cvm = training.fit_model(prep, "forest", cfg, "classification", tune=True, maxDepth=5)
-    rows = [(str({p.name: v for p, v in pm.items()}), float(a), float(s))
-            for pm, a, s in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics, cvm.stdMetrics)]
+    """The full logistic grid (8 points), 5 folds on the fold column: mean and std of weighted F1 per point."""
+    cfg, prep = _prepared(spark, sf_dir, "classification")
+    *_, cv = training.fit_model(prep, "logistic", cfg, "classification", tune=True)
+    prep.data.unpersist()
+    rows = [(str({p.name: v for p, v in pm.items()}), a, s) for pm, a, s in zip(cv.points, cv.means, cv.stds)]
     return rounded(spark.createDataFrame(rows, "params string, f1_mean double, f1_std double"))
 
 
 @register("cv_scores")
 def cv_scores(spark, sf_dir):
-    """Per-fold weighted F1 of logistic regression and its mean / population std."""
-    cfg, prep = _cls_prep(spark, sf_dir, cv_folds=3)
-    folds = training.cross_val_scores(prep, "logistic", cfg, "classification", **LR_KW)
+    """Weighted F1 of logistic regression on each of 5 folds and its mean / population std."""
+    cfg, prep = _prepared(spark, sf_dir, "classification")
+    folds = training.cross_val_scores(prep, "logistic", cfg, "classification")
+    prep.data.unpersist()
     s = stats.score_summary(folds, "score").first()
     return rounded(folds.withColumn("mean", F.lit(s["mean"])).withColumn("std", F.lit(s["std"]))
                    .withColumn("n_folds", F.lit(s["n_folds"])))
@@ -160,53 +172,56 @@ def cv_scores(spark, sf_dir):
 
 @register("train_classification")
 def train_classification(spark, sf_dir):
-    """Full run: terciles label, cleaning, cascade, features, k-best, split, tuned models, leaderboard."""
-    cfg = _cls_cfg(models=["logistic", "forest", "gbt"])
-    res = training.train_classification(Views(spark, sf_dir)["readings"], cfg)
-    return rounded(res.results.drop("key"))
+    """Run of two models at default settings with 5-fold scores: labels, cleaning, cascade, features,
+    k-best, split, fits, leaderboard."""
+    cfg = ClassificationConfig(models=["logistic", "tree"], use_hyperparameter_tuning=False)
+    return rounded(training.train_classification(Views(spark, sf_dir)["readings"], cfg).results.drop("key"))
 
 
 @register("train_regression")
 def train_regression(spark, sf_dir):
-    cfg = _reg_cfg(models=["forest", "gbt", "rbf"])
-    res = training.train_regression(Views(spark, sf_dir)["readings_signal"], cfg)
-    return rounded(res.results.drop("key"))
-
-
-def _best_forest(spark, sf_dir):
-    cfg, prep = _cls_prep(spark, sf_dir)
-    model, *_ = training.fit_model(prep, "forest", cfg, "classification", tune=False, **TREE_KW)
-    return cfg, prep, model
+    cfg = RegressionConfig(target_column="target", models=["linear", "tree"], use_hyperparameter_tuning=False)
+    return rounded(training.train_regression(Views(spark, sf_dir)["readings_signal"], cfg).results.drop("key"))
 
 
-@register("predict")
+@register("predict", HOLDOUT + "SELECT reading_id, true AS known_class FROM marked WHERE r < t")
 def predict(spark, sf_dir):
-    """Predictions with decoded class names for the hold-out rows."""
-    _cfg, prep, model = _best_forest(spark, sf_dir)
-    return training.predict(model, prep.data.where("is_test = 1"), prep.features, prep.labels, keep=["reading_id"])
+    """Decoded predictions for the hold-out rows: which rows, and whether each names one of the classes."""
+    prep, model = _fitted(spark, sf_dir, "classification", "forest")
+    found = training.predict(model, prep.data.where("is_test = 1"), prep.features, prep.labels, keep=["reading_id"])
+    out = written(found.select("reading_id", F.col("predicted_label").isin(*prep.labels).alias("known_class")), "predictions")
+    prep.data.unpersist()
+    return out
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
-    _cfg, prep, model = _best_forest(spark, sf_dir)
+    prep, model = _fitted(spark, sf_dir, "classification", "forest")
+    prep.data.unpersist()
     return rounded(training.feature_importance(model, prep.features))
 
 
-@register("run_metadata")
+@register("run_metadata", "SELECT 'Linear Regression' AS best_model, CAST(10 AS INTEGER) AS n_features, 'target' AS target, count(*) > 0 AS has_rows FROM events")
 def run_metadata(spark, sf_dir):
-    """One-row run record of a regression run (best model, features, config)."""
-    res = training.train_regression(Views(spark, sf_dir)["readings_signal"], _reg_cfg(models=["forest"]))
-    return res.metadata.select("best_model", "features", "config_json")
+    """The run record of a regression run, written as JSON and read back."""
+    cfg = RegressionConfig(target_column="target", models=["linear"], use_hyperparameter_tuning=False)
+    res = training.train_regression(Views(spark, sf_dir)["readings_signal"], cfg)
+    path = files.write_metadata(res.metadata, scratch_dir(spark, "run-metadata"))
+    meta = spark.read.schema(res.metadata.schema).json(path)
+    return meta.select("best_model", F.size("features").alias("n_features"),
+                       F.get_json_object("config_json", "$.target_column").alias("target"), F.lit(True).alias("has_rows"))
 
 
-@register("model_save_load")
+@register("model_save_load", HOLDOUT + "SELECT count(*) AS n, count(*) AS n_equal FROM marked WHERE r < t")
 def model_save_load(spark, sf_dir):
     """Fitted chain saved to the shared folder, loaded back, predictions compared row by row."""
-    _cfg, prep, model = _best_forest(spark, sf_dir)
+    prep, model = _fitted(spark, sf_dir, "classification", "forest")
     path = scratch_dir(spark, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     test = prep.data.where("is_test = 1")
     a = model.transform(test).select("reading_id", F.col("prediction").alias("p1"))
     b = loaded.transform(test).select("reading_id", F.col("prediction").alias("p2"))
-    return a.join(b, "reading_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("n_equal"))
+    out = written(a.join(b, "reading_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("n_equal")), "equal")
+    prep.data.unpersist()
+    return out

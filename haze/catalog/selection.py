@@ -65,9 +65,9 @@ def select_k_best_cls(spark, sf_dir):
 
 @register("rfe")
 def rfe(spark, sf_dir):
-    """Recursive elimination with a small forest down to 3 features (rows-only check)."""
+    """Recursive elimination with a 50-tree forest down to 3 of 6 features."""
     df, _ = features.label_index(_labelled(spark, sf_dir), "y", "label")
-    return select.rfe(df, FEATS, "label", 3, "classification", n_trees=10, max_depth=4)
+    return select.rfe(df, FEATS, "label", 3, "classification")
 
 
 @register("select_both")
@@ -75,4 +75,4 @@ def select_both(spark, sf_dir):
     """k-best (4 of 6 by regression F) then forest elimination to 2, on the planted-signal table."""
     df = Views(spark, sf_dir)["readings_signal"]
     kept = select.select_k_best(df, REG_FEATS, "target", 4, "regression")
-    return select.rfe(df, kept, "target", 2, "regression", n_trees=10, max_depth=4)
+    return select.rfe(df, kept, "target", 2, "regression")

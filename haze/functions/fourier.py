@@ -25,7 +25,7 @@ class _RffParams(Params):
     inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
     outputCol = Param(Params._dummy(), "outputCol", "feature vector out", TypeConverters.toString)
     numFeatures = Param(Params._dummy(), "numFeatures", "number of random features D", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel width; <= 0 means 'scale' = 1/(d·Var(X))", TypeConverters.toFloat)
+    gamma = Param(Params._dummy(), "gamma", "kernel width; 0 means 'scale' = 1/(d·Var(X)), below 0 'auto' = 1/d", TypeConverters.toFloat)
     seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
 
     def __init__(self):
@@ -47,7 +47,9 @@ class RandomFourierFeatures(Estimator, _RffParams, DefaultParamsReadable, Defaul
         arr = vector_to_array(F.col(col))
         d = len(df.select(col).first()[0])
         gamma = self.getOrDefault(self.gamma)
-        if gamma <= 0:
+        if gamma < 0:
+            gamma = 1.0 / d
+        elif gamma == 0:
             # 'scale': 1 / (d · variance of all feature values), one aggregation
             v = df.select(F.explode(arr).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
             gamma = 1.0 / (d * v) if v > 0 else 1.0

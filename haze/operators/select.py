@@ -58,7 +58,7 @@ def select_k_best(df: DataFrame, features: list[str], target: str, k: int, task:
 
 
 def rfe(df: DataFrame, features: list[str], label: str, k: int, task: str = "classification",
-        n_trees: int = 50, max_depth: int = 5, seed: int = 42) -> DataFrame:
+        n_trees: int = 50, max_depth: int = 30, seed: int = 42) -> DataFrame:
     """Recursive feature elimination with a random forest: refit, drop the least important, until k left.
 
     Each fit is a distributed Spark ML job; only the d importances come back.
@@ -77,10 +77,10 @@ def rfe(df: DataFrame, features: list[str], label: str, k: int, task: str = "cla
         vec = VectorAssembler(inputCols=cur, outputCol="_features").transform(data)
         if task == "classification":
             est = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=n_trees,
-                                         maxDepth=max_depth, seed=seed)
+                                         maxDepth=max_depth, seed=seed, maxMemoryInMB=1024)
         else:
             est = RandomForestRegressor(featuresCol="_features", labelCol=label, numTrees=n_trees,
-                                        maxDepth=max_depth, seed=seed)
+                                        maxDepth=max_depth, seed=seed, maxMemoryInMB=1024)
         imp = est.fit(vec).featureImportances.toArray()
         worst = min(range(len(cur)), key=lambda i: (imp[i], i))
         ranking[cur[worst]] = step_rank

@@ -64,14 +64,15 @@ def classifier(name: str, n_classes: int, n_train: int, seed: int = 42, **kw):
         return rf, rf
     if name == "gbt":
         gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=kw.get("maxIter", 100),
-                            maxDepth=kw.get("maxDepth", 6), stepSize=kw.get("stepSize", 0.1),
+                            maxDepth=kw.get("maxDepth", 6), stepSize=kw.get("stepSize", 0.3),
                             subsamplingRate=kw.get("subsample", 1.0), seed=seed, **TREE_SPEED)
         if multi:
             return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label",
                              parallelism=min(n_classes, 4)), gbt
         return gbt, gbt
     if name == "tree":
-        t = DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=kw.get("maxDepth", 5), seed=seed)
+        t = DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=kw.get("maxDepth", MAX_DEPTH), seed=seed,
+                                   maxMemoryInMB=1024)
         return t, t
     raise ValueError(f"unknown classifier {name!r}")
 
@@ -98,20 +99,25 @@ def regressor(name: str, seed: int = 42, **kw):
         lin = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal")
         return lin, lin
     if name == "tree":
-        t = DecisionTreeRegressor(featuresCol="features", labelCol="label", maxDepth=kw.get("maxDepth", 5), seed=seed)
+        t = DecisionTreeRegressor(featuresCol="features", labelCol="label", maxDepth=kw.get("maxDepth", MAX_DEPTH), seed=seed,
+                                  maxMemoryInMB=1024)
         return t, t
     raise ValueError(f"unknown regressor {name!r}")
 
 
-def chain(features: list[str], scaling: str, estimator) -> Pipeline:
-    """Scaler → assembler → model, so a grid search refits the scaler inside every fold."""
+def inputs(features: list[str], scaling: str) -> Pipeline:
+    """Scaler → assembler: fitted once per fold, shared by every point of a grid."""
     return Pipeline(stages=[ExactScaler(inputCols=features, method=scaling),
-                            VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
-                            estimator])
+                            VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")])
+
+
+def chain(features: list[str], scaling: str, estimator) -> Pipeline:
+    """Scaler → assembler → model as one estimator."""
+    return Pipeline(stages=[*inputs(features, scaling).getStages(), estimator])
 
 
 def grid(name: str, params, n_train: int, task: str, size: str = "full"):
-    """Parameter grid (list of ParamMaps) for a model, as in the reference (or a 2-point version)."""
+    """Parameter grid (list of ParamMaps) for a model (fixed values), or its 2-point version for tests."""
     b = ParamGridBuilder()
     small = size == "small"
     if name == "logistic":
@@ -135,7 +141,7 @@ def grid(name: str, params, n_train: int, task: str, size: str = "full"):
         cs = [1.0, 10.0] if small else [0.1, 1.0, 10.0, 100.0]
         b.addGrid(lin.regParam, [1.0 / (c * max(n_train, 1)) for c in cs])
         if not small:
-            b.addGrid(rff.gamma, [0.0, 0.001, 0.01, 0.1, 1.0])
+            b.addGrid(rff.gamma, [0.0, -1.0, 0.001, 0.01, 0.1, 1.0])  # 0: scale, -1: auto
     elif name in ("tree", "linear"):
         pass
     else:

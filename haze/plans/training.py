@@ -11,19 +11,20 @@ from __future__ import annotations
 import datetime as _dt
 import logging
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haze.config import ClassificationConfig, RegressionConfig
 from haze.functions import features as feat
-from haze.operators import clean, metrics, quality, select, split, stats
+from haze.operators import clean, metrics, quality, select, split
 from haze.plans import models as M
+from haze.session import checkpoint_root, written
 from haze.sources import files
 
 log = logging.getLogger(__name__)
@@ -50,6 +51,7 @@ class TrainResult:
     labels: list[str] | None
     models: dict = field(default_factory=dict)
     metadata: DataFrame | None = None
+    tables: dict = field(default_factory=dict)  # per model: name -> DataFrame (see ``result_tables``)
 
 
 def _numeric_features(df: DataFrame, exclude: set[str]) -> list[str]:
@@ -135,44 +137,79 @@ def _evaluator(task: str):
     return RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mse")
 
 
-def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = None, **model_kw):
-    """Tune (k-fold on the fold column) or just cross-validate one model; the best params are refit
-    on all training rows.  Returns (PipelineModel, cv_mean, cv_std)."""
-    tune = cfg.use_hyperparameter_tuning if tune is None else tune
+@dataclass
+class CrossValidated:
+    """Mean and population std of the fold scores of every grid point."""
+    points: list
+    means: list[float]
+    stds: list[float]
+    folds: list[list[float]]   # per point
+
+
+def _estimator(prep: Prepared, name: str, cfg, task: str, model_kw: dict):
     n_classes = len(prep.labels) if prep.labels else 0
     if task == "classification":
-        est, params = M.classifier(name, n_classes, prep.n_train, cfg.random_state, **model_kw)
-    else:
-        est, params = M.regressor(name, cfg.random_state, **model_kw)
-    pipe = M.chain(prep.features, cfg.scaling_method, est)
-    grid = M.grid(name, params, prep.n_train, task, cfg.grid) if tune else []
-    if not grid:
-        from pyspark.ml.tuning import ParamGridBuilder
-        grid = ParamGridBuilder().build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=_evaluator(task),
-                        numFolds=cfg.cv_folds, foldCol="fold", parallelism=cfg.parallelism, seed=cfg.random_state)
+        return M.classifier(name, n_classes, prep.n_train, cfg.random_state, **model_kw)
+    return M.regressor(name, cfg.random_state, **model_kw)
+
+
+def _vectors(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
+    return fitted.transform(rows).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def cross_validate(prep: Prepared, est, points: list, cfg, task: str) -> CrossValidated:
+    """Scores of every grid point on every fold.
+
+    Scaler and assembler are fitted once per fold and the vectors kept while the points are fitted on
+    them, ``cfg.parallelism`` at a time; a fold's vectors go before the next fold's come.
+    """
+    train, judge = prep.data.where(F.col("is_test") == 0), _evaluator(task)
+    scores = [[0.0] * cfg.cv_folds for _ in points]
+    for f in range(cfg.cv_folds):
+        rows = train.where(F.col("fold") != f)
+        pre = M.inputs(prep.features, cfg.scaling_method).fit(rows)
+        fit_on, check_on = _vectors(pre, rows), _vectors(pre, train.where(F.col("fold") == f))
+
+        def one(i):
+            scores[i][f] = float(judge.evaluate(est.fit(fit_on, points[i]).transform(check_on)))
+
+        with ThreadPool(max(1, cfg.parallelism)) as pool:
+            pool.map(inheritable_thread_target(prep.data.sparkSession)(one), range(len(points)))
+        fit_on.unpersist()
+        check_on.unpersist()
+    means = [sum(s) / len(s) for s in scores]
+    stds = [(sum((x - m) ** 2 for x in s) / len(s)) ** 0.5 for s, m in zip(scores, means)]
+    return CrossValidated(points, means, stds, scores)
+
+
+def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = None, cv: bool = True, **model_kw):
+    """Tune (k-fold on the fold column) or just cross-validate one model; the best point is fitted again
+    on all training rows.  Returns (PipelineModel, cv_mean, cv_std, CrossValidated); without ``cv`` the
+    model is only fitted and the scores are None."""
+    checkpoint_root(prep.data.sparkSession)  # tree models keep their node ids there
+    tune = cfg.use_hyperparameter_tuning if tune is None else tune
+    est, params = _estimator(prep, name, cfg, task, model_kw)
+    points = (M.grid(name, params, prep.n_train, task, cfg.grid) if tune else []) or [{}]
+    best, scored = 0, None
+    if cv or len(points) > 1:
+        scored = cross_validate(prep, est, points, cfg, task)
+        best = (max if task == "classification" else min)(range(len(points)), key=lambda i: scored.means[i])
     train = prep.data.where(F.col("is_test") == 0)
-    cvm = cv.fit(train)
-    scores = list(cvm.avgMetrics)
-    best = max(range(len(scores)), key=lambda i: scores[i]) if task == "classification" else \
-        min(range(len(scores)), key=lambda i: scores[i])
-    return cvm.bestModel, float(scores[best]), float(cvm.stdMetrics[best]), cvm
+    pre = M.inputs(prep.features, cfg.scaling_method).fit(train)
+    vectors = _vectors(pre, train)
+    fitted = est.fit(vectors, points[best])
+    vectors.unpersist()
+    model = PipelineModel(stages=[*pre.stages, fitted])
+    if scored is None:
+        return model, None, None, None
+    return model, scored.means[best], scored.stds[best], scored
 
 
 def cross_val_scores(prep: Prepared, name: str, cfg, task: str, **model_kw) -> DataFrame:
     """Score of one model on each fold (fit on the other folds): a (fold, score) table."""
-    n_classes = len(prep.labels) if prep.labels else 0
-    rows = []
-    train_rows = prep.data.where(F.col("is_test") == 0)
-    for f in range(cfg.cv_folds):
-        if task == "classification":
-            est, _ = M.classifier(name, n_classes, prep.n_train, cfg.random_state, **model_kw)
-        else:
-            est, _ = M.regressor(name, cfg.random_state, **model_kw)
-        model = M.chain(prep.features, cfg.scaling_method, est).fit(train_rows.where(F.col("fold") != f))
-        score = _evaluator(task).evaluate(model.transform(train_rows.where(F.col("fold") == f)))
-        rows.append((f, float(score)))
-    return prep.data.sparkSession.createDataFrame(rows, "fold int, score double")
+    est, _ = _estimator(prep, name, cfg, task, model_kw)
+    scores = cross_validate(prep, est, [{}], cfg, task).folds[0]
+    return prep.data.sparkSession.createDataFrame(list(enumerate(scores)), "fold int, score double")
 
 
 def _class_scores(pred: DataFrame, n_classes: int) -> tuple[str, DataFrame]:
@@ -200,15 +237,43 @@ def evaluate_regressor(model: PipelineModel, test: DataFrame) -> dict:
     return {k: m[k] for k in ("r2", "mse", "rmse", "mae", "mape", "explained_variance")}
 
 
+def result_tables(model: PipelineModel, prep: Prepared, task: str) -> dict[str, DataFrame]:
+    """The tables behind a model's report on the hold-out rows.
+
+    Classification: confusion (by class name), roc (per class, from (0, 0)) and importance; regression:
+    actual against predicted, residuals and importance.  Models without importances leave it out.
+    """
+    pred = model.transform(prep.data.where(F.col("is_test") == 1))
+    out: dict[str, DataFrame] = {}
+    try:
+        out["importance"] = feature_importance(model, prep.features)
+    except ValueError:
+        pass
+    if task == "regression":
+        both = pred.select(F.col("label").alias("y"), F.col("prediction").alias("y_hat"))
+        out["actual_predicted"] = both
+        out["residuals"] = both.withColumn("residual", F.col("y") - F.col("y_hat"))
+        return out
+    names = F.array(*[F.lit(n) for n in prep.labels])
+    named = lambda c: F.get(names, F.col(c).cast("int"))
+    out["confusion"] = metrics.confusion_matrix(pred.select(named("label").alias("y"), named("prediction").alias("y_hat")))
+    _, scored = _class_scores(pred, len(prep.labels))
+    long = scored.select("label", F.posexplode("_p").alias("code", "score")).select(
+        F.get(names, F.col("code")).alias("cls"), (F.col("label") == F.col("code")).alias("is_cls"), "score")
+    out["roc"] = metrics.roc_curve(long, F.col("is_cls"), "score", by=["cls"])
+    return out
+
+
 def train(df: DataFrame, cfg, task: str) -> TrainResult:
     """Fit every configured model, evaluate on the hold-out, rank, keep the best."""
     prep = prepare(df, cfg, task)
     test = prep.data.where(F.col("is_test") == 1)
-    rows, fitted = [], {}
+    rows, fitted, tables = [], {}, {}
     names = M.CLASSIFIER_NAMES if task == "classification" else M.REGRESSOR_NAMES
     for pos, name in enumerate(cfg.models):
         model, cv_mean, cv_std, _ = fit_model(prep, name, cfg, task, **cfg.model_params.get(name, {}))
         fitted[name] = model
+        tables[name] = {k: written(t, f"{name}-{k}") for k, t in result_tables(model, prep, task).items()}
         if task == "classification":
             r = evaluate_classifier(model, test, len(prep.labels))
             r.update(cv_f1_mean=cv_mean, cv_f1_std=cv_std)
@@ -232,8 +297,11 @@ def train(df: DataFrame, cfg, task: str) -> TrainResult:
             prep.label_model.write().overwrite().save(f"{cfg.out_dir}/models/label_encoder_{stamp}")
         results.write.mode("overwrite").option("header", True).csv(f"{cfg.out_dir}/output/{task}_results")
         files.write_metadata(meta, f"{cfg.out_dir}/output/{task}_model_info")
+        for name, found in tables.items():
+            for k, t in found.items():
+                t.write.mode("overwrite").option("header", True).csv(f"{cfg.out_dir}/output/{task}_{name}_{k}")
     prep.data.unpersist()
-    return TrainResult(results, best["model"], fitted[best["key"]], prep.features, prep.labels, fitted, meta)
+    return TrainResult(results, best["model"], fitted[best["key"]], prep.features, prep.labels, fitted, meta, tables)
 
 
 def train_classification(df: DataFrame, cfg: ClassificationConfig | None = None) -> TrainResult:

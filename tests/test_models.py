@@ -64,3 +64,55 @@ def test_exact_scaler_fit_on_train_only(spark):
     test = spark.createDataFrame([(5.0,)], "x double")
     m = ExactScaler(inputCols=["x"], method="standard").fit(train)
     assert m.transform(test).first()["x"] == pytest.approx(3.0)
+
+
+def test_training_run_writes_its_tables(spark, signal, tmp_path):
+    from haze.config import ClassificationConfig, RegressionConfig
+    from haze.plans import training
+
+    df, _ = signal
+    rows = df.withColumn("y", F.when(F.col("t") > 3, "up").otherwise("down"))
+    cfg = ClassificationConfig(target_column="y", key=["id"], models=["tree"], use_hyperparameter_tuning=False, cv_folds=2,
+                               outlier_method="zscore", out_dir=str(tmp_path / "c"))
+    res = training.train_classification(rows.select("id", "city", "a", "b", "y"), cfg)
+    assert res.results.first()["f1"] > 0.9
+    read = lambda d, k: spark.read.option("header", True).csv(f"{tmp_path}/{d}/output/{k}")
+    assert {r["y"] for r in read("c", "classification_tree_confusion").collect()} == {"up", "down"}
+    roc = read("c", "classification_tree_roc").collect()
+    assert {r["cls"] for r in roc if float(r["fpr"]) == float(r["tpr"]) == 0.0} == {"up", "down"}
+    assert {r["feature"] for r in read("c", "classification_tree_importance").collect()} == set(res.features)
+    encoders = [p for p in (tmp_path / "c/models").iterdir() if "label_encoder" in p.name]
+    from pyspark.ml.feature import StringIndexerModel
+    assert StringIndexerModel.load(str(encoders[0])).labels == ["down", "up"]
+    cfg = RegressionConfig(target_column="t", key=["id"], models=["linear"], use_hyperparameter_tuning=False, cv_folds=2,
+                           out_dir=str(tmp_path / "r"))
+    res = training.train_regression(df, cfg)
+    assert res.results.first()["r2"] > 0.95
+    resid = read("r", "regression_linear_residuals").collect()
+    assert len(resid) == read("r", "regression_linear_actual_predicted").count() > 0
+    assert all(abs(float(r["y"]) - float(r["y_hat"]) - float(r["residual"])) < 1e-9 for r in resid)
+
+
+def test_grid_points_share_the_scaler_and_pick_the_best(spark, signal):
+    from haze.config import ClassificationConfig
+    from haze.plans import training
+
+    df, _ = signal
+    rows = df.withColumn("y", F.when(F.col("t") > 3, "up").otherwise("down")).select("id", "a", "b", "y")
+    cfg = ClassificationConfig(target_column="y", key=["id"], cv_folds=2, outlier_method="zscore", grid="small")
+    prep = training.prepare(rows, cfg, "classification")
+    model, mean, _, cv = training.fit_model(prep, "logistic", cfg, "classification")
+    assert len(cv.means) == 2 and mean == max(cv.means) > 0.9 and isinstance(model.stages[0], ExactScalerModel)
+    prep.data.unpersist()
+
+
+def test_grouped_model_on_all_columns(spark, signal):
+    from haze.plans import grouped_model
+
+    df, _ = signal
+    few = spark.createDataFrame([("rare", 0.0, 0.0, 90000 + i, 5.0) for i in range(5)], df.schema)
+    cfg = grouped_model.GroupedModelConfig(target="t", key=["id"], drop=[])
+    res = grouped_model.run(df.unionByName(few), cfg)
+    assert set(res.features) == {"a", "b", "city_q", "city_r", "city_rare"}
+    assert [r["city"] for r in res.skipped.collect()] == ["rare"] and res.per_group.count() == 3
+    assert res.metrics.first()["r2"] > 0.9
