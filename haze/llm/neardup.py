@@ -9,10 +9,12 @@ ranks equally often, which is all that the variance depends on.
 
 Texts with equal shingle sets form one class; only one text of a class goes on.  Classes that share a
 band are candidates.  Within a band a hub is compared with the others, not all with all: members that
-a hub already joined need no further test among themselves.  A band stays open until every pair in
-different components has been tested, so no link is lost; later rounds take up to ``HUBS`` hubs per
-band outside its largest component.  Links are confirmed on whole shingle sets.  Two sets at the
-threshold 0.8 miss each other with probability (1 - 0.8**ROWS)**BANDS = 4e-6.
+a hub already joined need no further test among themselves.  The hub of a band is its member with the
+most band mates, which in a group of altered copies is their original.  Members of bands that then
+still hold several components meet once more in an exact prefix-filter join, which finds every
+pair above the threshold without listing the pairs of a group; so no link of a band is lost.  Links
+are confirmed on whole shingle sets.  Two sets at the
+threshold 0.8 miss each other in all bands with probability (1 - 0.8**ROWS)**BANDS = 4e-6.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and stands for
 itself; shorter texts have their whole word sequence as the one shingle; repeated rows are equal
@@ -27,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from haze.llm import graph
 from haze.llm._bytes import mix, row_blocks, shingle_sets
@@ -35,8 +36,6 @@ from haze.session import ship_package, written
 
 SLOTS = 251  # prime
 BANDS, ROWS = 41, 6
-HUBS = 64
-SALTS = 64
 
 
 def signatures(shingles: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -132,47 +131,61 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between set classes, enough to connect every pair above the threshold."""
-    spark = docs.sparkSession
     members = classes.select("set_key", "n_shingles", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min(F.struct("set_key", "n_shingles")).alias("hub"),
-                                       F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    shared = written(members.join(hubs.select("band", "hub"), "band"), "nd-shared")
-    close = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
-    pairs = written(shared.where((F.col("set_key") != F.col("hub.set_key"))
-                                 & close(F.col("n_shingles"), F.col("hub.n_shingles"))).select(
-        F.col("hub.set_key").alias("a"), F.col("set_key").alias("b")).distinct(), "nd-pairs")
-    ends = shared.select("set_key").distinct()
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("n_shingles").alias("least")).where(
+        F.col("size") > 1)
+    shared = written(members.join(sizes, "band"), "nd-shared")
+    ends = shared.groupBy("set_key").agg(F.sum(F.col("size") - 1).alias("degree"))
     wanted = classes.join(ends, "set_key", "left_semi").select("set_key", "doc_id", "text_key")
     sets = written(_sets(docs, wanted, text, doc_id, width).dropDuplicates(["set_key"]), "nd-sets")
+
+    rows = shared.join(ends, "set_key")
+    hubs = rows.groupBy("band").agg(F.max(F.struct("degree", "set_key", "n_shingles")).alias("hub"))
+    n = F.col("n_shingles")
+    pairs = written(rows.join(hubs, "band").where(
+        (F.col("set_key") != F.col("hub.set_key"))
+        & (100 * F.least(n, F.col("hub.n_shingles")) >= percent * F.greatest(n, F.col("hub.n_shingles")))).select(
+        F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b")).distinct(), "nd-pairs")
     found = written(_linked(pairs, sets, percent), "nd-links")
-    tested = pairs
-    left = shared.where(F.col("set_key") != F.col("hub.set_key")).select("band", "set_key", "n_shingles")
-    while True:
-        comp = graph.components(found)
-        named = left.join(comp, F.col("set_key") == F.col("node"), "left").select(
-            "band", "set_key", "n_shingles", F.coalesce("component", "set_key").alias("component"))
-        sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("c", "component")).alias("top"),
-                                            F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-        open_ = written(named.join(largest.select("band", F.col("top.component").alias("top")), "band"), "nd-open")
-        if open_.isEmpty():
-            return found
-        outside = open_.where(F.col("component") != F.col("top")).withColumn(
-            "salt", F.pmod(F.xxhash64("set_key"), F.lit(SALTS)))
-        ranked = outside.withColumn("r", F.row_number().over(Window.partitionBy("band", "salt").orderBy("set_key")))
-        ranked = ranked.where(F.col("r") <= HUBS).withColumn(
-            "r", F.row_number().over(Window.partitionBy("band").orderBy("set_key"))).where(F.col("r") <= HUBS)
-        chosen = written(ranked.select("band", F.col("set_key").alias("a"), F.col("n_shingles").alias("na"),
-                                       F.col("component").alias("ca")), "nd-hubs")
-        cross = chosen.join(open_, "band").where((F.col("component") != F.col("ca")) & close(
-            F.col("na"), F.col("n_shingles"))).select(F.least("a", "set_key").alias("a"),
-                                                      F.greatest("a", "set_key").alias("b")).distinct()
-        new = written(cross.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                                 ["a", "b"], "left_anti"), "nd-pairs")
-        tested = tested.unionByName(new)
-        found = written(found.unionByName(_linked(new, sets, percent)), "nd-links")
-        left = open_.join(chosen.select("band", F.col("a").alias("set_key")), ["band", "set_key"], "left_anti").select(
-            "band", "set_key", "n_shingles")
+
+    # bands that still hold several components: an exact join of their members finds what hubs did not
+    comp = graph.components(found)
+    named = written(shared.select("band", "set_key", "n_shingles", "least").join(
+        comp, F.col("set_key") == F.col("node"), "left").select(
+        "band", "set_key", "n_shingles", "least", F.coalesce("component", "set_key").alias("component")), "nd-named")
+    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+        F.col("low") != F.col("high")).select("band")
+    left = written(named.join(mixed, "band").groupBy("set_key").agg(
+        F.first("n_shingles").alias("n"), F.min("least").alias("least"), F.first("component").alias("component")), "nd-open")
+    new = _prefix_pairs(left, sets, percent).join(pairs, ["a", "b"], "left_anti")
+    more = _linked(written(new, "nd-pairs"), sets, percent)
+    return written(found.unionByName(more), "nd-links")
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (set_key, n, least, component) in different components that can reach the threshold.
+
+    Exact: two sets of sizes n and m need ``percent * (n + m) / (100 + percent)`` shingles in common, so
+    with all shingles in one order, rarest first, they share one of the first ``n - that + 1``; and the
+    first one they share must leave enough behind it on both sides.  ``least`` is the smallest size of
+    any possible partner.
+    """
+    need = lambda n, m: F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - 1e-9)
+    parts = members.join(sets, "set_key").select("set_key", F.explode("shingles").alias("s"))
+    often = parts.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    n, m = F.col("n"), F.greatest(F.col("least"), F.ceil(F.lit(percent) * F.col("n") / 100))
+    order = parts.join(often, "s").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    head = order.join(members, "set_key").select(
+        "set_key", "n", "component", F.posexplode(F.slice("order", F.lit(1), F.greatest(
+            F.lit(0), n - need(n, m) + 1).cast("int"))).alias("pos", "e")).where(F.col("e.df") > 1)
+    head = written(head.select("set_key", "n", "component", "pos", F.col("e.s").alias("s")), "nd-prefix")
+    x = head.select("s", *[F.col(c).alias(f"{c}_x") for c in ("set_key", "n", "component", "pos")])
+    y = head.select("s", *[F.col(c).alias(f"{c}_y") for c in ("set_key", "n", "component", "pos")])
+    nx, ny = F.col("n_x"), F.col("n_y")
+    able = (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (
+        F.least(nx - F.col("pos_x"), ny - F.col("pos_y")) >= need(nx, ny))
+    return x.join(y, "s").where((F.col("set_key_x") < F.col("set_key_y")) & (F.col("component_x") != F.col("component_y"))
+                                & able).select(F.col("set_key_x").alias("a"), F.col("set_key_y").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5,

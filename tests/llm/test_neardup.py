@@ -112,7 +112,6 @@ def test_edges_open_bands_and_dedup(spark, monkeypatch):
              (5, "uno"), (6, "UNO"), (7, "z " * 4000), (None, None), (8, "k l m n o p q")]
     df = spark.createDataFrame([(d, t, "c", b"k") for d, t in rows],
                                "doc_id long, text string, component string, set_key binary")
-    monkeypatch.setattr(neardup, "HUBS", 3)
     monkeypatch.setattr(neardup, "ROWS", 2)
     for width in (1, 3):
         got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.groups(df, width=width).collect()), key=str)
