@@ -63,23 +63,38 @@ def _cut(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (A-Z lower-cased, split at ASCII white space) and its text's index."""
+def joined_blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of texts joined by line feeds: bytes, begin of each piece and the text it belongs to."""
     pieces = [(i, p) for i, t in enumerate(texts) for p in (_cut(t) if len(t) > BLOCK else (t,))]
-    hashes, owners = [], []
     for a, b in row_blocks([len(p) + 1 for _, p in pieces], BLOCK + 1):
         part = pieces[a:b]
         raw = np.frombuffer(b"\n".join(p for _, p in part), np.uint8)
+        yield raw, np.cumsum([0] + [len(p) + 1 for _, p in part[:-1]]), np.asarray([i for i, _ in part])
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs between ASCII white space."""
+    edge = np.diff(np.concatenate([[0], (~SPACE[raw]).view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = int(_BASE)) -> np.ndarray:
+    """64-bit hash of each span of ``raw``, wherever it stands."""
+    total = np.empty(len(raw) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw), base), out=total[1:])
+    h = (total[ends] - total[starts]) * powers(len(raw) + 1, inverse(base))[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (A-Z lower-cased, split at ASCII white space) and its text's index."""
+    hashes, owners = [], []
+    for raw, begin, who in joined_blocks(texts):
         low = raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
-        edge = np.diff(np.concatenate([[0], (~SPACE[low]).view(np.int8), [0]]))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        total = np.empty(len(low) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(len(low)), out=total[1:])
-        h = (total[ends] - total[starts]) * powers(len(low) + 1, inverse(int(_BASE)))[starts]
-        hashes.append(mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        begin = np.cumsum([0] + [len(p) + 1 for _, p in part[:-1]])
-        owners.append(np.asarray([i for i, _ in part])[np.searchsorted(begin, starts, "right") - 1])
+        starts, ends = word_spans(low)
+        hashes.append(span_hashes(low, starts, ends))
+        owners.append(who[np.searchsorted(begin, starts, "right") - 1])
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(hashes), np.concatenate(owners)

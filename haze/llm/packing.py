@@ -20,20 +20,19 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haze.llm._bytes import row_blocks
 from haze.llm._tokens import encoder
 from haze.session import ship_package, written
 
 CAPACITY, END_ID = 4096, 1
 SLACK = 8
 FAN_IN, GROUP_ITEMS, WORTH = 8, 100_000, 200
-BLOCK_CHARS = 4 << 20
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,24 +64,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.asarray(fills, np.int64)
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BLOCK_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _pieces(batches, path: str, capacity: int, end_id: int, keep_ids: bool):
     """(keys, piece, start, length, crc32[, ids]) of every text, a batch at a time."""
     end = np.asarray([end_id], "<u4").tobytes()
     width = 4 * capacity
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in _blocks(texts):
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        for a, b in row_blocks([len(t) for t in texts]):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, body in enumerate(encoder(path).encode(texts[a:b]), a):
                 body += end

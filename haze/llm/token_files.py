@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, separator: int, tex
         out = path = None
         size = ordinal = 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for a, b in row_blocks([len(t) for t in texts]):
                 if out is None:
                     path, size, ordinal = f"{root}/{uuid.uuid4().hex}.tokens", 0, 0

@@ -52,7 +52,8 @@ def test_query_equals_the_tokenizer(spark, docs):
 
 
 ODD = ["", "  \n ", "it's DON'T ﬁne İstanbul ΑΣ ΣΑΣ été <|endoftext|>x a<|startoftext|> b", "tab\x1cfile\x1dx\x85nel\xa0nb",
-       "数字 123 ½ Ⅷ 한국어 한", "a​b ﻿ \x00 \x0b", "😀👍🏽 www.x.org/?q=1&b='s", "x" * 5000 + " " + "é" * 300]
+       "数字 123 ½ Ⅷ 한국어 한", "a​b ﻿ \x00 \x0b", "😀👍🏽 www.x.org/?q=1&b='s", "x" * 5000 + " " + "é" * 300,
+       "Word, word. WORD! word?, (word) wÖrd; ẞ. ŉ, ǅ. x². 5, don't. a'll, ﬀ. ª. Kelvin Å. i̇, e\u0301. \u0301x ..., ,a <|endoftext|>."]
 
 
 def test_chunks_equal_whole_texts():
@@ -64,7 +65,15 @@ def test_chunks_equal_whole_texts():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=60), max_size=6))
 def test_chunks_equal_whole_texts_property(texts):
+    texts = texts + [" ".join(texts).replace(" ", ", ")]
     enc = Encoder(tokenizer_file(), cache=100)
+    assert [list(np.frombuffer(b, "<u4")) for b in enc.encode(texts)] == reference_ids(texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aZéÀ ßΣİ.,!'’5½<|\u0301\x1c\x85t", max_size=30), max_size=6))
+def test_chunks_equal_whole_texts_around_marks(texts):
+    enc = Encoder(tokenizer_file(), cache=30)
     assert [list(np.frombuffer(b, "<u4")) for b in enc.encode(texts)] == (reference_ids(texts) if texts else [])
 
 
