@@ -8,18 +8,19 @@ so it takes the part of a difference cover, but it is chosen by content: about 2
 are sampled, where a modular difference cover of period 181 would sample 16 in 181.
 
 1. Windows with one sample position form a run.  The run's bucket is its sampled string, its rank a
-   128-bit name of all the bytes that the run spans.
+   name of all the bytes that the run spans.
 2. Buckets with one run hold nothing repeated.  Buckets whose runs all have one rank are one long tie,
    resolved by the rank alone: every window of theirs is repeated.
-3. In the other buckets each distinct rank is opened once: its windows are named (128 bits) and
-   matched within the bucket, each with the number of runs that share the rank.
+3. In the other buckets each distinct rank is opened once: its windows are named, sorted and matched at
+   equal distance from the sample, each with the number of runs that share the rank.  A shuffle
+   partition sorts its buckets of up to ``BUCKET_RANKS`` ranks as packed arrays; the windows
+   of larger buckets are rows of their own, spread by name.
 
-Memory is bounded by a block of text in the scan and by Spark's shuffles elsewhere: a passage that a
-third of all documents share is a bucket with many runs but few ranks, counted before the shuffle.
-Everything a later step reads twice is written to the shared scratch folder.
+Memory is bounded by a block of text in the scan, by ``BUCKET_RANKS`` runs a bucket in the sort, and by
+Spark's shuffles elsewhere: a passage that a third of all documents share is a bucket with many runs
+but few ranks, counted before the shuffle.
 
-Names stand for strings throughout; two different windows take the same name with probability 2**-128
-for texts not built against the hash.  Defined cases: null is empty text; texts below ``LENGTH`` bytes keep all bytes;
+Names are 64-bit hashes; strings are taken as equal only if bucket, offset and name all agree.  Defined cases: null is empty text; texts below ``LENGTH`` bytes keep all bytes;
 copies of a text repeat each other; repeated rows are copies; other columns pass through untouched.
 """
 
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from haze.llm._bytes import BLOCK, inverse, mix, powers, row_blocks
 from haze.session import ship_package, written
 
-LENGTH, GRAM = 400, 100
-_BASES = (0x9E3779B97F4A7C55, 0xD1342543DE82EF95)
+LENGTH, GRAM = 400, 64
+BUCKET_RANKS = 4096
+_GRAM_BASE, _NAME_BASE = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95
 
 
 def _prefix(raw: np.ndarray, base: int) -> np.ndarray:
@@ -62,7 +64,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """(text, bucket, name1, name2, first window, last window) of every run of every text."""
+    """(text, bucket, rank, first window, last window, sample position) of every run of every text."""
     step = max(BLOCK, 4 * length)
     pieces = [(i, at, t[at:at + step + length - 1]) for i, t in enumerate(texts)
               for at in range(0, max(0, len(t) - length + 1), step)]
@@ -71,9 +73,8 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         raw = np.frombuffer(b"".join(p for _, _, p in part), np.uint8)
         sizes = np.array([len(p) for _, _, p in part])
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        totals = [_prefix(raw, base) for base in _BASES]
         at = np.arange(len(raw) - gram + 1)
-        grams = _names(totals[0], _BASES[0], at, at + gram)
+        grams = _names(_prefix(raw, _GRAM_BASE), _GRAM_BASE, at, at + gram)
         key = (grams >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
         low = (_sliding_min(key, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         count = sizes - length + 1
@@ -86,9 +87,9 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(pos)]]) - 1
         lo, hi, who = window[first], window[last], owner[first]
-        names = [_names(t, base, lo, hi + length) for t, base in zip(totals, _BASES)]
-        base_at = np.array([x[1] for x in part])[who] - begin[who]
-        yield (np.array([x[0] for x in part])[who], grams[pos[first]], names[0], names[1], lo + base_at, hi + base_at)
+        rank = _names(_prefix(raw, _NAME_BASE), _NAME_BASE, lo, hi + length)
+        shift = np.array([x[1] for x in part])[who] - begin[who]
+        yield (np.array([x[0] for x in part])[who], grams[pos[first]], rank, lo + shift, hi + shift, pos[first] + shift)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -100,72 +101,113 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def text_runs(docs: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key (digest of the text), bucket, n1, n2, lo, hi of every run of every row."""
+    """key (digest of the text), bucket, rank, lo, hi, at of every run of every row."""
     def scan(batches):
         for batch in batches:
             texts = _bytes(batch.column("text"))
-            for who, bucket, n1, n2, lo, hi in runs(texts, length, gram):
+            for who, bucket, rank, lo, hi, at in runs(texts, length, gram):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(who)), _signed(bucket), _signed(n1), _signed(n2),
-                     pa.array(lo), pa.array(hi)], ["key", "bucket", "n1", "n2", "lo", "hi"])
+                    [batch.column("key").take(pa.array(who)), _signed(bucket), _signed(rank),
+                     *[pa.array(x, pa.int32()) for x in (lo, hi, at)]], ["key", "bucket", "rank", "lo", "hi", "at"])
 
     rows = docs.select(_key(text).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(scan, "key binary, bucket long, n1 long, n2 long, lo long, hi long")
+    return rows.mapInArrow(scan, "key binary, bucket long, rank long, lo int, hi int, at int")
 
 
 def _key(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def window_names(text: bytes, lo: int, hi: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+def window_names(text: bytes, lo: int, hi: int, length: int) -> np.ndarray:
     raw = np.frombuffer(text[lo:hi + length], np.uint8)
     at = np.arange(hi - lo + 1)
-    return tuple(_names(_prefix(raw, base), base, at, at + length) for base in _BASES)
+    return _names(_prefix(raw, _NAME_BASE), _NAME_BASE, at, at + length)
+
+
+def _matched(batches):
+    """(id, offs) of the windows that occur twice among the packed runs of a partition."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    ids, bucket, c, first = (table.column(k).to_numpy() for k in ("id", "bucket", "c", "dist"))
+    blobs = table.column("names").to_pylist()
+    size = np.array([len(x) // 8 for x in blobs])
+    names = np.frombuffer(b"".join(blobs), np.uint64)
+    row = np.repeat(np.arange(len(size)), size)
+    off = np.arange(len(names)) - np.repeat(np.cumsum(size) - size, size)
+    dist = first[row] - off
+    order = np.lexsort((dist, bucket[row], names))
+    n, b, d = names[order], bucket[row[order]], dist[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (n[1:] != n[:-1]) | (b[1:] != b[:-1]) | (d[1:] != d[:-1])
+    group = np.cumsum(new) - 1
+    twice = np.zeros(len(names), bool)
+    twice[order] = np.bincount(group, weights=c[row[order]])[group] > 1.5
+    hit = np.flatnonzero(twice)
+    at, count = np.unique(row[hit], return_counts=True)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids[at]), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32),
+                                                     pa.array(off[hit], pa.int32()))], ["id", "offs"])
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
                      gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(key, windows) with the repeated window starts of each distinct text as [(lo, hi)], and (key, text)."""
+    """(key, windows) with the repeated window starts of each distinct text, and (key, text)."""
     spark = docs.sparkSession
     ship_package(spark)
-    rows = written(text_runs(docs, text, length, gram), "rp-runs")
-    rank = F.xxhash64("n1", "n2", F.col("hi") - F.col("lo"))
-    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("low"),
-                                         F.max(rank).alias("high")).where(F.col("n") > 1)
-    found = rows.join(buckets.select("bucket", (F.col("low") != F.col("high")).alias("mixed")), "bucket")
-    found = written(found.groupBy("key", "bucket", "n1", "n2", "lo", "hi", "mixed").agg(
+    rows = text_runs(docs, text, length, gram)
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
+    span = F.col("hi") - F.col("lo")
+    found = written(rows.join(shared, "bucket").groupBy("key", "bucket", "rank", "lo", "hi", "at").agg(
         F.count(F.lit(1)).alias("c")), "rp-found")
-    keys = found.select("key").distinct()
-    texts = docs.select(_key(text).alias("key"), F.col(text).alias("text")).join(keys, "key", "left_semi")
-    texts = written(texts.groupBy("key").agg(F.first("text").alias("text")), "rp-texts")
-
-    ranks = found.where("mixed").groupBy("bucket", "n1", "n2", (F.col("hi") - F.col("lo")).alias("span")).agg(
-        F.sum("c").alias("c"), F.min(F.struct("key", "lo")).alias("rep"))
+    ranks = found.groupBy("bucket", "rank", span.alias("span")).agg(
+        F.sum("c").alias("c"), F.min(F.struct("key", "lo", "at")).alias("rep"))
     ranks = written(ranks.withColumn("id", F.monotonically_increasing_id()), "rp-ranks")
-    open_ = ranks.groupBy("rep.key").agg(F.collect_list(F.struct("id", "c", "rep.lo", "span")).alias("runs"))
+    size = ranks.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    mixed = written(ranks.join(size, "bucket"), "rp-mixed")
+
+    keys = found.select("key").distinct()
+    open_ = mixed.select("rep.key", F.struct("id", "bucket", "c", "span", "rep.lo", (F.col("rep.at") - F.col("rep.lo")).alias("dist"),
+                                             (F.col("k") > BUCKET_RANKS).alias("large")).alias("run"))
+    open_ = open_.groupBy("key").agg(F.collect_list("run").alias("runs"))
+    texts = docs.select(_key(text).alias("key"), F.col(text).alias("text")).join(keys.join(open_, "key", "left"), "key")
+    texts = written(texts.groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs")), "rp-texts")
 
     def opened(batches):
         for batch in batches:
-            for body, found_ in zip(_bytes(batch.column("text")), batch.column("runs").to_pylist()):
-                for a, b in row_blocks([r["span"] + 1 for r in found_], BLOCK // 8):
-                    part = found_[a:b]
-                    names = [window_names(body, r["lo"], r["lo"] + r["span"], length) for r in part]
-                    n = [r["span"] + 1 for r in part]
+            for body, listed in zip(_bytes(batch.column("text")), batch.column("runs").to_pylist()):
+                for a, b in row_blocks([r["span"] + 1 for r in listed], BLOCK // 8):
+                    part = listed[a:b]
+                    cols = [[r[k] for r in part] for k in ("id", "bucket", "c", "dist", "large")]
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(np.concatenate([x[0] for x in names])), _signed(np.concatenate([x[1] for x in names])),
-                         pa.array(np.repeat([r["id"] for r in part], n), pa.int64()),
-                         pa.array(np.repeat([r["c"] for r in part], n), pa.int64()),
-                         pa.array(np.concatenate([np.arange(x) for x in n]), pa.int32())], ["w1", "w2", "id", "c", "off"])
-
-    windows = written(texts.join(open_, "key").mapInArrow(opened, "w1 long, w2 long, id long, c long, off int"), "rp-windows")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("c").alias("c")).where(F.col("c") > 1).select("w1", "w2")
-    offs = windows.join(twice, ["w1", "w2"]).groupBy("id").agg(F.sort_array(F.collect_list("off")).alias("offs"))
-    resolved = ranks.join(offs, "id").select("bucket", "n1", "n2", "span", "offs")
-    mixed = found.where("mixed").withColumn("span", F.col("hi") - F.col("lo")).join(
-        resolved, ["bucket", "n1", "n2", "span"]).select("key", "lo", "hi", "offs")
-    whole = found.where(~F.col("mixed")).select("key", "lo", "hi", F.lit(None).cast("array<int>").alias("offs"))
-    hits = whole.unionByName(mixed).groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "offs")).alias("windows"))
-    return hits, texts
+                        [pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+                        + [pa.array([window_names(body, r["lo"], r["lo"] + r["span"], length).tobytes() for r in part], pa.binary())],
+                        ["id", "bucket", "c", "dist", "large", "names"])
+
+    named = texts.where(F.col("runs").isNotNull()).mapInArrow(
+        opened, "id long, bucket long, c long, dist long, large boolean, names binary")
+    offs = named.where(~F.col("large")).repartition("bucket").mapInArrow(_matched, "id long, offs array<int>")
+
+    def spread(batches):
+        for batch in batches:
+            for i, bucket, c, dist, _, names in zip(*[batch.column(k).to_pylist() for k in batch.schema.names]):
+                w = np.frombuffer(names, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(w), i)), pa.array(np.full(len(w), bucket)), pa.array(np.full(len(w), c)),
+                     pa.array(np.arange(len(w)), pa.int32()), pa.array(dist - np.arange(len(w)), pa.int64()), pa.array(w)],
+                    ["id", "bucket", "c", "off", "dist", "w"])
+
+    if not mixed.where(F.col("k") > BUCKET_RANKS).isEmpty():
+        one = written(named.where("large").mapInArrow(spread, "id long, bucket long, c long, off int, dist long, w long"), "rp-windows")
+        twice = one.groupBy("w", "bucket", "dist").agg(F.sum("c").alias("s")).where(F.col("s") > 1).drop("s")
+        offs = offs.unionByName(one.join(twice, ["w", "bucket", "dist"]).groupBy("id").agg(F.collect_list("off").alias("offs")))
+    resolved = mixed.join(written(offs, "rp-offs"), "id").select("bucket", "rank", "span", "offs")
+    alone = ranks.join(size, "bucket", "left_anti").where(F.col("c") > 1).select(
+        "bucket", "rank", "span", F.lit(None).cast("array<int>").alias("offs"))
+    hits = found.withColumn("span", span).join(resolved.unionByName(alone), ["bucket", "rank", "span"]).groupBy("key").agg(
+        F.collect_list(F.struct("lo", "hi", "offs")).alias("windows"))
+    return hits, texts.select("key", "text")
 
 
 def spans_of(windows: list[dict], length: int) -> list[tuple[int, int]]:
