@@ -4,7 +4,7 @@ Words are the maximal runs of letters, digits and non-ASCII characters after low
 benchmark item contributes each of its windows of ``WIDTH`` words (all its words as one window when
 it has fewer).  Every window of every text is looked up by a 64-bit hash and a hit is verified
 on the words themselves.  The set is broadcast only when its counted size is below
-``BROADCAST_BYTES``; beyond that the same join runs as a shuffle join.
+``BROADCAST_BYTES``; beyond that the hashes of all windows meet it in a shuffle join.
 
 Hits are gathered per distinct text (a digest of the text is the key), so copies, repeated rows and
 null ids need no row number, and a heavily copied text is reduced before its shuffle.
@@ -53,8 +53,7 @@ def item_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_
         .alias("words"))
     by_size = F.lit(None).cast("bigint")
     for n in range(1, width + 1):
-        by_size = F.when(F.col("size") == n, F.xxhash64(*[
-            F.xxhash64(F.get("words", F.lit(k))) for k in range(n)])).otherwise(by_size)
+        by_size = F.when(F.col("size") == n, F.get(_grams(F.col("words"), n), F.lit(0))).otherwise(by_size)
     return cut.withColumn("h", by_size).groupBy("h", "size", "words").agg(
         F.sort_array(F.collect_set("item")).alias("items"))
 
@@ -69,20 +68,28 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_te
     if bound and sum(r["bytes"] for r in bound) <= broadcast_bytes:
         windows = F.broadcast(windows)
     texts = docs.select(_key(F.col(text)).alias("key"), words_of(F.col(text)).alias("doc_words"))
+    # positions and hashes alone meet the windows: carrying the words through would copy them per position
     sizes = sorted(r["size"] for r in bound)
     if len(sizes) == 1:  # the usual case: plain hashes, no struct per position
-        at = texts.select("key", "doc_words", F.posexplode(_grams(F.col("doc_words"), sizes[0])).alias("pos", "g"))
+        at = texts.select("key", F.posexplode(_grams(F.col("doc_words"), sizes[0])).alias("pos", "g"))
         at = at.withColumn("n", F.lit(sizes[0]))
     else:
         none = F.array().cast("array<struct<n:int,pos:int,g:bigint>>")
         entry = lambda n: lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), g.alias("g"))
         entries = F.concat(none, *[F.transform(_grams(F.col("doc_words"), n), entry(n)) for n in sizes])
-        at = texts.select("key", "doc_words", F.explode(entries).alias("e")).select("key", "doc_words", "e.*")
-    found = at.join(windows, (F.col("g") == F.col("h")) & (F.col("n") == F.col("size"))).where(
-        F.slice("doc_words", F.col("pos") + 1, F.col("n")) == F.col("words")).select(
-        "key", F.struct("pos", (F.col("pos") + F.col("n")).alias("end")).alias("hit"), "items")
-    return found.groupBy("key").agg(F.sort_array(F.collect_set("hit")).alias("hits"),
-                                    F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        at = texts.select("key", F.explode(entries).alias("e")).select("key", "e.*")
+    near = at.join(windows, (F.col("g") == F.col("h")) & (F.col("n") == F.col("size"))).groupBy("key").agg(
+        F.collect_set(F.struct("pos", "n", "words", "items")).alias("near"))
+    # texts with a hash in the set bring their words, once per distinct text, and every hit is verified
+    bodies = docs.select(_key(F.col(text)).alias("text_key"), F.col(text).alias("body"))
+    bodies = bodies.join(near, F.col("text_key") == F.col("key")).groupBy("key").agg(
+        F.first("body").alias("body"), F.first("near").alias("near"))
+    hits = let(words_of(F.col("body")), lambda w: F.filter(
+        "near", lambda x: F.slice(w, x["pos"] + 1, x["n"]) == x["words"]))
+    found = bodies.select("key", hits.alias("sure")).where(F.size("sure") > 0)
+    return found.select(
+        "key", F.array_sort(F.transform("sure", lambda x: F.struct(x["pos"].alias("pos"), (x["pos"] + x["n"]).alias("end")))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("sure", lambda x: x["items"])))).alias("items"))
 
 
 def covered(hits: Column) -> Column:
@@ -94,10 +101,11 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, step, lambda acc: acc["n"])
 
 
-def annotated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> DataFrame:
-    """``docs`` as struct ``row`` with n_words, n_hit, items and hits."""
+def annotated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None,
+              **kw) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (all by default) as struct ``row`` with n_words, n_hit, items and hits."""
     hits = find_hits(docs, benchmark, text, **kw)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
                        _key(F.col(text)).alias("doc_key"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(hits, F.col("doc_key") == F.col("key"), "left").select(
