@@ -237,10 +237,16 @@ def added_spans(graph: Field, model) -> dict[int, list[Span]]:
 
 
 def training_texts(docs: DataFrame, text: str, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[str]:
-    """At most ``most`` distinct texts that hold a digit or an @, those with the smallest hashes."""
+    """At most ``most`` distinct texts that hold a digit or an @, those with the smallest hashes.
+
+    A first count sets a hash bound that about ``2 * most`` texts pass, so tasks send few rows at any size.
+    """
     t = F.col(text)
     rows = docs.where(t.rlike("[0-9@]") & (F.char_length(t) <= chars)).select(t.alias("t"), F.xxhash64(t).alias("h"))
-    return list(dict.fromkeys(r["t"] for r in rows.orderBy("h", "t").limit(most).collect()))
+    n = rows.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    bound = -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * 2 * most / max(n, 1)))
+    few = rows.where(F.col("h") <= F.lit(bound)).groupBy("h").agg(F.min("t").alias("t"))
+    return [r["t"] for r in few.orderBy("h").limit(most).collect()]
 
 
 def found(docs: DataFrame, text: str = "text", model=...) -> DataFrame:
