@@ -8,7 +8,7 @@ import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-BLOCK = 2 << 20  # bytes hashed at a time; a longer text is cut at white space
+BLOCK = 1 << 19  # bytes hashed at a time; a longer text is cut at white space
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _tables: dict[int, np.ndarray] = {}
 
