@@ -59,8 +59,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (never reused between runs)."""
-    return f"{checkpoint_root(spark)}/haze/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of the shared checkpoint folder, below one folder per application.
+
+    Its files live as long as lazily read results may need them; ``clear_scratch`` removes them all.
+    """
+    return f"{checkpoint_root(spark)}/haze/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything this application wrote to the shared scratch folder; call it when its results are done with."""
+    drop_scratch(spark, f"{checkpoint_root(spark)}/haze/{spark.sparkContext.applicationId}")
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
@@ -98,9 +106,3 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(str(zipped))
     sc._haze_shipped = True
-
-
-def cut_lineage(df, eager: bool = True):
-    """Truncate a long plan with a reliable checkpoint in the shared folder."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)

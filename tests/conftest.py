@@ -13,6 +13,8 @@ def spark():
     from haze.session import build_session
     s = build_session(master="local[4]", shuffle_partitions=4, app="haze-tests")
     yield s
+    from haze.session import clear_scratch
+    clear_scratch(s)
     s.stop()
 
 
