@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from haze.catalog import register
 from haze.catalog._util import Views, rounded, view_sql
 from haze.plans.preprocess import PreprocessConfig, clean_readings, preprocess
+from haze.functions.features import AQI_BANDS, AQI_TOP
 
-AQI_CASE = """CASE WHEN {x} <= 50 THEN 'Good' WHEN {x} <= 100 THEN 'Moderate'
-     WHEN {x} <= 150 THEN 'Unhealthy for Sensitive Groups' WHEN {x} <= 200 THEN 'Unhealthy'
-     WHEN {x} <= 300 THEN 'Very Unhealthy' ELSE 'Hazardous' END"""
+AQI_CASE = "CASE " + " ".join(f"WHEN {{x}} <= {edge:g} THEN '{name}'" for edge, name in AQI_BANDS) + f" ELSE '{AQI_TOP}' END"
 
 # Median fill, dropna and keep-first dedupe of a readings view, in DuckDB.
 CLEAN_SQL = """

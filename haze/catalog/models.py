@@ -66,7 +66,6 @@ def _one(spark, sf_dir, task, name, **model_kw):
     r = training.evaluate_classifier(model, test, len(prep.labels)) if task == "classification" \
         else training.evaluate_regressor(model, test)
     r["n_features"] = len(prep.features)
-    prep.data.unpersist()
     return rounded(spark.createDataFrame([r]))
 
 
@@ -131,7 +130,6 @@ def chained_scaler_fit(spark, sf_dir):
     prep, model = _fitted(spark, sf_dir, "classification", "forest")
     out = written(model.transform(prep.data.where("is_test = 1")).where(F.col("prediction").isNotNull()).select(
         "reading_id", F.col("label").cast("int").alias("label")), "predictions")
-    prep.data.unpersist()
     return out
 
 
@@ -145,7 +143,6 @@ def model_input(spark, sf_dir):
     _, prep = _prepared(spark, sf_dir, "classification")
     out = written(prep.data.select("reading_id", F.col("label").cast("int").alias("label"), "is_test", "fold",
                                    "temp_humidity_ratio", "day_of_week"), "model-input")
-    prep.data.unpersist()
     return rounded(out)
 
 
@@ -154,7 +151,6 @@ def grid_search(spark, sf_dir):
     """The full logistic grid (8 points), 5 folds on the fold column: mean and std of weighted F1 per point."""
     cfg, prep = _prepared(spark, sf_dir, "classification")
     *_, cv = training.fit_model(prep, "logistic", cfg, "classification", tune=True)
-    prep.data.unpersist()
     rows = [(str({p.name: v for p, v in pm.items()}), a, s) for pm, a, s in zip(cv.points, cv.means, cv.stds)]
     return rounded(spark.createDataFrame(rows, "params string, f1_mean double, f1_std double"))
 
@@ -164,7 +160,6 @@ def cv_scores(spark, sf_dir):
     """Weighted F1 of logistic regression on each of 5 folds and its mean / population std."""
     cfg, prep = _prepared(spark, sf_dir, "classification")
     folds = training.cross_val_scores(prep, "logistic", cfg, "classification")
-    prep.data.unpersist()
     s = stats.score_summary(folds, "score").first()
     return rounded(folds.withColumn("mean", F.lit(s["mean"])).withColumn("std", F.lit(s["std"]))
                    .withColumn("n_folds", F.lit(s["n_folds"])))
@@ -190,14 +185,12 @@ def predict(spark, sf_dir):
     prep, model = _fitted(spark, sf_dir, "classification", "forest")
     found = training.predict(model, prep.data.where("is_test = 1"), prep.features, prep.labels, keep=["reading_id"])
     out = written(found.select("reading_id", F.col("predicted_label").isin(*prep.labels).alias("known_class")), "predictions")
-    prep.data.unpersist()
     return out
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     prep, model = _fitted(spark, sf_dir, "classification", "forest")
-    prep.data.unpersist()
     return rounded(training.feature_importance(model, prep.features))
 
 
@@ -223,5 +216,4 @@ def model_save_load(spark, sf_dir):
     a = model.transform(test).select("reading_id", F.col("prediction").alias("p1"))
     b = loaded.transform(test).select("reading_id", F.col("prediction").alias("p2"))
     out = written(a.join(b, "reading_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("n_equal")), "equal")
-    prep.data.unpersist()
     return out

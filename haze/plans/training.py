@@ -2,8 +2,8 @@
 
 Every data step is a DataFrame job; model fits are Spark ML jobs.  The
 driver only loops over the handful of models and receives per-model scores.
-The cleaned, feature-engineered table is persisted (memory, spilling to
-disk) because selection, tuning and evaluation all scan it.
+The cleaned, feature-engineered table is written to the shared scratch folder
+because selection, tuning and evaluation all scan it.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ TIME_COL = "ts"
 
 @dataclass
 class Prepared:
-    data: DataFrame            # persisted: features + label (+ key), split flag and fold column
+    data: DataFrame            # written: features + label (+ key), split flag and fold column
     features: list[str]        # chosen features
     candidates: list[str]      # all numeric features before selection
     labels: list[str] | None   # class names by code (classification)
@@ -77,8 +77,8 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     strs = [c for c in texts if c != target]
     df = clean.impute_median(df, num)
     df = clean.impute_mode(df, texts)
-    # the outlier cascade scans the filled table once per column: keep it (spills to disk when large)
-    filled = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # the outlier cascade scans the filled table several times per column: written once, columns pruned per scan
+    filled = written(df, "train-filled")
     # outliers over numeric columns except the target, in column order
     out_cols = [c for c in num if c != target]
     df, _fences = clean.remove_outliers(filled, out_cols, cfg.outlier_method)
@@ -100,9 +100,7 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
             raise quality.DataQualityError("classification needs at least 2 classes after cleaning")
     else:
         df = df.withColumn("label", F.col(target).cast("double"))
-    df = df.select(*key, *candidates, "label").persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    filled.unpersist()
+    df = written(df.select(*key, *candidates, "label"), "train-features")
     # hold-out (stratified by label for classification) and folds of the training rows, one pass
     strata = ["label"] if task == "classification" and getattr(cfg, "use_stratified_split", False) else None
     data = split.holdout_and_folds(df, key, cfg.test_size, cfg.cv_folds, cfg.random_state, strata=strata)
@@ -111,11 +109,10 @@ def prepare(df: DataFrame, cfg, task: str) -> Prepared:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if data.select(F.spark_partition_id()).distinct().count() < cores:
         data = data.repartition(cores)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = written(data, "train-data")
     sel_rows = data.where(F.col("is_test") == 0) if cfg.select_on_train else data
     chosen = _select(sel_rows, candidates, cfg, task)
     n_train = data.where(F.col("is_test") == 0).count()
-    df.unpersist()
     return Prepared(data, chosen, candidates, labels, n_train, label_model)
 
 
@@ -300,7 +297,6 @@ def train(df: DataFrame, cfg, task: str) -> TrainResult:
         for name, found in tables.items():
             for k, t in found.items():
                 t.write.mode("overwrite").option("header", True).csv(f"{cfg.out_dir}/output/{task}_{name}_{k}")
-    prep.data.unpersist()
     return TrainResult(results, best["model"], fitted[best["key"]], prep.features, prep.labels, fitted, meta, tables)
 
 

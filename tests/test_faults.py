@@ -104,4 +104,3 @@ def test_training_reads_text_times_and_fills_the_target(spark):
     prep = training.prepare(df, cfg, "classification")
     assert prep.labels == ["hi", "lo"] and prep.data.where("label > 1").count() == 0
     assert {"hour", "city_St_ Louis"} & set(prep.candidates) and not any(c.startswith("ts_") for c in prep.candidates)
-    prep.data.unpersist()

@@ -103,7 +103,6 @@ def test_grid_points_share_the_scaler_and_pick_the_best(spark, signal):
     prep = training.prepare(rows, cfg, "classification")
     model, mean, _, cv = training.fit_model(prep, "logistic", cfg, "classification")
     assert len(cv.means) == 2 and mean == max(cv.means) > 0.9 and isinstance(model.stages[0], ExactScalerModel)
-    prep.data.unpersist()
 
 
 def test_grouped_model_on_all_columns(spark, signal):
