@@ -157,10 +157,11 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
     spark = docs.sparkSession
     ship_package(spark)
     rows = text_runs(docs, text, length, gram)
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
+    # both written on their own, so that the join between them may split a bucket that many runs share
+    shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket"), "rp-shared")
+    held = written(rows.join(shared, "bucket"), "rp-held")
     span = F.col("hi") - F.col("lo")
-    found = written(rows.join(shared, "bucket").groupBy("key", "bucket", "rank", "lo", "hi", "at").agg(
-        F.count(F.lit(1)).alias("c")), "rp-found")
+    found = written(held.groupBy("key", "bucket", "rank", "lo", "hi", "at").agg(F.count(F.lit(1)).alias("c")), "rp-found")
     ranks = found.groupBy("bucket", "rank", span.alias("span")).agg(
         F.sum("c").alias("c"), F.min(F.struct("key", "lo", "at")).alias("rep"))
     ranks = written(ranks.withColumn("id", F.monotonically_increasing_id()), "rp-ranks")
