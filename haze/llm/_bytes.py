@@ -63,10 +63,11 @@ def _cut(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def joined_blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def joined_blocks(texts: list[bytes], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of texts joined by line feeds: bytes, begin of each piece and the text it belongs to."""
+    most = most or BLOCK
     pieces = [(i, p) for i, t in enumerate(texts) for p in (_cut(t) if len(t) > BLOCK else (t,))]
-    for a, b in row_blocks([len(p) + 1 for _, p in pieces], BLOCK + 1):
+    for a, b in row_blocks([len(p) + 1 for _, p in pieces], most + 1):
         part = pieces[a:b]
         raw = np.frombuffer(b"\n".join(p for _, p in part), np.uint8)
         yield raw, np.cumsum([0] + [len(p) + 1 for _, p in part[:-1]]), np.asarray([i for i, _ in part])

@@ -4,7 +4,7 @@ A tokenizer that drops white space and never looks across it (``word_bpe_49k``)
 its chunks, one after another.  Chunks are found and looked up for a block of texts at once: a
 table of 128-bit chunk hashes in arrays leads to the ids of every chunk seen before, and one gather puts
 the ids of the block together.  Only unseen chunks reach the tokenizer.  Such a chunk is
-first reduced to its core, Latin letters in lower case without one mark at the end; unknown cores of
+first reduced to its core, Latin letters in lower case without the marks at the end; unknown cores of
 letters only are encoded many to a call and told apart by the token that ends a word.
 
 The result equals ``encode`` on the whole text.  Any other tokenizer encodes whole texts.
@@ -22,8 +22,9 @@ from haze.llm._bytes import joined_blocks, span_hashes, word_spans
 
 CACHE_CHUNKS = 1 << 20  # chunks, and as many cores, kept per Python worker; a full cache starts afresh
 _LATIN = re.compile("[\x21-įı-ɏ]+\\Z")  # lower() of these equals the tokenizer's, letter by letter
-_MARKS = frozenset(".,!?;:")
+_MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"  # ASCII marks but for those of special tokens
 _JOINED = 400
+BLOCK = 2 << 20  # bytes looked up at a time: unseen chunks reach the tokenizer in larger calls
 _SECOND = 0xD1342543DE82EF95
 
 
@@ -117,9 +118,12 @@ class Encoder:
         """Ids of chunks without white space, by way of their cores."""
         reduced = []
         for w in chunks:
-            if _LATIN.match(w):
+            if w.isalpha() and w.isascii():
+                reduced.append((w.lower(), ""))
+            elif _LATIN.match(w):
                 k = w.lower()
-                reduced.append((k[:-1], k[-1]) if k[-1] in _MARKS and len(k) > 1 and k[-2].isalnum() else (k, ""))
+                core = k.rstrip(_MARKS)
+                reduced.append((core, k[len(core):]) if core and core[-1].isalnum() else (k, ""))
             else:
                 reduced.append((w, ""))
         parts = {p for pair in reduced for p in pair if p}
@@ -157,7 +161,7 @@ class Encoder:
         if not self.words:
             return self._ids([t if isinstance(t, str) else t.decode("utf-8", "replace") for t in texts])
         out: list[list[bytes]] = [[] for _ in texts]
-        for raw, begin, who in joined_blocks([t.encode("utf-8", "replace") if isinstance(t, str) else t for t in texts]):
+        for raw, begin, who in joined_blocks([t.encode("utf-8", "replace") if isinstance(t, str) else t for t in texts], BLOCK):
             starts, ends = word_spans(raw)
             at = self._entries(raw, starts, ends)
             count = self.known.count[at]

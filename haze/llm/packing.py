@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haze.llm._bytes import row_blocks
+from haze.llm._tokens import BLOCK as TOKEN_BLOCK
 from haze.llm._tokens import encoder
 from haze.session import ship_package, written
 
@@ -70,7 +71,7 @@ def _pieces(batches, path: str, capacity: int, end_id: int, keep_ids: bool):
     width = 4 * capacity
     for batch in batches:
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        for a, b in row_blocks([len(t) for t in texts]):
+        for a, b in row_blocks([len(t) for t in texts], TOKEN_BLOCK):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, body in enumerate(encoder(path).encode(texts[a:b]), a):
                 body += end

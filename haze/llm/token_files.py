@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haze.llm._bytes import row_blocks
+from haze.llm._tokens import BLOCK as TOKEN_BLOCK
 from haze.llm._tokens import encoder
 from haze.llm.archives import _file_system
 from haze.session import ship_package, written
@@ -48,7 +49,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, separator: int, tex
         size = ordinal = 0
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for a, b in row_blocks([len(t) for t in texts]):
+            for a, b in row_blocks([len(t) for t in texts], TOKEN_BLOCK):
                 if out is None:
                     path, size, ordinal = f"{root}/{uuid.uuid4().hex}.tokens", 0, 0
                     system, where = _file_system(path)
