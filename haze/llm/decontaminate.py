@@ -6,8 +6,9 @@ it has fewer).  Every window of every text is looked up by a 64-bit hash and a h
 on the words themselves.  The set is broadcast only when its counted size is below
 ``BROADCAST_BYTES``; beyond that the hashes of all windows meet it in a shuffle join.
 
-Hits are gathered per distinct text (a digest of the text is the key), so copies, repeated rows and
-null ids need no row number, and a heavily copied text is reduced before its shuffle.
+Candidates are gathered per distinct text (a digest of the text is the key), so copies, repeated rows and
+null ids need no row number; a heavily copied text is reduced before that shuffle, and its rows meet the
+one candidate row in a join that can split them.
 
 Defined cases: null or empty texts and items have no words and no hits; repeated items count once;
 an item id is compared as a string, null as ``null``; other columns pass through untouched.
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haze.llm._sql import let, lower_ascii, tokens
+from haze.session import written
 
 WIDTH = 10
 BROADCAST_BYTES = 64 << 20
@@ -58,9 +60,9 @@ def item_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_
         F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text",
+def candidates(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text",
               item_id: str = "item_id", width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per distinct contaminated text: key, hits (position, end), items."""
+    """key and near (pos, n, words, items) of each distinct text with a window hash of the set."""
     windows = item_windows(benchmark, item_text, item_id, width)
     bound = windows.groupBy("size").agg(F.sum(
         F.lit(64) + F.size("words") * 16 + F.octet_length(F.array_join("words", ""))
@@ -80,16 +82,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_te
         at = texts.select("key", F.explode(entries).alias("e")).select("key", "e.*")
     near = at.join(windows, (F.col("g") == F.col("h")) & (F.col("n") == F.col("size"))).groupBy("key").agg(
         F.collect_set(F.struct("pos", "n", "words", "items")).alias("near"))
-    # texts with a hash in the set bring their words, once per distinct text, and every hit is verified
-    bodies = docs.select(_key(F.col(text)).alias("text_key"), F.col(text).alias("body"))
-    bodies = bodies.join(near, F.col("text_key") == F.col("key")).groupBy("key").agg(
-        F.first("body").alias("body"), F.first("near").alias("near"))
-    hits = let(words_of(F.col("body")), lambda w: F.filter(
-        "near", lambda x: F.slice(w, x["pos"] + 1, x["n"]) == x["words"]))
-    found = bodies.select("key", hits.alias("sure")).where(F.size("sure") > 0)
-    return found.select(
-        "key", F.array_sort(F.transform("sure", lambda x: F.struct(x["pos"].alias("pos"), (x["pos"] + x["n"]).alias("end")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("sure", lambda x: x["items"])))).alias("items"))
+    return written(near, "dc-near")
 
 
 def covered(hits: Column) -> Column:
@@ -104,13 +97,20 @@ def covered(hits: Column) -> Column:
 def annotated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None,
               **kw) -> DataFrame:
     """The ``keep`` columns of ``docs`` (all by default) as struct ``row`` with n_words, n_hit, items and hits."""
-    hits = find_hits(docs, benchmark, text, **kw)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
+    near = candidates(docs, benchmark, text, **kw)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(text).alias("body"),
                        _key(F.col(text)).alias("doc_key"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    # a row with candidates verifies them on its own words: nothing is gathered by text, so copies spread
+    sure = F.when(F.col("near").isNotNull(), let(words_of(F.col("body")), lambda w: F.filter(
+        "near", lambda x: F.slice(w, x["pos"] + 1, x["n"]) == x["words"])))
+    found = rows.join(near, F.col("doc_key") == F.col("key"), "left").select("row", "n_words", sure.alias("sure"))
+    found = found.select(
+        "row", "n_words",
+        F.array_sort(F.transform("sure", lambda x: F.struct(x["pos"].alias("pos"), (x["pos"] + x["n"]).alias("end")))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("sure", lambda x: x["items"])))).alias("items"))
     none = F.array().cast("array<string>")
-    return rows.join(hits, F.col("doc_key") == F.col("key"), "left").select(
-        "row", "n_words", F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", none).alias("items"), "hits")
+    return found.select("row", "n_words", F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long").alias("n_hit"),
+                        F.coalesce("items", none).alias("items"), "hits")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "spans", **kw) -> DataFrame:
