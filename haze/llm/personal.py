@@ -5,9 +5,13 @@ The base finds e-mail addresses, IPv4 addresses, payment-card and phone numbers
 hold a digit or an ``@``; any other token is outside by construction.  Its potentials: hashed shape
 and context features of a token, a label pair for tokens next to each other, and a label pair for
 distant tokens that repeat each other (same letters and digits, or same seven or more digits), each
-occurrence linked to the one before.  Loopy message passing over all three, with the base spans
-clamped, makes the labels of one text agree: the bare repeat of a number that was once written in
-full takes its label.  A token joins the result if its belief reaches ``CONFIDENCE``.
+occurrence linked to the one before and to the first base-labelled one of every kind in the text, wherever
+it stands, or to the first of all if the base knows none: however many repeats there are, none is far from
+what is known of it.  Loopy message passing over all three, with the base spans clamped, makes the labels
+of one text agree: every bare repeat of a number that was once written in full can take its label.  A
+text's messages pass until none changes by more than ``STILL``; if they swing, or outlast any path in the
+text, its step is halved.
+A token joins the result if its belief reaches ``CONFIDENCE``.
 
 A repeat of a base token that the base leaves out is unknown in training, not a negative; skip weights
 start from an agreement prior.  Weights are fitted on the driver by pseudo-likelihood to the base labels of at most ``TRAIN_DOCS``
@@ -36,7 +40,7 @@ TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 DIMENSIONS = 1 << 13
 CONFIDENCE = 0.95
 AGREEMENT = 5.0  # prior log potential for equal labels across a skip edge
-SWEEPS, DAMPING = 12, 0.5
+STEP, STILL = 0.5, 1e-5
 STEPS, RATE, PENALTY = 120, 0.5, 1e-3
 
 Span = tuple[str, int, int]
@@ -108,7 +112,7 @@ class Field:
 
     def add(self, owner: int, text: str, base: list[Span]) -> None:
         marks = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
-        seen: dict[str, int] = {}
+        seen: dict[str, list[int]] = {}
         last_node, before, at = -1, "", 0
         for m in _TOKEN.finditer(text):
             raw = m[0]
@@ -143,10 +147,24 @@ class Field:
             key = "".join(c for c in token.lower() if c.isalnum())
             for name in ({"t" + key} if len(key) >= 4 else set()) | (
                     {"d" + "".join(_DIGITS.findall(token))[-7:]} if n_digits >= 7 else set()):
-                if name in seen and (seen[name], node) not in self.skip[-2:]:
-                    self.skip.append((seen[name], node))
-                seen[name] = node
+                seen.setdefault(name, []).append(node)
             last_node, before = node, raw[-12:]
+        links: dict[tuple[int, int], None] = {}
+        known: set[int] = set()
+        for nodes in seen.values():
+            hubs: dict[int, int] = {}
+            for n in nodes:
+                if self.label[n]:
+                    hubs.setdefault(self.label[n], n)
+            for h in hubs.values():
+                links.update(dict.fromkeys((min(h, n), max(h, n)) for n in nodes if n != h))
+            if hubs:
+                links.update(dict.fromkeys(zip(nodes, nodes[1:])))
+                known.update(nodes)
+        for nodes in seen.values():
+            if nodes[0] not in known:  # equal tokens have equal digits: all or none of them are known
+                links.update(dict.fromkeys((nodes[0], n) for n in nodes[1:]))
+        self.skip.extend(links)
 
     def arrays(self):
         pairs = lambda e: np.asarray(e, np.int64).reshape(-1, 2)
@@ -196,26 +214,39 @@ def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
 
 
 def beliefs(graph: Field, model) -> np.ndarray:
-    """Label probabilities of every token by damped loopy sum-product, base labels clamped."""
+    """Label probabilities of every token by damped loopy sum-product, base labels clamped.
+
+    Each text stops by itself, so its result does not depend on the texts beside it.
+    """
     w, c, s = model
     x, allowed, y, chain, skip = graph.arrays()
-    unary = w[x].sum(axis=1) + np.where(allowed, 0.0, -50.0)
-    unary[y > 0] = np.where(np.eye(5)[y[y > 0]] > 0, 0.0, -50.0)
+    unary = w[x].sum(axis=1) + np.where(allowed, 0.0, -1e9)
+    unary[y > 0] = np.where(np.eye(5)[y[y > 0]] > 0, 0.0, -1e9)
     src = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
     dst = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
     kind = np.repeat([0, 1, 2, 2], [len(chain), len(chain), len(skip), len(skip)])
     back = np.concatenate([np.arange(len(chain)) + len(chain), np.arange(len(chain)),
                            np.arange(len(skip)) + 2 * len(chain) + len(skip), np.arange(len(skip)) + 2 * len(chain)])
-    pair = np.exp(np.stack([c, c.T, s]))[kind]
-    message = np.zeros((len(src), 5))
+    pair = np.exp(np.stack([c, c.T, s]))
+    message, last = np.zeros((len(src), 5)), np.zeros((len(src), 5))
     total = unary.copy()
-    for _ in range(SWEEPS if len(src) else 0):
-        cavity = total[src] - message[back]
+    owner = np.unique(np.asarray(graph.owner, np.int64), return_inverse=True)[1]
+    longest = np.bincount(owner) + 100  # sweeps
+    step, text, sweep = np.full(len(longest), STEP), owner[dst], 0
+    live = np.arange(len(src))
+    while len(live):
+        at, sweep = text[live], sweep + 1
+        cavity = total[src[live]] - message[back[live]]
         cavity = np.exp(cavity - cavity.max(axis=1, keepdims=True))
-        new = np.log(np.einsum("ei,eij->ej", cavity, pair) + 1e-300)
-        message = DAMPING * message + (1 - DAMPING) * (new - new.max(axis=1, keepdims=True))
-        total = unary.copy()
-        np.add.at(total, dst, message)
+        new = np.log(np.einsum("ei,eij->ej", cavity, pair[kind[live]]) + 1e-300)
+        change = step[at, None] * (new - new.max(axis=1, keepdims=True) - message[live])
+        message[live] += change
+        np.add.at(total, dst[live], change)
+        turned = np.bincount(at, (change * last[live]).sum(axis=1), len(step)) < 0
+        step[turned | (sweep % longest == 0)] /= 2
+        last[live] = change
+        moves = np.bincount(at, np.abs(change).max(axis=1) > STILL, len(step)) > 0
+        live = live[moves[at]]
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 

@@ -84,6 +84,30 @@ def test_distant_repeats_take_the_label():
     assert not personal.added_spans(alone, model)
 
 
+def test_label_reaches_any_number_of_repeats():
+    model = personal.fit(sample())
+    full, bare = "reach us at +13215557788 or later. ", "they wrote 3215557788 again; "
+    for n in (5, 30, 500):
+        for before in (0, n // 2, n):
+            text = bare * before + full + bare * (n - before)
+            graph = personal.Field()
+            graph.add(0, text, personal.base_spans(text))
+            more = personal.added_spans(graph, model).get(0, [])
+            assert [(k, text[a:b]) for k, a, b in more] == [("phone", "3215557788")] * n
+
+
+def test_a_text_is_labelled_alike_alone_and_among_others():
+    model = personal.fit(sample())
+    texts = ["call +13215557788 or " + "bare 3215557788 and 12-34 77 " * n + f"u{n}@h.example.org" for n in (1, 9, 60)] + ["", "7"]
+    def labels(some):
+        graph = personal.Field()
+        for i, t in some:
+            graph.add(i, t, personal.base_spans(t))
+        return personal.added_spans(graph, model)
+    together = labels(list(enumerate(texts)))
+    assert together and together == {k: v for i, t in enumerate(texts) for k, v in labels([(i, t)]).items()}
+
+
 def test_edges_and_redaction(spark):
     rows = [(1, None, "a", 1), (2, "", "b", 2), (None, "mail a.b@c.de, ip 10.0.0.1! card 4111 1111 1111 1111 é", None, 3),
             (3, "+49 (30) 1234567 " * 2000, "x", None), (3, "no data", "x", None), (3, "no data", "x", None),
