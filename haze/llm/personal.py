@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, done))
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                 out.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:

@@ -57,6 +57,13 @@ def test_base_equals_patterns(text):
     assert personal.base_spans(text) == brute(text)
 
 
+def test_address_parts_of_any_length():
+    zeros = "0" * 5000
+    assert personal.base_spans(zeros + ".1.2.3") == [("ip", 0, 5006)]
+    assert personal.base_spans(f"a 1.{zeros}.{zeros}255.3 b") == [("ip", 2, 10010)]
+    assert personal.base_spans(zeros + "256.1.2.3") == []
+
+
 def test_base_is_linear_on_long_runs():
     for t in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "@a" * 100_000, "a.1@b.c" * 50_000):
         personal.base_spans(t)
