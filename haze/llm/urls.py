@@ -1,6 +1,7 @@
 """URL filter: host/path rules first, a character language-model ratio for the rest.
 
-URLs that a rule decides are the labelled corpus.  Two variable-order Markov models, one for allowed
+URLs that a rule decides are the labelled corpus.  The models read whole URLs, scheme, query and fragment
+too (the host lower-cased); host and path alone serve the rules.  Two variable-order Markov models, one for allowed
 and one for blocked URLs, are estimated from all of them: character counts for every context of 0 to
 ``ORDER`` characters, smoothed by Witten-Bell interpolation from the longest seen context down to a
 uniform distribution.  A URL scores the mean over its characters of ``ln(P_allow / P_block)``.  The
@@ -10,9 +11,9 @@ Everything is joins and aggregations: one table of distinct character windows ho
 after ``ORDER + 1`` small joins, the log ratios; it is never collected or forced into a broadcast.
 Equal URLs are scored once with a weight, so a repeated URL is one row.
 
-Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule, has no
-score and gets ``default``; with an empty class there is no model and every undecided URL gets
-``default``.  Repeated rows give repeated results.  Other columns pass through untouched.
+Defined cases: a null URL, or one without ``://``, has empty host and path and fits no rule; a null URL
+has no score and gets ``default``, any other is scored; with an empty class there is no model and every
+undecided URL gets ``default``.  Repeated rows give repeated results.  Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -55,6 +56,13 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def modelled(url: Column, host: Column) -> Column:
+    """The whole URL with its host as in ``host``; as it is without ``://``, null for null."""
+    start = F.instr(url, "://") + F.lit(2)
+    return F.when(F.contains(url, F.lit("://")), F.concat(
+        F.substr(url, F.lit(1), start), host, F.substr(url, start + F.char_length(host) + F.lit(1)))).otherwise(url)
+
+
 def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """Name and verdict of the longest fitting rule, else null."""
     name = verdict = F.lit(None).cast("string")
@@ -146,11 +154,11 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
           order: int = ORDER) -> DataFrame:
     """``pages`` with host, path, rule, verdict and score (null where a rule or the default decides)."""
     host, path = host_path(F.col(url))
-    parts = pages.withColumns({"host": host, "path": path})
+    parts = pages.withColumns({"host": host, "path": path, "_text": modelled(F.col(url), host)})
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": name, "verdict": verdict})
-    text = F.concat("host", "path")
-    texts = parts.where(text != "").groupBy(text.alias("s")).agg(
+    text = F.col("_text")
+    texts = parts.where(text.isNotNull()).groupBy(text.alias("s")).agg(
         F.first("verdict").alias("label"), F.count(F.lit(1)).alias("n"))
     scores = written(language_scores(texts, order), "url-scores")
     labelled = {r["label"] for r in scores.where(F.col("label").isNotNull()).select("label").distinct().collect()}
@@ -163,4 +171,4 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
     by_model = F.when(F.col("score") >= cut, "allow").otherwise("block") if labelled >= {"allow", "block"} \
         else F.lit(default)
     method = F.when(F.col("score").isNull(), F.lit(default)).otherwise(by_model)
-    return joined.drop("_k1", "_k2").withColumn("verdict", F.coalesce("verdict", method))
+    return joined.drop("_k1", "_k2", "_text").withColumn("verdict", F.coalesce("verdict", method))

@@ -88,6 +88,27 @@ def test_model_follows_the_labels(spark):
     assert free and all((r["verdict"] == "allow") == (r["page_id"] % 2 == 1) for r in free)
 
 
+def test_whole_urls_are_modelled(spark):
+    ways = ["http://{}.site/p?go={}", "http://{}.site/p#{}", "{}.site/p?go={}"]
+    rows = [(i, ways[i % 3].format(f"h{i // 6 % 9}", ("prize%d" if i % 2 else "atlas%d") % (i // 6 % 4)), i % 2) for i in range(216)]
+    rows += [(i + 300, f"http://{'bad' if i % 2 else 'ok'}.site/p{'#' if i % 3 else '?go='}{('prize%d' if i % 2 else 'atlas%d') % (i % 5)}", i % 2)
+             for i in range(200)]
+    rows += [(600, None, 0)]
+    rules = [urls.Rule("bad.site", "/", "block"), urls.Rule("ok.site", "/", "allow")]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), rules).collect()
+    assert len(out) == len(rows)
+    assert all((r["verdict"] == "block") == (r["bad"] == 1) for r in out)
+    assert all((r["score"] is None) == (r["url"] is None) for r in out if r["rule"] is None)
+
+
+def test_modelled_text(spark):
+    want = {None: None, "": "", "no SCHEME?x": "no SCHEME?x", "x://": "x://", "HTTP://A.Net/P?Q#F": "HTTP://a.net/P?Q#F",
+            "a://B.org?X": "a://b.org?X", "s://H#F://G": "s://h#F://G"}
+    df = spark.createDataFrame([(k,) for k in want], "url string")
+    host, _ = urls.host_path(df["url"])
+    assert {r["url"]: r["m"] for r in df.select("url", urls.modelled(df["url"], host).alias("m")).collect()} == want
+
+
 def test_edges(spark):
     rows = [(1, None, "h", 1.5), (2, "no scheme", "h", 1.5), (3, "x://", None, None), (4, "HTTP://A.NET/é#f", "", 0.0),
             (5, "a://b.org?x/fr/", "", 0.0), (6, "s://SUB.example.NET/en/?q", "", 0.0), (None, "q://" + "z" * 5000, "", 0.0),
