@@ -3,9 +3,12 @@
 ``text_statistics`` adds per-text counts with array and string functions alone (one row in, one row
 out; work linear in the text).  ``learn_rules`` grows one conjunction of thresholds at a time on two
 thirds of the labelled rows (best information gain per added condition), prunes it back on the
-remaining third, keeps it if it is precise enough there, removes what it covers and starts again.
-Each grown condition is one aggregation over binned statistics that returns at most
-``len(FEATURES) * (BINS + 1)`` rows, whatever the number of labelled documents.  The result is an
+remaining third, keeps it if it is precise enough there, removes what it covers and starts again.  A
+conjunction that fails is set aside and the next best start is grown; the list ends when no start is left
+that covers ``MIN_COVER`` bad documents of the pruning third (fewer could not pass).  Each condition's cuts
+are quantiles of the rows that the conjunction still covers, so they get finer as it grows.
+Each grown condition is two aggregations that return one row and at most
+``len(FEATURES) * BINS`` rows, whatever the number of labelled documents.  The result is an
 ordered list of conjunctions; ``verdict`` renders it as one ``CASE WHEN`` over the statistics.
 
 Defined cases: null or empty text has no words (and fails the base rule); without labels of both
@@ -28,7 +31,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 BINS = 32
-MAX_RULES, MAX_CONDITIONS = 8, 4
 MIN_PRECISION, MIN_COVER = 0.9, 5
 
 #: Statistics that rules may test; all are finite for any text.
@@ -118,64 +120,77 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
-def learn_rules(rows: DataFrame, bins: int = BINS, max_rules: int = MAX_RULES,
-                max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION,
-                min_cover: int = MIN_COVER) -> list[Rule]:
-    """Ordered reject rules from ``rows`` (the statistics, ``bad`` boolean, ``prune`` boolean)."""
+def _sides(rows: DataFrame, bins: int) -> tuple[list[int], list[tuple[Condition, list[int]]]]:
+    """Every condition on a quantile of ``rows`` with its counts: bad and good to grow on, bad and good to prune on.
+
+    The first item holds the counts of all rows.
+    """
     names = list(FEATURES)
-    data = rows.select(*[F.expr(FEATURES[f]).alias(f) for f in names], "bad", "prune")
     points = [k / bins for k in range(1, bins)]
-    found = data.agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in names]).first()
+    found = rows.agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in names]).first()
     cuts = {f: sorted(set(found[f] or [])) for f in names}
-    if not any(cuts.values()):
-        return []
-    cell = lambda f: sum((F.when(F.col(f) > F.lit(c), 1).otherwise(0) for c in cuts[f]), F.lit(0))
-    cells = written(data.select(*[cell(f).cast("int").alias(f) for f in names], "bad", "prune"), "rule-cells")
+    cell = lambda f: F.size(F.filter(F.lit(cuts[f]).cast("array<double>"), lambda c: c < F.col(f)))
+    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), cell(f).alias("c")) for i, f in enumerate(names)])).alias("e")
+    table = rows.select("bad", "prune", entry).groupBy("e.f", "e.c").agg(*[
+        F.sum((F.col("bad") == bad).cast("long") * (F.col("prune") == prune).cast("long")).alias(k)
+        for k, bad, prune in (("p", True, False), ("n", False, False), ("pp", True, True), ("pn", False, True))
+    ]).collect()
+    at = {(r["f"], r["c"]): [r["p"], r["n"], r["pp"], r["pn"]] for r in table}
+    total = [sum(v[k] for (i, _), v in at.items() if i == 0) for k in range(4)]
+    sides = []
+    for i, f in enumerate(names):
+        low = [0, 0, 0, 0]
+        for c, cut in enumerate(cuts[f]):
+            low = [a + b for a, b in zip(low, at.get((i, c), (0, 0, 0, 0)))]
+            sides.append((Condition(f, False, cut), low))
+            sides.append((Condition(f, True, cut), [a - b for a, b in zip(total, low)]))
+    return total, sides
+
+
+def _tightest(conditions: list[Condition]) -> Rule:
+    """One condition for each statistic and direction: the last, as every cut lies inside the earlier ones."""
+    return tuple({(c.feature, c.above): c for c in conditions}.values())
+
+
+def learn_rules(rows: DataFrame, bins: int = BINS, min_precision: float = MIN_PRECISION,
+                min_cover: int = MIN_COVER) -> list[Rule]:
+    """Ordered reject rules from ``rows`` (the statistics, ``bad`` boolean, ``prune`` boolean)."""
+    rest = written(rows.select(*[F.expr(e).alias(f) for f, e in FEATURES.items()], "bad", "prune"), "rule-rows")
+    side = lambda c: F.col(c.feature) > F.lit(c.cut) if c.above else F.col(c.feature) <= F.lit(c.cut)
     rules: list[Rule] = []
-    rest = cells
-    while len(rules) < max_rules:
-        grown: list[tuple[str, bool, int]] = []
-        left, trail = rest, []
-        while len(grown) < max_conditions:
-            entry = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("c"))
-                                        for i, f in enumerate(names)])).alias("e")
-            table = left.select("bad", "prune", entry).groupBy("e.f", "e.c").agg(*[
-                F.sum((F.col("bad") == bad) .cast("long") * (F.col("prune") == prune).cast("long")).alias(k)
-                for k, bad, prune in (("p", True, False), ("n", False, False), ("pp", True, True), ("pn", False, True))
-            ]).collect()
-            at = {i: {r["c"]: (r["p"], r["n"], r["pp"], r["pn"]) for r in table if r["f"] == i}
-                  for i in range(len(names))}
-            total = [sum(v[k] for v in at[0].values()) for k in range(4)]
+    start, failed = _sides(rest, bins), set()
+    while True:
+        grown: list[Condition] = []
+        trail: list[list[int]] = []
+        left, (total, sides) = rest, start
+        while True:
             best = None
-            for i, f in enumerate(names):
-                low = [0, 0, 0, 0]
-                for c in range(len(cuts[f])):
-                    low = [a + b for a, b in zip(low, at[i].get(c, (0, 0, 0, 0)))]
-                    for above, side in ((False, low), (True, [a - b for a, b in zip(total, low)])):
-                        gain = _gain(total[0], total[1], side[0], side[1])
-                        if gain > 1e-9 and (best is None or gain > best[0]):
-                            best = (gain, f, above, c, side)
+            for condition, counts in sides:
+                gain = _gain(total[0], total[1], counts[0], counts[1])
+                if gain > 1e-9 and counts[2] >= min_cover and (best is None or gain > best[0]) and (
+                        grown or condition not in failed):
+                    best = (gain, condition, counts)
             if best is None:
                 break
-            _, f, above, c, side = best
-            grown.append((f, above, c))
-            trail.append(side)
-            left = left.where(F.col(f) > c if above else F.col(f) <= c)
-            if not side[1]:
+            grown.append(best[1])
+            trail.append(best[2])
+            if not best[2][1]:
                 break
+            left = left.where(side(best[1]))
+            total, sides = _sides(left, bins)
         if not grown:
-            break
-        worth = [(s[2] - s[3]) / max(1, s[2] + s[3]) for s in trail]
-        keep = worth.index(max(worth)) + 1
-        p, n = trail[keep - 1][2], trail[keep - 1][3]
-        if p < min_cover or p < min_precision * (p + n):
-            break
-        rules.append(tuple(Condition(f, above, cuts[f][c]) for f, above, c in grown[:keep]))
+            return rules
+        precise = [k for k, (_, _, p, n) in enumerate(trail) if p >= min_precision * (p + n)]
+        if not precise:
+            failed.add(grown[0])
+            continue
+        keep = max(precise, key=lambda k: (trail[k][2] - trail[k][3]) / (trail[k][2] + trail[k][3])) + 1
+        rules.append(_tightest(grown[:keep]))
         hit = F.lit(True)
-        for f, above, c in grown[:keep]:
-            hit = hit & (F.col(f) > c if above else F.col(f) <= c)
-        rest = rest.where(~hit)
-    return rules
+        for c in rules[-1]:
+            hit = hit & side(c)
+        rest = written(rest.where(~hit), "rule-rows")
+        start, failed = _sides(rest, bins), set()
 
 
 def verdict(rules: list[Rule]) -> Column:
