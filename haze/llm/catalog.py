@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm import (archives, chat, decontaminate, neardup, packing, personal, quality, repeats,
-                      token_files, urls)
+from haze.llm import (archives, chat, decontaminate, neardup, packing, personal, quality, repeats, resample,
+                      token_files, urls, vectordup, whitening)
 from haze.session import scratch_dir
 
 URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
@@ -78,10 +78,24 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.long_form(whitening.whitened(table(spark, sf_dir, "embeddings")))
+
+
+def op12_subspace_neardup(spark, sf_dir):
+    return vectordup.groups(table(spark, sf_dir, "embeddings")).select(
+        F.col("doc_id").alias("vec_id"), "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_decontaminate, op2_arc_to_warc, op3_token_counts, op4_personal_data, op5_chat_repair, op6_url_filter,
-        op7_quality_rules, op8_superminhash, op9_repeated_substrings, op10_best_fit_packing)}
+        op7_quality_rules, op8_superminhash, op9_repeated_substrings, op10_best_fit_packing, op11_whitening, op12_subspace_neardup,
+        op13_importance_resampling)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
