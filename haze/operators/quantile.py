@@ -1,11 +1,13 @@
 """Exact quantiles at any size, linear interpolation as in numpy.
 
-Ungrouped (``exact_quantiles``): selection by splitting.  Each round takes approximate quantiles of the
-rows still in question as splitters (a bounded sketch), counts the rows on and between the splitters
-for every column at once, and keeps the splitter or the open interval that holds the wanted
-rank.  Rows equal to a splitter are counted apart, so repeated values end a search instead of blocking
-it.  Once an interval holds few rows (``LEAF``), a last job ranks them.  What reaches the driver is
-``SPLITS`` counts per open search; no task holds a column, and the answer never depends on the size.
+Ungrouped (``exact_quantiles``): a bounded sketch brackets each wanted rank, then counts make it exact.  One
+aggregation counts every column and sketches it around every wanted quantile.  A second one counts the rows below
+and on the ends of each bracket and gathers the values strictly between them, a few rows in a thousand
+at most; the wanted value is read from its rank among them.  The counts prove that the bracket holds the rank; one that
+does not is widened and counted again.  Where a bracket would still hold more than ``LEAF`` rows (beyond
+about a hundred million), its inside is sketched again first.  Both steps are plain aggregations
+without a shuffle of rows: what reaches the driver is a few numbers and at most ``LEAF`` values a bracket,
+and repeated values cost nothing, since they are counted.
 
 Grouped (``grouped_quantiles``): one row per group and distinct value, range-partitioned, with counts
 summed over whole partitions first; a group of any size spans as many partitions as it needs.
@@ -15,13 +17,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haze.session import written
 
-SPLITS, ACCURACY = 128, 2_000
+ACCURACY = 10_000  # a sketched quantile is off by at most n / ACCURACY ranks
 LEAF = 50_000
+WIDTHS = (4 / ACCURACY, 40 / ACCURACY, 400 / ACCURACY, 0.4)  # half widths of brackets; the smallest that is certain is used
+GRID = 512
 
 
 def number(col: str | Column) -> Column:
@@ -36,84 +41,98 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), at - low
 
 
-def _inside(x: Column, low: float | None, high: float | None) -> Column:
+def _between(x: Column, low: float | None, high: float | None) -> Column:
+    """Strictly between; an open end is None."""
     keep = x.isNotNull()
     keep = keep & (x > F.lit(low)) if low is not None else keep
     return keep & (x < F.lit(high)) if high is not None else keep
 
 
-def _select(df: DataFrame, cols: list[str], ranks: dict[str, set[int]], counts: dict[str, int]) -> dict[tuple[str, int], float]:
-    """The value at each wanted rank of each column."""
+def _sketch(x: Column, points: list[float]) -> Column:
+    return F.percentile_approx(x, [min(max(p, 0.0), 1.0) for p in points], ACCURACY)
+
+
+def _bracket(values: list[float], k: int, p: float, n: int) -> tuple[float | None, float | None]:
+    """Ends around the ranks of the k-th wanted quantile: sketched values that lie safely on either side of them."""
+    for w, half in enumerate(WIDTHS):
+        if half * n >= 2 * n / ACCURACY + 3:
+            low, high = values[2 * (k * len(WIDTHS) + w)], values[2 * (k * len(WIDTHS) + w) + 1]
+            return (low if p > half else None), (high if p < 1 - half else None)
+    return None, None
+
+
+def _measure(df: DataFrame, spans: list[tuple], leaf: bool) -> list[dict]:
+    """Per span (column, low, high): rows below low and on it, strictly inside, and on high; with the inside's values or
+    a sketch of them."""
+    aggs = []
+    for i, (c, low, high) in enumerate(spans):
+        x, zero = number(c), F.lit(0).cast("long")
+        inside = F.when(_between(x, low, high), x)
+        aggs += [(F.count_if(x < F.lit(low)) if low is not None else zero).alias(f"b{i}"),
+                 (F.count_if(x == F.lit(low)) if low is not None else zero).alias(f"l{i}"),
+                 F.count(inside).alias(f"n{i}"),
+                 (F.count_if(x == F.lit(high)) if high not in (None, low) else zero).alias(f"h{i}"),
+                 (F.collect_list(inside) if leaf else _sketch(inside, [g / GRID for g in range(GRID + 1)])).alias(f"v{i}")]
+    row = df.agg(*aggs).first()
+    return [{k: row[f"{k}{i}"] for k in "blnhv"} for i in range(len(spans))]
+
+
+def _select(df: DataFrame, ranks: dict[tuple[str, int], tuple], size: dict[str, float]) -> dict[tuple[str, int], float]:
+    """The value at each wanted (column, rank); ``ranks`` holds the bracket of each, ``size`` a bound of its rows."""
     found: dict[tuple[str, int], float] = {}
-    open_ = {(c, r): (None, None, r, counts[c]) for c in cols for r in ranks[c]}  # low, high, rank inside, rows inside
-    while any(n > LEAF for *_, n in open_.values()):
-        spans = sorted({(c, lo, hi) for (c, _), (lo, hi, _, n) in open_.items() if n > LEAF}, key=str)
-        points = [k / SPLITS for k in range(1, SPLITS)]
-        row = df.agg(*[F.percentile_approx(F.when(_inside(number(c), lo, hi), number(c)), points, ACCURACY).alias(f"s{i}")
-                       for i, (c, lo, hi) in enumerate(spans)]).first()
-        splits = [sorted(set(row[f"s{i}"])) for i in range(len(spans))]
-        cells = []
-        for i, (c, lo, hi) in enumerate(spans):
-            x = number(c)
-            cells.append(F.when(_inside(x, lo, hi), F.struct(F.lit(i).alias("i"), _cell(x, splits[i]).alias("c"))))
-        table = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).groupBy("e.i", "e.c").count().collect()
-        by = {}
-        for r in table:
-            by.setdefault(r["i"], {})[r["c"]] = r["count"]
-        for i, (c, lo, hi) in enumerate(spans):
-            for key, (a, b, rank, n) in list(open_.items()):
-                if key[0] != c or (a, b) != (lo, hi) or n <= LEAF:
-                    continue
-                for cell, size in sorted(by[i].items()):
-                    if rank < size:
-                        break
-                    rank -= size
-                k, on = divmod(cell, 2)
-                if on:
-                    found[key] = splits[i][k]
-                    del open_[key]
+    open_ = dict(ranks)
+    bound, missed = {key: size[key[0]] for key in open_}, dict.fromkeys(open_, 0)
+    while open_:
+        leaf = {key for key in open_ if bound[key] <= LEAF}
+        for keys in (leaf, open_.keys() - leaf):
+            spans = sorted({(key[0], *open_[key]) for key in keys}, key=str)
+            if not spans:
+                continue
+            seen = dict(zip(spans, _measure(df, spans, keys is leaf)))
+            for key in list(keys):
+                c, r = key
+                low, high = open_[key]
+                m = seen[c, low, high]
+                if r < m["b"] or r >= m["b"] + m["l"] + m["n"] + m["h"]:  # the sketch was further off than it promises
+                    open_[key], bound[key] = (None, high) if r < m["b"] else (low, None), LEAF + 1
+                    missed[key] += 1
+                elif low is not None and r < m["b"] + m["l"]:
+                    found[key] = low
+                elif high is not None and r >= m["b"] + m["l"] + m["n"]:
+                    found[key] = high
+                elif keys is leaf:
+                    if not isinstance(m["v"], np.ndarray):
+                        m["v"] = np.sort(np.asarray(m["v"], float))
+                    found[key] = float(m["v"][r - m["b"] - m["l"]])
                 else:
-                    open_[key] = (splits[i][k - 1] if k else lo, splits[i][k] if k < len(splits[i]) else hi, rank, size)
-    if open_:
-        spans = sorted({(c, lo, hi) for (c, _), (lo, hi, _, _) in open_.items()}, key=str)
-        entries = [F.when(_inside(number(c), lo, hi), F.struct(F.lit(i).alias("i"), number(c).alias("x")))
-                   for i, (c, lo, hi) in enumerate(spans)]
-        values = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.i", "e.x").agg(
-            F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("i").orderBy("x")
-        placed = values.withColumn("upto", F.sum("n").over(order))  # at most LEAF rows in each i
-        wanted = F.lit(False)
-        for (c, _), (lo, hi, rank, _) in open_.items():
-            wanted = wanted | ((F.col("i") == spans.index((c, lo, hi))) & (F.col("upto") > rank)
-                               & (F.col("upto") - F.col("n") <= rank))
-        hits = placed.where(wanted).collect()
-        for key, (lo, hi, rank, _) in open_.items():
-            i = spans.index((key[0], lo, hi))
-            found[key] = next(r["x"] for r in hits if r["i"] == i and r["upto"] - r["n"] <= rank < r["upto"])
+                    at, n = r - m["b"] - m["l"], m["n"]
+                    slack = (3 + 2 * n // ACCURACY + n // GRID) * 4 ** missed[key]
+                    g = [max(0, (at - slack) * GRID // n), min(GRID, -(-(at + slack) * GRID // n))]
+                    g = [0, GRID] if n <= LEAF else g
+                    open_[key] = (m["v"][g[0]] if g[0] else low, m["v"][g[1]] if g[1] < GRID else high)
+                    bound[key] = 0 if open_[key] == (low, high) else (g[1] - g[0]) * n / GRID + 2 * n / ACCURACY
+                if key in found:
+                    del open_[key]
     return found
 
 
-def _cell(x: Column, splits: list[float], a: int = 0, b: int | None = None) -> Column:
-    """2k + 1 on splitter k, 2k in the open interval before it: a binary search as one expression."""
-    b = len(splits) if b is None else b
-    if a == b:
-        return F.lit(2 * a)
-    m = (a + b) // 2
-    return F.when(x < F.lit(splits[m]), _cell(x, splits, a, m)).when(x == F.lit(splits[m]), F.lit(2 * m + 1)).otherwise(
-        _cell(x, splits, m + 1, b))
-
-
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Every quantile of every column, nulls and NaN skipped; None for a column without values."""
     if not cols:
         return {}
-    row = df.agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    points = [x for p in probs for half in WIDTHS for x in (p - half, p + half)]
+    row = df.agg(*[x for i, c in enumerate(cols) for x in (F.count(number(c)).alias(f"n{i}"), _sketch(number(c), points).alias(f"s{i}"))]).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    some = [c for c in cols if counts[c]]
-    ranks = {c: {r for p in probs for r in _ranks(counts[c], p)[:2]} for c in some}
-    at = _select(df, some, ranks, counts)
+    ranks, size = {}, {}
+    for i, c in enumerate(cols):
+        n = counts[c]
+        size[c] = max([(2 * half + 2 / ACCURACY) * n for half in WIDTHS if half * n >= 2 * n / ACCURACY + 3][:1] or [n])
+        for k, p in enumerate(probs if n else []):
+            for r in _ranks(n, p)[:2]:
+                ranks[c, r] = _bracket(row[f"s{i}"], k, p, n)
+    at = _select(df, ranks, size)
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for c in some:
+    for c in (c for c in cols if counts[c]):
         for k, p in enumerate(probs):
             low, high, part = _ranks(counts[c], p)
             a, b = at[c, low], at[c, high]

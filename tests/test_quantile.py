@@ -58,3 +58,33 @@ def test_no_value_maps_in_plans(spark):
     for module in (stats, clean, features, scalers, quantile):
         source = inspect.getsource(module)
         assert "F.percentile(" not in source and " median(" not in source.replace("def ", "")
+
+
+def test_a_sketch_that_breaks_its_promise_is_noticed(spark, monkeypatch):
+    """Brackets that miss the rank are widened: the answer comes from counts alone."""
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random(4000) < 0.3, 0.0, rng.normal(size=4000))
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
+    honest = quantile._bracket
+    for ends in ((5.0, 9.0), (-9.0, -5.0), (0.0, 0.0)):
+        monkeypatch.setattr(quantile, "_bracket", lambda *a, e=ends: e)
+        for leaf in (50_000, 30):
+            monkeypatch.setattr(quantile, "LEAF", leaf)
+            assert quantile.exact_quantiles(df, ["x"], PROBS)["x"] == pytest.approx(list(np.quantile(x, PROBS)), rel=1e-12)
+    monkeypatch.setattr(quantile, "_bracket", honest)
+
+
+def test_two_aggregations_for_many_columns(spark, monkeypatch):
+    """The second scan gathers a few values per bracket, not the column."""
+    seen = []
+    real = quantile._measure
+
+    def spy(df, spans, leaf):
+        out = real(df, spans, leaf)
+        seen.append([len(m["v"]) for m in out])
+        return out
+
+    monkeypatch.setattr(quantile, "_measure", spy)
+    df = spark.range(0, 400_000, 1, 8).select(*[F.xxhash64("id", F.lit(i)).cast("double").alias(f"c{i}") for i in range(4)])
+    quantile.exact_quantiles(df, [f"c{i}" for i in range(4)], [0.25, 0.5, 0.75])
+    assert len(seen) == 1 and max(seen[0]) <= 400_000 * 12 / quantile.ACCURACY
