@@ -71,7 +71,7 @@ def _one(spark, sf_dir, task, name, **model_kw):
 
 @register("clf_logistic")
 def clf_logistic(spark, sf_dir):
-    """Logistic regression (one-vs-rest over the PM2.5 terciles), robust-scaled chain, hold-out metrics."""
+    """Logistic regression (one against the rest over the PM2.5 terciles), robust-scaled chain, hold-out metrics."""
     return _one(spark, sf_dir, "classification", "logistic")
 
 
@@ -151,7 +151,7 @@ def grid_search(spark, sf_dir):
     """The full logistic grid (8 points), 5 folds on the fold column: mean and std of weighted F1 per point."""
     cfg, prep = _prepared(spark, sf_dir, "classification")
     *_, cv = training.fit_model(prep, "logistic", cfg, "classification", tune=True)
-    rows = [(str({p.name: v for p, v in pm.items()}), a, s) for pm, a, s in zip(cv.points, cv.means, cv.stds)]
+    rows = [(str({p.name: v for p, v in sorted(pm.items(), key=lambda x: x[0].name)}), a, s) for pm, a, s in zip(cv.points, cv.means, cv.stds)]
     return rounded(spark.createDataFrame(rows, "params string, f1_mean double, f1_std double"))
 
 

@@ -98,6 +98,16 @@ def fit_scaling(df: DataFrame, cols: list[str], method: str) -> tuple[list[float
     return _pairs(df.agg(*aggs).first(), cols, method)
 
 
+def fold_scalings(df: DataFrame, cols: list[str], method: str, fold: str, folds: int) -> dict[int, tuple[list[float], list[float]]]:
+    """The scaling fitted without each fold, all folds in the same jobs."""
+    names = [f"f{f}c{i}" for f in range(folds) for i in range(len(cols))]
+    wide = df.select(*[F.when(F.col(fold) != f, F.col(f"`{c}`").cast("double")).alias(f"f{f}c{i}")
+                       for f in range(folds) for i, c in enumerate(cols)])
+    centres, scales = fit_scaling(wide, names, method)
+    d = len(cols)
+    return {f: (centres[f * d:(f + 1) * d], scales[f * d:(f + 1) * d]) for f in range(folds)}
+
+
 def _pairs(row, cols: list[str], method: str) -> tuple[list[float], list[float]]:
     centers, scales = [], []
     for i in range(len(cols)):

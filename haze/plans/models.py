@@ -2,9 +2,8 @@
 
 Mapping of the reference's models (scikit-learn / XGBoost) to Spark ML:
 
-* logistic regression → ``LogisticRegression`` (``regParam = 1/(C·n)``,
-  penalty l1/l2 → ``elasticNetParam`` 1/0, ``standardization=False`` as the
-  chain already scales); more than two classes: one-vs-rest like liblinear
+* logistic regression → ``haze.functions.logistic``: one against the rest, l1 or
+  l2 penalty on all weights including the intercept, whole grids in shared scans
 * random forest → ``RandomForest*`` (depth None → 30, Spark's cap;
   ``min_samples_leaf`` → ``minInstancesPerNode``; no twin for
   ``min_samples_split``)
@@ -17,13 +16,13 @@ Mapping of the reference's models (scikit-learn / XGBoost) to Spark ML:
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 
 from haze.functions.fourier import RandomFourierFeatures
+from haze.functions.logistic import OneVsRestLogistic
 from haze.functions.scalers import ExactScaler
 
 MAX_DEPTH = 30  # Spark's tree depth cap stands for "no limit"
@@ -37,25 +36,11 @@ REGRESSOR_NAMES = {"forest": "Random Forest", "gbt": "Gradient Boosting", "rbf":
                    "linear": "Linear Regression", "tree": "Decision Tree"}
 
 
-def _lr(n_train: int, c: float = 1.0, l1: bool = False, multiclass: bool = False,
-        max_iter: int = 1000) -> LogisticRegression:
-    # tol 1e-4 is the reference library's default stopping tolerance
-    return LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, tol=1e-4,
-                              regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=1.0 if l1 else 0.0,
-                              standardization=False, family="binomial" if not multiclass else "auto")
-
-
 def classifier(name: str, n_classes: int, n_train: int, seed: int = 42, **kw):
     """(estimator, params object to grid over) for a classifier name."""
     multi = n_classes > 2
     if name == "logistic":
-        lr = _lr(n_train, kw.get("C", 1.0), kw.get("l1", False), max_iter=kw.get("maxIter", 1000))
-        if multi and kw.get("multinomial", False):
-            lr.setFamily("multinomial")
-            return lr, lr
-        if multi:
-            return OneVsRest(classifier=lr, featuresCol="features", labelCol="label",
-                             parallelism=min(n_classes, 4)), lr
+        lr = OneVsRestLogistic(numClasses=n_classes, c=kw.get("C", 1.0), l1=kw.get("l1", False))
         return lr, lr
     if name == "forest":
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=kw.get("numTrees", 100),
@@ -121,10 +106,9 @@ def grid(name: str, params, n_train: int, task: str, size: str = "full"):
     b = ParamGridBuilder()
     small = size == "small"
     if name == "logistic":
-        cs = [1.0, 10.0] if small else [0.1, 1.0, 10.0, 100.0]
-        b.addGrid(params.regParam, [1.0 / (c * max(n_train, 1)) for c in cs])
+        b.addGrid(params.c, [1.0, 10.0] if small else [0.1, 1.0, 10.0, 100.0])
         if not small:
-            b.addGrid(params.elasticNetParam, [1.0, 0.0])
+            b.addGrid(params.l1, [True, False])
     elif name == "forest":
         b.addGrid(params.numTrees, [10, 20] if small else [50, 100, 200])
         if not small:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from haze.config import ClassificationConfig, RegressionConfig
 from haze.functions import features as feat
+from haze.functions import logistic
+from haze.functions.scalers import fold_scalings
 from haze.operators import clean, metrics, quality, select, split
 from haze.plans import models as M
 from haze.session import checkpoint_root, written
@@ -160,6 +162,8 @@ def cross_validate(prep: Prepared, est, points: list, cfg, task: str) -> CrossVa
     Scaler and assembler are fitted once per fold and the vectors kept while the points are fitted on
     them, ``cfg.parallelism`` at a time; a fold's vectors go before the next fold's come.
     """
+    if isinstance(est, logistic.OneVsRestLogistic):
+        return _cross_validate_logistic(prep, est, points, cfg)
     train, judge = prep.data.where(F.col("is_test") == 0), _evaluator(task)
     scores = [[0.0] * cfg.cv_folds for _ in points]
     for f in range(cfg.cv_folds):
@@ -174,11 +178,37 @@ def cross_validate(prep: Prepared, est, points: list, cfg, task: str) -> CrossVa
             pool.map(inheritable_thread_target(prep.data.sparkSession)(one), range(len(points)))
         fit_on.unpersist()
         check_on.unpersist()
+    return _summary(points, scores)
+
+
+def _summary(points: list, scores: list[list[float]]) -> CrossValidated:
     means = [sum(s) / len(s) for s in scores]
     stds = [(sum((x - m) ** 2 for x in s) / len(s)) ** 0.5 for s, m in zip(scores, means)]
     return CrossValidated(points, means, stds, scores)
 
 
+def _array_rows(prep: Prepared) -> DataFrame:
+    """x, label and fold of the training rows."""
+    rows = prep.data.where(F.col("is_test") == 0)
+    return rows.select(F.array(*[F.col(f"`{c}`").cast("double") for c in prep.features]).alias("x"), "label", "fold")
+
+
+def _cross_validate_logistic(prep: Prepared, est, points: list, cfg) -> CrossValidated:
+    """All points, classes and folds in the same scans; every fold's scaler is fitted without its rows, in the same jobs too."""
+    rows, d, k = _array_rows(prep), len(prep.features), len(prep.labels)
+    scalings = fold_scalings(prep.data.where(F.col("is_test") == 0), prep.features, cfg.scaling_method, "fold", cfg.cv_folds)
+    at = [(i, f) for i in range(len(points)) for f in range(cfg.cv_folds)]
+    value = lambda p, i: points[i].get(p, est.getOrDefault(p))
+    codes = [1] if k == 2 else list(range(k))
+    w = logistic.fit_many(rows, d, [logistic.Problem(c, value(est.c, i), value(est.l1, i), f) for i, f in at for c in codes], scalings)
+    w = w.reshape(len(at), len(codes), d + 1)
+    counts = logistic.confusions(rows, d, k, [(f, w[j]) for j, (_, f) in enumerate(at)], scalings)
+    scores = [[0.0] * cfg.cv_folds for _ in points]
+    for j, (i, f) in enumerate(at):
+        scores[i][f] = logistic.weighted_f1(counts[j])
+    return _summary(points, scores)
+
+
 def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = None, cv: bool = True, **model_kw):
     """Tune (k-fold on the fold column) or just cross-validate one model; the best point is fitted again
     on all training rows.  Returns (PipelineModel, cv_mean, cv_std, CrossValidated); without ``cv`` the
