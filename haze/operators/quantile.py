@@ -1,13 +1,13 @@
 """Exact quantiles at any size, linear interpolation as in numpy.
 
-Ungrouped (``exact_quantiles``): a bounded sketch brackets each wanted rank, then counts make it exact.  One
-aggregation counts every column and sketches it around every wanted quantile.  A second one counts the rows below
-and on the ends of each bracket and gathers the values strictly between them, a few rows in a thousand
-at most; the wanted value is read from its rank among them.  The counts prove that the bracket holds the rank; one that
-does not is widened and counted again.  Where a bracket would still hold more than ``LEAF`` rows (beyond
-about a hundred million), its inside is sketched again first.  Both steps are plain aggregations
-without a shuffle of rows: what reaches the driver is a few numbers and at most ``LEAF`` values a bracket,
-and repeated values cost nothing, since they are counted.
+Ungrouped (``exact_quantiles``): a bounded sketch brackets each wanted rank, then counts make it exact.  One scan
+summarises every column: chunks of rows are sorted and thinned to ``POINTS`` weighted order statistics, and summaries are joined
+by their weights, so that any rank read from them is off by at most ``ERROR`` of the rows.  A second scan
+counts the rows below and on the ends of each bracket and gathers the values strictly between them, a few in a
+thousand; the wanted value is read from its rank among them.  The counts prove that the bracket holds the rank; one that
+does not is widened and counted again.  Where a bracket may still hold more than ``LEAF`` rows, its
+inside is summarised again first, each time a few hundred times fewer rows.  No scan shuffles rows: a task sends
+one summary, or a few values, per bracket, joined in groups of tasks before the driver; repeated values cost nothing, since they are counted.
 
 Grouped (``grouped_quantiles``): one row per group and distinct value, range-partitioned, with counts
 summed over whole partitions first; a group of any size spans as many partitions as it needs.
@@ -18,15 +18,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haze.session import written
+from haze.session import ship_package, written
 
-ACCURACY = 10_000  # a sketched quantile is off by at most n / ACCURACY ranks
+POINTS = 2048
+ERROR = 2 / POINTS  # three thinnings (chunk, task, group of tasks) of half a point's weight each, rounded up
+CHUNK = 1 << 16
 LEAF = 50_000
-WIDTHS = (4 / ACCURACY, 40 / ACCURACY, 400 / ACCURACY, 0.4)  # half widths of brackets; the smallest that is certain is used
-GRID = 512
 
 
 def number(col: str | Column) -> Column:
@@ -41,96 +42,156 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), at - low
 
 
-def _between(x: Column, low: float | None, high: float | None) -> Column:
-    """Strictly between; an open end is None."""
-    keep = x.isNotNull()
-    keep = keep & (x > F.lit(low)) if low is not None else keep
-    return keep & (x < F.lit(high)) if high is not None else keep
-
-
-def _sketch(x: Column, points: list[float]) -> Column:
-    return F.percentile_approx(x, [min(max(p, 0.0), 1.0) for p in points], ACCURACY)
-
-
-def _bracket(values: list[float], k: int, p: float, n: int) -> tuple[float | None, float | None]:
-    """Ends around the ranks of the k-th wanted quantile: sketched values that lie safely on either side of them."""
-    for w, half in enumerate(WIDTHS):
-        if half * n >= 2 * n / ACCURACY + 3:
-            low, high = values[2 * (k * len(WIDTHS) + w)], values[2 * (k * len(WIDTHS) + w) + 1]
-            return (low if p > half else None), (high if p < 1 - half else None)
-    return None, None
-
-
-def _measure(df: DataFrame, spans: list[tuple], leaf: bool) -> list[dict]:
-    """Per span (column, low, high): rows below low and on it, strictly inside, and on high; with the inside's values or
-    a sketch of them."""
-    aggs = []
-    for i, (c, low, high) in enumerate(spans):
-        x, zero = number(c), F.lit(0).cast("long")
-        inside = F.when(_between(x, low, high), x)
-        aggs += [(F.count_if(x < F.lit(low)) if low is not None else zero).alias(f"b{i}"),
-                 (F.count_if(x == F.lit(low)) if low is not None else zero).alias(f"l{i}"),
-                 F.count(inside).alias(f"n{i}"),
-                 (F.count_if(x == F.lit(high)) if high not in (None, low) else zero).alias(f"h{i}"),
-                 (F.collect_list(inside) if leaf else _sketch(inside, [g / GRID for g in range(GRID + 1)])).alias(f"v{i}")]
-    row = df.agg(*aggs).first()
-    return [{k: row[f"{k}{i}"] for k in "blnhv"} for i in range(len(spans))]
-
-
-def _select(df: DataFrame, ranks: dict[tuple[str, int], tuple], size: dict[str, float]) -> dict[tuple[str, int], float]:
-    """The value at each wanted (column, rank); ``ranks`` holds the bracket of each, ``size`` a bound of its rows."""
+def _thin(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``POINTS`` order statistics in equal steps of weight; fewer values are kept as they are, sorted."""
+    order = np.argsort(values, kind="stable")
+    values, weights = values[order], weights[order]
+    if len(values) <= POINTS:
+        return values, weights
+    upto = np.cumsum(weights)
+    at = np.searchsorted(upto, (np.arange(POINTS) + 0.5) * upto[-1] / POINTS)
+    return values[at], np.full(POINTS, upto[-1] / POINTS)
+
+
+class _Summary:
+    def __init__(self):
+        self.chunks, self.wait, self.rows = [], [], 0
+
+    def add(self, x: np.ndarray) -> None:
+        self.wait.append(x)
+        self.rows += len(x)
+        if self.rows >= CHUNK:
+            self._close()
+
+    def _close(self) -> None:
+        x = np.concatenate([np.zeros(0), *self.wait])
+        self.chunks.append(_thin(x, np.ones(len(x))))
+        self.wait, self.rows = [], 0
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        self._close()
+        return _joined(self.chunks)
+
+
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    values, weights = (np.concatenate([np.zeros(0), *[np.asarray(p[k], float) for p in parts]]) for k in (0, 1))
+    return _thin(values, weights)
+
+
+_ROW = "span int, b long, l long, n long, h long, v array<double>, w array<double>"
+
+
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.float64())] * 2]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["span", "b", "l", "n", "h", "v", "w"])
+
+
+def _measure(df: DataFrame, spans: list[tuple], leaf: list[bool]) -> list[dict]:
+    """Per span (column, low, high): rows below low (b), on it (l), strictly inside (n) and on high (h), and the inside's
+    values (leaf) or a summary of them (v, with weights w): one scan for all spans."""
+    spark = df.sparkSession
+    ship_package(spark)
+    cols = sorted({c for c, _, _ in spans})
+    at = {c: i for i, c in enumerate(cols)}
+    plan = [(at[c], low, high, whole) for (c, low, high), whole in zip(spans, leaf)]
+
+    def scan(batches):
+        count, inside = np.zeros((len(plan), 4), np.int64), [[] if whole else _Summary() for *_, whole in plan]
+        for batch in batches:
+            have = []
+            for column in batch.columns:
+                x = column.to_numpy(zero_copy_only=False)
+                have.append(np.sort(x[~np.isnan(x)]))
+            for i, (k, low, high, whole) in enumerate(plan):
+                x = have[k]
+                a, b = (0, 0) if low is None else (np.searchsorted(x, low), np.searchsorted(x, low, "right"))
+                c, d = (len(x), len(x)) if high is None else (np.searchsorted(x, high), np.searchsorted(x, high, "right"))
+                count[i] += (a, b - a, max(c - b, 0), 0 if high in (None, low) else d - c)
+                (inside[i].append if whole else inside[i].add)(x[b:max(b, c)])
+        rows = []
+        for i, (*_, whole) in enumerate(plan):
+            v, w = (np.concatenate([np.zeros(0), *inside[i]]), np.zeros(0)) if whole else inside[i].end()
+            rows.append((i, *count[i].tolist(), v.tolist(), w.tolist()))
+        yield _record(rows)
+
+    def grouped(batches):
+        by = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                by.setdefault(r["span"], []).append(r)
+        if by:
+            yield _record([_one(i, rows, leaf[i]) for i, rows in by.items()])
+
+    rows = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    groups = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = rows.mapInArrow(scan, _ROW).repartition(groups).mapInArrow(grouped, _ROW)
+    by = {}
+    for r in parts.collect():
+        by.setdefault(r["span"], []).append(r)
+    return [dict(zip("_blnhvw", _one(i, by.get(i, []), leaf[i]))) for i in range(len(spans))]
+
+
+def _one(i: int, rows: list, whole: bool) -> tuple:
+    v, w = _joined([(r["v"], r["w"]) for r in rows]) if not whole else (np.concatenate([np.zeros(0), *[np.asarray(r["v"], float) for r in rows]]), np.zeros(0))
+    return (i, *[sum(r[k] for r in rows) for k in "blnh"], v.tolist(), w.tolist())
+
+
+def _bracket(m: dict, rank: int, span: tuple, miss: int) -> tuple[float | None, float | None, float]:
+    """Ends that hold the rank (inside a summarised span) and a bound of the rows strictly between them."""
+    _, low, high = span
+    upto = np.cumsum(m["w"])
+    off = ERROR * m["n"] * 4 ** miss + 3
+    a = int(np.searchsorted(upto, rank - off, "right")) - 1  # the last point that lies safely below
+    b = int(np.searchsorted(upto, rank + off))  # the first one safely above
+    most = (upto[b] if b < len(upto) else m["n"]) - (upto[a - 1] if a > 0 else 0) + 2 * ERROR * m["n"]
+    return (m["v"][a] if a >= 0 else low), (m["v"][b] if b < len(upto) else high), most
+
+
+def _select(df: DataFrame, wanted: dict[str, list[float]]) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
+    """Rows with a value in each column, and the value at each rank that the wanted quantiles need."""
+    first = _measure(df, [(c, None, None) for c in wanted], [False] * len(wanted))
+    counts = {c: m["n"] for c, m in zip(wanted, first)}
     found: dict[tuple[str, int], float] = {}
-    open_ = dict(ranks)
-    bound, missed = {key: size[key[0]] for key in open_}, dict.fromkeys(open_, 0)
+    open_: dict[tuple[str, int], tuple] = {}  # (low, high, bound of the rows between, times a summary was wrong)
+    for c, m in zip(wanted, first):
+        for r in {r for p in wanted[c] if m["n"] for r in _ranks(m["n"], p)[:2]}:
+            if m["n"] == len(m["v"]):  # nothing was thinned out
+                found[c, r] = m["v"][r]
+            else:
+                open_[c, r] = (*_bracket(m, r, (c, None, None), 0), 0)
     while open_:
-        leaf = {key for key in open_ if bound[key] <= LEAF}
-        for keys in (leaf, open_.keys() - leaf):
-            spans = sorted({(key[0], *open_[key]) for key in keys}, key=str)
-            if not spans:
+        spans = sorted({(c, lo, hi) for (c, _), (lo, hi, *_) in open_.items()}, key=str)
+        bound = {s: max(x[2] for (c, _), x in open_.items() if (c, *x[:2]) == s) for s in spans}
+        leaf = [bound[s] <= LEAF for s in spans]
+        seen = dict(zip(spans, zip(_measure(df, spans, leaf), leaf)))
+        for key, (low, high, _, miss) in list(open_.items()):
+            c, r = key
+            m, whole = seen[c, low, high]
+            if r < m["b"] or r >= m["b"] + m["l"] + m["n"] + m["h"]:  # the summary was further off than it may be
+                open_[key] = (*((None, high) if r < m["b"] else (low, None)), math.inf, miss + 1)
+                continue
+            at = r - m["b"] - m["l"]
+            if at < 0:
+                found[key] = low
+            elif at >= m["n"]:
+                found[key] = high
+            elif whole:
+                if not isinstance(m["v"], np.ndarray):
+                    m["v"] = np.sort(m["v"])
+                found[key] = float(m["v"][at])
+            else:
+                lo, hi, most = _bracket(m, at, (c, low, high), miss)
+                open_[key] = (lo, hi, 0 if (lo, hi) == (low, high) else most, miss)
                 continue
-            seen = dict(zip(spans, _measure(df, spans, keys is leaf)))
-            for key in list(keys):
-                c, r = key
-                low, high = open_[key]
-                m = seen[c, low, high]
-                if r < m["b"] or r >= m["b"] + m["l"] + m["n"] + m["h"]:  # the sketch was further off than it promises
-                    open_[key], bound[key] = (None, high) if r < m["b"] else (low, None), LEAF + 1
-                    missed[key] += 1
-                elif low is not None and r < m["b"] + m["l"]:
-                    found[key] = low
-                elif high is not None and r >= m["b"] + m["l"] + m["n"]:
-                    found[key] = high
-                elif keys is leaf:
-                    if not isinstance(m["v"], np.ndarray):
-                        m["v"] = np.sort(np.asarray(m["v"], float))
-                    found[key] = float(m["v"][r - m["b"] - m["l"]])
-                else:
-                    at, n = r - m["b"] - m["l"], m["n"]
-                    slack = (3 + 2 * n // ACCURACY + n // GRID) * 4 ** missed[key]
-                    g = [max(0, (at - slack) * GRID // n), min(GRID, -(-(at + slack) * GRID // n))]
-                    g = [0, GRID] if n <= LEAF else g
-                    open_[key] = (m["v"][g[0]] if g[0] else low, m["v"][g[1]] if g[1] < GRID else high)
-                    bound[key] = 0 if open_[key] == (low, high) else (g[1] - g[0]) * n / GRID + 2 * n / ACCURACY
-                if key in found:
-                    del open_[key]
-    return found
+            del open_[key]
+    return counts, found
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Every quantile of every column, nulls and NaN skipped; None for a column without values."""
     if not cols:
         return {}
-    points = [x for p in probs for half in WIDTHS for x in (p - half, p + half)]
-    row = df.agg(*[x for i, c in enumerate(cols) for x in (F.count(number(c)).alias(f"n{i}"), _sketch(number(c), points).alias(f"s{i}"))]).first()
-    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    ranks, size = {}, {}
-    for i, c in enumerate(cols):
-        n = counts[c]
-        size[c] = max([(2 * half + 2 / ACCURACY) * n for half in WIDTHS if half * n >= 2 * n / ACCURACY + 3][:1] or [n])
-        for k, p in enumerate(probs if n else []):
-            for r in _ranks(n, p)[:2]:
-                ranks[c, r] = _bracket(row[f"s{i}"], k, p, n)
-    at = _select(df, ranks, size)
+    counts, at = _select(df, {c: probs for c in cols})
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     for c in (c for c in cols if counts[c]):
         for k, p in enumerate(probs):

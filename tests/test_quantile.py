@@ -14,8 +14,11 @@ def test_small_columns_equal_numpy(spark, monkeypatch):
             "wide": 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n), "mostly": np.where(rng.random(n) < 0.9, 0.0, rng.normal(size=n))}
     rows = [tuple(float(c[i]) for c in cols.values()) for i in range(n)]
     df = spark.createDataFrame(rows + [(None,) * 5, (float("nan"),) * 5], ", ".join(f"`{c}` double" for c in cols)).repartition(6)
-    for leaf in (50_000, 40):
+    for leaf, points, chunk in ((50_000, 2048, 1 << 16), (40, 64, 100)):
         monkeypatch.setattr(quantile, "LEAF", leaf)
+        monkeypatch.setattr(quantile, "POINTS", points)
+        monkeypatch.setattr(quantile, "ERROR", 2 / points)
+        monkeypatch.setattr(quantile, "CHUNK", chunk)
         got = quantile.exact_quantiles(df, list(cols), PROBS)
         for c, v in cols.items():
             want = np.quantile(v, PROBS)
@@ -67,7 +70,9 @@ def test_a_sketch_that_breaks_its_promise_is_noticed(spark, monkeypatch):
     df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
     honest = quantile._bracket
     for ends in ((5.0, 9.0), (-9.0, -5.0), (0.0, 0.0)):
-        monkeypatch.setattr(quantile, "_bracket", lambda *a, e=ends: e)
+        calls = []
+        monkeypatch.setattr(quantile, "_bracket", lambda m, r, span, miss, e=ends, k=calls: (
+            honest(m, r, span, miss) if miss else k.append(1) or (*e, 5)))
         for leaf in (50_000, 30):
             monkeypatch.setattr(quantile, "LEAF", leaf)
             assert quantile.exact_quantiles(df, ["x"], PROBS)["x"] == pytest.approx(list(np.quantile(x, PROBS)), rel=1e-12)
@@ -81,10 +86,11 @@ def test_two_aggregations_for_many_columns(spark, monkeypatch):
 
     def spy(df, spans, leaf):
         out = real(df, spans, leaf)
-        seen.append([len(m["v"]) for m in out])
+        seen.append([(k, len(m["v"])) for m, k in zip(out, leaf)])
         return out
 
     monkeypatch.setattr(quantile, "_measure", spy)
     df = spark.range(0, 400_000, 1, 8).select(*[F.xxhash64("id", F.lit(i)).cast("double").alias(f"c{i}") for i in range(4)])
     quantile.exact_quantiles(df, [f"c{i}" for i in range(4)], [0.25, 0.5, 0.75])
-    assert len(seen) == 1 and max(seen[0]) <= 400_000 * 12 / quantile.ACCURACY
+    assert len(seen) == 2 and seen[0] == [(False, quantile.POINTS)] * 4
+    assert all(k for k, _ in seen[1]) and max(n for _, n in seen[1]) <= 400_000 * 8 / quantile.POINTS
