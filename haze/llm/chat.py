@@ -115,7 +115,7 @@ def _runs(batches):
 
 
 def _sorted(turns: DataFrame, n: int) -> DataFrame:
-    return turns.repartition(n, "frag").sortWithinPartitions("frag", "conv", *_ORDER)
+    return turns.repartitionByRange(n, "frag", "conv").sortWithinPartitions("frag", "conv", *_ORDER)
 
 
 _ORDER = ["no_turn", "turn", "no_role", "role", "text_hash", "salt"]
