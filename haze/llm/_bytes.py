@@ -1,7 +1,14 @@
-"""Vectorised hashing of the words of many texts at once."""
+"""Vectorised hashing of the words of many texts at once.
+
+A hash of a byte string is its polynomial modulo two 31-bit primes, one base for each, drawn at random per run
+(``draw_key``) and unknown to whoever wrote the texts.  Two unlike strings of L bytes agree
+with probability at most (L / 2**31)**2, whatever they look like; with a fixed or an even modulus,
+strings could be built that always agree.
+"""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +16,16 @@ import numpy as np
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BLOCK = 1 << 19  # bytes hashed at a time; a longer text is cut at white space
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_tables: dict[int, np.ndarray] = {}
+PRIMES = (2**31 - 1, 2**31 - 19)
+Key = tuple[int, int]
+FIXED: Key = (1_234_567_891, 1_987_654_321)  # for callers that compare hashes of trusted texts only
+_SEGMENT = 1 << 20  # so many terms below 2**39 add up without overflow
+_tables: dict[tuple[int, int], np.ndarray] = {}
+
+
+def draw_key() -> Key:
+    """Random bases.  Hashes are comparable only under one key: draw it on the driver and ship it with the tasks."""
+    return tuple(secrets.randbelow(p - 1000) + 500 for p in PRIMES)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,20 +39,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int = int(_BASE)) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _tables.get(base)
+def powers(n: int, base: int, prime: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo ``prime``."""
+    have = _tables.get((base, prime))
     if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK + 1), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
+        size = 1 << max(n, BLOCK + 1).bit_length()
+        have = np.ones(size, np.uint64)
+        k, step = 1, base % prime
+        while k < size:
+            have[k:2 * k] = have[:k] * np.uint64(step) % np.uint64(prime)
+            k, step = 2 * k, step * step % prime
         if n <= 8 * BLOCK:
-            _tables[base] = have
+            if len(_tables) > 16:
+                _tables.clear()
+            _tables[base, prime] = have
     return have[:n]
 
 
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+def prefix(raw: np.ndarray, base: int, prime: int) -> np.ndarray:
+    """Sums of (byte + 1) * base**place over everything before each place, modulo ``prime``."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    place = powers(len(raw), base, prime)
+    for a in range(0, len(raw), _SEGMENT):
+        b = min(a + _SEGMENT, len(raw))
+        np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * place[a:b], out=total[a + 1:b + 1])
+        total[a + 1:b + 1] += total[a]
+        total[a + 1:b + 1] %= np.uint64(prime)
+    return total
+
+
+class Hashes:
+    """Hashes of any spans of ``raw`` under a key, wherever the spans stand."""
+
+    def __init__(self, raw: np.ndarray, key: Key):
+        self.parts = [(prefix(raw, b, p), powers(len(raw) + 1, pow(b, -1, p), p), np.uint64(p)) for b, p in zip(key, PRIMES)]
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        one, two = ((total[ends] + p - total[starts]) * back[starts] % p for total, back, p in self.parts)
+        return mix((one << np.uint64(31) | two) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def sliding(self, length: int) -> np.ndarray:
+        """Hashes of all strings of ``length`` bytes, in order; equal to ``of`` on them."""
+        one, two = ((total[length:] + p - total[:-length]) * back[:len(total) - length] % p for total, back, p in self.parts)
+        return mix((one << np.uint64(31) | two) + np.uint64(length * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
 def row_blocks(sizes: list[int], most: int = BLOCK) -> Iterator[tuple[int, int]]:
@@ -79,34 +123,30 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = int(_BASE)) -> np.ndarray:
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: Key = FIXED) -> np.ndarray:
     """64-bit hash of each span of ``raw``, wherever it stands."""
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw), base), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(len(raw) + 1, inverse(base))[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return Hashes(raw, key).of(starts, ends)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], key: Key = FIXED) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (A-Z lower-cased, split at ASCII white space) and its text's index."""
     hashes, owners = [], []
     for raw, begin, who in joined_blocks(texts):
         low = raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
         starts, ends = word_spans(low)
-        hashes.append(span_hashes(low, starts, ends))
+        hashes.append(span_hashes(low, starts, ends, key))
         owners.append(who[np.searchsorted(begin, starts, "right") - 1])
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int, key: Key = FIXED) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``width``-word shingles (sorted 64-bit hashes) of all texts, and the bounds of each text's run.
 
     A text of fewer words, but not none, has its whole word sequence as its one shingle.
     """
-    h, owner = word_hashes(texts)
+    h, owner = word_hashes(texts, key)
     n = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(n)])
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))

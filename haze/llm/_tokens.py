@@ -18,14 +18,13 @@ import re
 
 import numpy as np
 
-from haze.llm._bytes import joined_blocks, span_hashes, word_spans
+from haze.llm._bytes import Hashes, draw_key, joined_blocks, word_spans
 
 CACHE_CHUNKS = 1 << 20  # chunks, and as many cores, kept per Python worker; a full cache starts afresh
 _LATIN = re.compile("[\x21-įı-ɏ]+\\Z")  # lower() of these equals the tokenizer's, letter by letter
 _MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"  # ASCII marks but for those of special tokens
 _JOINED = 400
 BLOCK = 2 << 20  # bytes looked up at a time: unseen chunks reach the tokenizer in larger calls
-_SECOND = 0xD1342543DE82EF95
 
 
 class _Table:
@@ -87,7 +86,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = not specials
-        self.limit, self.cores = cache, {}
+        self.limit, self.cores, self.keys = cache, {}, (draw_key(), draw_key())
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
         self.words = bool(suffix) and "Lowercase" in json.dumps(spec["normalizer"]) and "Removed" in json.dumps(spec["pre_tokenizer"])
@@ -138,7 +137,7 @@ class Encoder:
         return [cores[k] + cores[mark] if mark else cores[k] for k, mark in reduced]
 
     def _entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        a, b = span_hashes(raw, starts, ends), span_hashes(raw, starts, ends, _SECOND)
+        a, b = (Hashes(raw, key).of(starts, ends) for key in self.keys)
         a[a == 0] = 1
         at = self.known.find(a, b)
         while len(missing := np.flatnonzero(at < 0)):

@@ -18,7 +18,10 @@ threshold 0.8 miss each other in all bands with probability (1 - 0.8**ROWS)**BAN
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and stands for
 itself; shorter texts have their whole word sequence as the one shingle; repeated rows are equal
-texts; null ids are larger than any other when the smallest id names a component.
+texts; null ids are larger than any other when the smallest id names a component; an empty table gives an
+empty result; other columns, whatever their names, are not read (``deduplicated`` carries them in a struct).
+Shingles are compared by 64-bit hashes under a random key of the run; unlike words of L letters share a hash with probability
+(L / 2**31)**2, so no texts can be written that count as equal without being so.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haze.llm import graph
-from haze.llm._bytes import mix, row_blocks, shingle_sets
+from haze.llm._bytes import Key, draw_key, mix, row_blocks, shingle_sets
 from haze.session import ship_package, written
 
 SLOTS = 251  # prime
@@ -74,7 +77,7 @@ def _encoded(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def sketches(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
+def sketches(docs: DataFrame, text: str, doc_id: str, width: int, key: Key) -> DataFrame:
     """doc_id, text_key, n_shingles, set_key (digest of the shingle set) and bands of every row."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("text_key"),
@@ -85,7 +88,7 @@ def sketches(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
         for batch in batches:
             texts = _encoded(batch.column("text"))
             for a, b in row_blocks([len(t) for t in texts]):
-                s, bounds = shingle_sets(texts[a:b], width)
+                s, bounds = shingle_sets(texts[a:b], width, key)
                 n = np.diff(bounds)
                 raw = [hashlib.blake2b(s[x:y].tobytes(), digest_size=16).digest() if y > x else None
                        for x, y in zip(bounds[:-1], bounds[1:])]
@@ -100,7 +103,7 @@ def sketches(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
         sketch, f"doc_id {kind}, text_key binary, n_shingles long, set_key binary, bands array<bigint>"), "nd-sketch")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width: int, key: Key) -> DataFrame:
     """The whole shingle sets (set_key, shingles) of the ``wanted`` (set_key, doc_id, text_key) representatives."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_key"),
                        F.col(text).alias("text"))
@@ -111,7 +114,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width: int
         for batch in batches:
             texts = _encoded(batch.column("text"))
             for a, b in row_blocks([len(t) for t in texts]):
-                s, bounds = shingle_sets(texts[a:b], width)
+                s, bounds = shingle_sets(texts[a:b], width, key)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("set_key")[a:b],
                      pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(s.view(np.int64)))], ["set_key", "shingles"])
@@ -129,7 +132,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: int, percent: int, key: Key) -> DataFrame:
     """Confirmed links (a, b) between set classes, enough to connect every pair above the threshold."""
     members = classes.select("set_key", "n_shingles", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("n_shingles").alias("least")).where(
@@ -137,7 +140,7 @@ def links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: in
     shared = written(members.join(sizes, "band"), "nd-shared")
     ends = shared.groupBy("set_key").agg(F.sum(F.col("size") - 1).alias("degree"))
     wanted = classes.join(ends, "set_key", "left_semi").select("set_key", "doc_id", "text_key")
-    sets = written(_sets(docs, wanted, text, doc_id, width).dropDuplicates(["set_key"]), "nd-sets")
+    sets = written(_sets(docs, wanted, text, doc_id, width, key).dropDuplicates(["set_key"]), "nd-sets")
 
     rows = shared.join(ends, "set_key")
     hubs = rows.groupBy("band").agg(F.max(F.struct("degree", "set_key", "n_shingles")).alias("hub"))
@@ -191,15 +194,18 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5,
            percent: int = 80) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id (the smallest id of the component) of every row of ``docs``."""
-    rows = sketches(docs, text, doc_id, width)
+    key = draw_key()  # both readings of the texts hash under it
+    rows = sketches(docs, text, doc_id, width, key)
     classes = written(rows.where(F.col("n_shingles") > 0).groupBy("set_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep"),
         F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).select(
         "set_key", "rep.doc_id", "rep.text_key", "n_shingles", "bands"), "nd-classes")
-    comp = graph.components(links(docs, classes, text, doc_id, width, percent))
+    comp = graph.components(links(docs, classes, text, doc_id, width, percent, key))
     named = classes.select("set_key", "doc_id").join(comp, F.col("set_key") == F.col("node"), "left").select(
         "set_key", "doc_id", F.coalesce("component", "set_key").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = written(named, "nd-components")
+    # written on its own, so that the join may split a component that many classes share
+    smallest = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "nd-smallest")
     label = named.join(smallest, "component").select("set_key", "component", "component_id")
     return rows.drop("bands").join(label, "set_key", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

@@ -20,37 +20,25 @@ Memory is bounded by a block of text in the scan, by ``BUCKET_RANKS`` runs a buc
 Spark's shuffles elsewhere: a passage that a third of all documents share is a bucket with many runs
 but few ranks, counted before the shuffle.
 
-Names are 64-bit hashes; strings are taken as equal only if bucket, offset and name all agree.  Defined cases: null is empty text; texts below ``LENGTH`` bytes keep all bytes;
+Names and buckets are 62-bit hashes under random keys of the run; strings are taken as equal only if bucket, offset and name
+all agree, which unlike strings of L bytes do with probability (L / 2**31)**2 at most, whoever wrote them.  Defined
+cases: an empty table gives an empty result; null is empty text; texts below ``LENGTH`` bytes keep all bytes;
 copies of a text repeat each other; repeated rows are copies; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haze.llm._bytes import BLOCK, inverse, mix, powers, row_blocks
+from haze.llm._bytes import BLOCK, FIXED, Hashes, Key, draw_key, row_blocks
 from haze.session import ship_package, written
 
 LENGTH, GRAM = 400, 64
 BUCKET_RANKS = 4096
-_GRAM_BASE, _NAME_BASE = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95
-
-
-def _prefix(raw: np.ndarray, base: int) -> np.ndarray:
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw), base), out=total[1:])
-    return total
-
-
-def _names(total: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((total[end] - total[start]) * powers(len(total), inverse(base))[start]
-               + (end - start).astype(np.uint64))
+Keys = tuple[Key, Key]  # of sampled strings, and of names
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +51,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, keys: Keys = (FIXED, FIXED)):
     """(text, bucket, rank, first window, last window, sample position) of every run of every text."""
     step = max(BLOCK, 4 * length)
     pieces = [(i, at, t[at:at + step + length - 1]) for i, t in enumerate(texts)
@@ -74,7 +62,7 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         sizes = np.array([len(p) for _, _, p in part])
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         at = np.arange(len(raw) - gram + 1)
-        grams = _names(_prefix(raw, _GRAM_BASE), _GRAM_BASE, at, at + gram)
+        grams = Hashes(raw, keys[0]).sliding(gram)
         key = (grams >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
         low = (_sliding_min(key, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         count = sizes - length + 1
@@ -87,7 +75,7 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(pos)]]) - 1
         lo, hi, who = window[first], window[last], owner[first]
-        rank = _names(_prefix(raw, _NAME_BASE), _NAME_BASE, lo, hi + length)
+        rank = Hashes(raw, keys[1]).of(lo, hi + length)
         shift = np.array([x[1] for x in part])[who] - begin[who]
         yield (np.array([x[0] for x in part])[who], grams[pos[first]], rank, lo + shift, hi + shift, pos[first] + shift)
 
@@ -100,12 +88,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def text_runs(docs: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def text_runs(docs: DataFrame, text: str, length: int, gram: int, keys: Keys) -> DataFrame:
     """key (digest of the text), bucket, rank, lo, hi, at of every run of every row."""
     def scan(batches):
         for batch in batches:
             texts = _bytes(batch.column("text"))
-            for who, bucket, rank, lo, hi, at in runs(texts, length, gram):
+            for who, bucket, rank, lo, hi, at in runs(texts, length, gram, keys):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").take(pa.array(who)), _signed(bucket), _signed(rank),
                      *[pa.array(x, pa.int32()) for x in (lo, hi, at)]], ["key", "bucket", "rank", "lo", "hi", "at"])
@@ -118,10 +106,8 @@ def _key(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def window_names(text: bytes, lo: int, hi: int, length: int) -> np.ndarray:
-    raw = np.frombuffer(text[lo:hi + length], np.uint8)
-    at = np.arange(hi - lo + 1)
-    return _names(_prefix(raw, _NAME_BASE), _NAME_BASE, at, at + length)
+def window_names(text: bytes, lo: int, hi: int, length: int, key: Key) -> np.ndarray:
+    return Hashes(np.frombuffer(text[lo:hi + length], np.uint8), key).sliding(length)
 
 
 def _matched(batches):
@@ -156,7 +142,8 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
     """(key, windows) with the repeated window starts of each distinct text, and (key, text)."""
     spark = docs.sparkSession
     ship_package(spark)
-    rows = text_runs(docs, text, length, gram)
+    keys = (draw_key(), draw_key())
+    rows = text_runs(docs, text, length, gram, keys)
     # both written on their own, so that the join between them may split a bucket that many runs share
     shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket"), "rp-shared")
     held = written(rows.join(shared, "bucket"), "rp-held")
@@ -165,15 +152,17 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
     ranks = found.groupBy("bucket", "rank", span.alias("span")).agg(
         F.sum("c").alias("c"), F.min(F.struct("key", "lo", "at")).alias("rep"))
     ranks = written(ranks.withColumn("id", F.monotonically_increasing_id()), "rp-ranks")
-    size = ranks.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    # written on its own, so that the join may split a bucket of many ranks
+    size = written(ranks.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1), "rp-size")
     mixed = written(ranks.join(size, "bucket"), "rp-mixed")
 
-    keys = found.select("key").distinct()
+    found_keys = found.select("key").distinct()
     open_ = mixed.select("rep.key", F.struct("id", "bucket", "c", "span", "rep.lo", (F.col("rep.at") - F.col("rep.lo")).alias("dist"),
                                              (F.col("k") > BUCKET_RANKS).alias("large")).alias("run"))
     open_ = open_.groupBy("key").agg(F.collect_list("run").alias("runs"))
-    texts = docs.select(_key(text).alias("key"), F.col(text).alias("text")).join(keys.join(open_, "key", "left"), "key")
-    texts = written(texts.groupBy("key").agg(F.first("text").alias("text"), F.first("runs").alias("runs")), "rp-texts")
+    # one text of each key first, reduced before the shuffle: a text with a million copies is one row in the join
+    one = docs.select(_key(text).alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    texts = written(one.join(found_keys.join(open_, "key", "left"), "key"), "rp-texts")
 
     def opened(batches):
         for batch in batches:
@@ -183,7 +172,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
                     cols = [[r[k] for r in part] for k in ("id", "bucket", "c", "dist", "large")]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
-                        + [pa.array([window_names(body, r["lo"], r["lo"] + r["span"], length).tobytes() for r in part], pa.binary())],
+                        + [pa.array([window_names(body, r["lo"], r["lo"] + r["span"], length, keys[1]).tobytes() for r in part], pa.binary())],
                         ["id", "bucket", "c", "dist", "large", "names"])
 
     named = texts.where(F.col("runs").isNotNull()).mapInArrow(

@@ -69,7 +69,7 @@ def test_long_texts_hash_like_short_ones(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(3000)).encode()
     whole, _ = word_hashes([text, b"", text[:50]])
     monkeypatch.setattr(B, "BLOCK", 100)
-    monkeypatch.setattr(B, "_tables", {})
+    monkeypatch.setattr(B, "_tables", {})  # tables are made for the block size
     cut, owner = word_hashes([text, b"", text[:50]])
     assert np.array_equal(whole, cut) and set(owner.tolist()) == {0, 2}
 
@@ -122,3 +122,36 @@ def test_edges_open_bands_and_dedup(spark, monkeypatch):
     comps = {c for (d, _), (n, c) in zip(rows, brute(rows, 3, 80)) if n}
     assert ids == sorted([c for c in comps] + [1, 2, 3, None], key=str)
     assert neardup.groups(df.limit(0)).count() == 0
+
+
+def test_words_made_to_collide(spark):
+    a, b = "a", "b"
+    for _ in range(10):  # polynomial hashes of these agree modulo 2**64 for every odd base
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, f"{a} x"), (4, f"{b} x"), (5, a.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.groups(df, width=2).collect())
+    assert got == [(d, n, c) for (d, _), (n, c) in zip(rows, brute(rows, 2, 80))] == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 1)]
+
+
+def test_hashes_equal_integer_arithmetic():
+    import haze.llm._bytes as B
+
+    raw = np.random.default_rng(1).integers(0, 256, 5000, dtype=np.uint8)
+    key = B.draw_key()
+    h = B.Hashes(raw, key)
+    for (total, back, p), base in zip(h.parts, key):
+        p = int(p)
+        want, t = [0], 0
+        for i, c in enumerate(raw.tolist()):
+            t = (t + (c + 1) * pow(base, i, p)) % p
+            want.append(t)
+        assert total.tolist() == want and [int(x) for x in back[:50]] == [pow(pow(base, -1, p), i, p) for i in range(50)]
+    at = np.arange(len(raw) - 63)
+    assert np.array_equal(h.sliding(64), h.of(at, at + 64))
+    shifted = B.Hashes(np.concatenate([raw[1000:], raw]), key)
+    assert np.array_equal(shifted.sliding(64)[:500], h.sliding(64)[1000:1500])
+    old = B._SEGMENT
+    B._SEGMENT = 100
+    assert np.array_equal(B.Hashes(raw, key).sliding(64), h.sliding(64))
+    B._SEGMENT = old

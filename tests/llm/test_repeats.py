@@ -47,3 +47,24 @@ def test_edges(spark, monkeypatch):
     assert sorted((r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest())
                   for r in full) == sorted(want)
     assert repeats.removal_report(df.limit(0)).count() == 0
+
+
+def swapped_pair(doublings):
+    """Two unlike strings whose polynomial hashes agree modulo 2**64 for every odd base."""
+    a, b = "a", "b"
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_made_to_collide(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for k in range(12):
+        a, b = swapped_pair(6 + k % 2 * 4)
+        head, tail = word(250), word(250)
+        texts += [head + a + tail, head + b + tail]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in repeats.removal_report(df).collect())
+    assert got == [(i, *w) for i, w in enumerate(brute(texts, 400))]
