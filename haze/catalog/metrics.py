@@ -141,6 +141,28 @@ def roc_curve_ovr(spark, sf_dir):
     return rounded(metrics.roc_curve(long, F.col("y") == F.col("cls"), "cls_score", by=["cls"]))
 
 
+_LONG = """,
+classes AS (SELECT DISTINCT y AS cls FROM pred_class),
+lg AS (SELECT p.y, c.cls, ((p.event_id * 7 + length(c.cls) * 13) % 101) / 100.0e0
+              + CASE WHEN p.y = c.cls THEN p.score / 500.0e0 ELSE 0.0e0 END AS s
+       FROM pred_class p CROSS JOIN classes c),
+sc AS (SELECT cls, s, CAST(count_if(y = cls) AS DOUBLE) AS pos, CAST(count_if(y <> cls) AS DOUBLE) AS neg FROM lg GROUP BY 1, 2)"""
+
+
+@register("roc_curve_thinned", PC + _LONG + """,
+pts AS (SELECT cls, s, pos, neg, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS k,
+               sum(neg) OVER (PARTITION BY cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(neg) OVER (PARTITION BY cls) AS fpr,
+               sum(pos) OVER (PARTITION BY cls ORDER BY s DESC ROWS UNBOUNDED PRECEDING) / sum(pos) OVER (PARTITION BY cls) AS tpr
+        FROM sc WINDOW w AS (PARTITION BY cls ORDER BY s DESC))
+SELECT cls, round(s, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM pts
+WHERE k = 1 OR np IS NULL OR np <> pos OR nn <> neg
+UNION ALL SELECT cls, CAST('inf' AS DOUBLE), 0.0e0, 0.0e0 FROM classes""")
+def roc_curve_thinned(spark, sf_dir):
+    """One curve per class against the rest, without the points between two equal steps."""
+    long = _ovr_long(_pred_class(spark, sf_dir))
+    return rounded(metrics.roc_curve_thinned(long, F.col("y") == F.col("cls"), "cls_score", by=["cls"]))
+
+
 REG_SQL = """SELECT count(*) AS n,
        round(1 - avg((y - y_hat) * (y - y_hat)) / var_pop(y), 6) AS r2,
        round(avg((y - y_hat) * (y - y_hat)), 6) AS mse, round(sqrt(avg((y - y_hat) * (y - y_hat))), 6) AS rmse,

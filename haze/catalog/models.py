@@ -18,6 +18,7 @@ from haze.operators import stats
 from haze.plans import training
 from haze.session import scratch_dir, written
 from haze.sources import files
+from haze.streaming.predict import predict_stream
 
 # Single fits use the reference's own settings (100 trees of depth 15, 100 rounds, 1,000 iterations,
 # 100 random features, trees without a depth limit).  README names what no query runs.
@@ -188,6 +189,22 @@ def predict(spark, sf_dir):
     return out
 
 
+@register("stream_predict", HOLDOUT + "SELECT reading_id, true AS as_batch FROM marked WHERE r < t")
+def stream_predict(spark, sf_dir):
+    """The hold-out rows land as files in two parts and are predicted by a stream; each row compared with the batch prediction."""
+    prep, model = _fitted(spark, sf_dir, "classification", "logistic")
+    test = prep.data.where("is_test = 1").select("reading_id", *prep.features)
+    root = scratch_dir(spark, "stream-predict")
+    for part in (0, 1):
+        test.where(F.col("reading_id") % 2 == part).write.parquet(f"{root}/landing/part={part}")
+        predict_stream(spark, model, prep.features, prep.labels, ["reading_id"], f"{root}/landing/*", test.schema, f"{root}/sink",
+                       f"{root}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{root}/sink").select("reading_id", F.col("predicted_label").alias("streamed"))
+    batch = training.predict(model, test, prep.features, prep.labels, keep=["reading_id"]).select(F.col("reading_id").alias("k"), "predicted_label")
+    return written(found.join(batch, F.col("reading_id") == F.col("k")).select(
+        "reading_id", (F.col("streamed") == F.col("predicted_label")).alias("as_batch")), "predictions")
+
+
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     prep, model = _fitted(spark, sf_dir, "classification", "forest")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from haze.catalog import register
 from haze.catalog._util import Views, rounded, view_sql
 from haze.functions import features
-from haze.operators import stats
+from haze.operators import stats, wide
 
 NUM = ["pm25", "aqi", "temperature", "humidity", "pressure", "wind_speed"]
 GAP_NUM = NUM
@@ -116,6 +116,27 @@ def corr_matrix(spark, sf_dir):
     return rounded(stats.corr_matrix(Views(spark, sf_dir)["readings"], CORR_COLS))
 
 
+WIDE = 500
+
+
+@register("corr_wide", f"""
+WITH cells AS (SELECT vec_id, c, CAST(embedding[c % 64 + 1] AS DOUBLE) * CASE WHEN c < 64 THEN 1.0e0
+                      ELSE CAST(embedding[(c + c // 64) % 64 + 1] AS DOUBLE) END AS v
+               FROM (SELECT vec_id, embedding, unnest(range({WIDE})) AS c FROM embeddings)),
+g AS (SELECT CASE WHEN (vec_id + c) % 11 = 3 THEN NULL ELSE v END AS v, vec_id, c FROM cells),
+half AS (SELECT a.c AS i, b.c AS j, CASE WHEN a.c = b.c THEN 1.0e0 ELSE round(corr(a.v, b.v), 6) END AS corr
+         FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.c <= b.c GROUP BY 1, 2)
+SELECT 'c' || i AS col_a, 'c' || j AS col_b, corr FROM half
+UNION ALL SELECT 'c' || j, 'c' || i, corr FROM half WHERE i <> j""")
+def corr_wide(spark, sf_dir):
+    """Pearson matrix of 500 columns with gaps: the embedding's entries and products of two of them."""
+    e = Views(spark, sf_dir)["embeddings"]
+    at = lambda k: F.get("embedding", F.lit(k % 64)).cast("double")
+    value = lambda c: at(c) if c < 64 else at(c) * at(c + c // 64)
+    table = e.select(*[F.when((F.col("vec_id") + c) % 11 != 3, value(c)).alias(f"c{c}") for c in range(WIDE)])
+    return rounded(wide.wide_corr(table, [f"c{c}" for c in range(WIDE)]))
+
+
 @register("nullity_corr", view_sql("readings_gaps") + """,
 flags AS (SELECT CAST(city IS NULL AS DOUBLE) AS city, CAST(pm25 IS NULL AS DOUBLE) AS pm25,
                  CAST(humidity IS NULL AS DOUBLE) AS humidity FROM readings_gaps)

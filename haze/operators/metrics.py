@@ -89,11 +89,12 @@ def metric_table(df: DataFrame, y: str = "y", y_hat: str = "y_hat", places: int
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], partition_cols: list[str] | None = None,
-                buckets: int = 1024, inclusive: bool = False) -> DataFrame:
+                buckets: int | None = None, inclusive: bool = False) -> DataFrame:
     """Running sums of ``value_cols`` in ``order_col`` order within each partition, without
     sending a whole partition to one task.
 
-    Rows are cut into ``buckets`` range buckets (bounds from ``percentile_approx``);
+    Rows are cut into ``buckets`` range buckets (bounds from ``percentile_approx``; by default one per 100,000 rows,
+    at least 1,024, so that no bucket grows with the data);
     bucket totals (a table of at most partitions × buckets rows) give each
     bucket's offset through a window over that small table; inside a bucket a
     window adds the local running sum.  ``inclusive=False`` sums strictly
@@ -102,8 +103,9 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], partition_
     """
     parts = list(partition_cols or [])
     x = F.col(order_col)
+    buckets = buckets or max(1024, -(-df.count() // 100_000))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds_row = df.agg(F.percentile_approx(x.cast("double"), probs, 10_000).alias("b")).first()
+    bounds_row = df.agg(F.percentile_approx(x.cast("double"), probs, max(10_000, 4 * buckets)).alias("b")).first()
     bounds = sorted(set(bounds_row["b"] or []))
     src = df.withColumn("_x", x.cast("double"))
     if bounds:
@@ -135,7 +137,7 @@ def _score_counts(df: DataFrame, positive: Column, score: str, by: list[str]) ->
     return written(counts, "scores")
 
 
-def roc_auc(df: DataFrame, positive: Column, score: str, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, positive: Column, score: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties counted half (Mann-Whitney), per ``by`` group.
 
     AUC·P·N = Σ_s pos_s · (negatives scored below s + neg_s / 2).
@@ -148,7 +150,7 @@ def roc_auc(df: DataFrame, positive: Column, score: str, by: list[str] | None =
         F.sum("pos").cast("long").alias("n_pos"), F.sum("neg").cast("long").alias("n_neg"))
 
 
-def roc_auc_ovr(long_scores: DataFrame, y: str, cls: str, score: str, buckets: int = 1024) -> DataFrame:
+def roc_auc_ovr(long_scores: DataFrame, y: str, cls: str, score: str, buckets: int | None = None) -> DataFrame:
     """One-vs-rest AUC per class (rows: one per (row, class) with that class's score), and the
     support-weighted average as the row with class 'weighted'."""
     per = roc_auc(long_scores, F.col(y) == F.col(cls), score, [cls], buckets)
@@ -157,7 +159,7 @@ def roc_auc_ovr(long_scores: DataFrame, y: str, cls: str, score: str, buckets: i
     return per.select(F.col(cls).cast("string").alias(cls), "auc", "n_pos", "n_neg").unionByName(w)
 
 
-def roc_curve(df: DataFrame, positive: Column, score: str, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+def roc_curve(df: DataFrame, positive: Column, score: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, thresholds descending, after the start (infinity, 0, 0)."""
     by = list(by or [])
     counts = _score_counts(df, positive, score, by).withColumn("_neg_s", -F.col("_s"))
@@ -175,6 +177,40 @@ def roc_curve(df: DataFrame, positive: Column, score: str, by: list[str] | None
     return start.unionByName(points)
 
 
+def roc_curve_thinned(df: DataFrame, positive: Column, score: str, by: list[str] | None = None) -> DataFrame:
+    """``roc_curve`` without the points inside a straight run: a point between two equal steps is left out, as in the
+    reference's curve; the first and the last always stay, and the area is the same.
+
+    A point's step is its own counts, so it goes when the next score has the same counts.  Scores are
+    range-partitioned; the first row of the next part that holds the group stands for the neighbour over the edge.
+    """
+    by = list(by or [])
+    counts = _score_counts(df, positive, score, by)
+    keys = [F.col(c) for c in by]
+    cum = prefix_sums(counts.withColumn("_neg_s", -F.col("_s")), "_neg_s", ["pos", "neg"], by, inclusive=True)
+    dealt = written(cum.repartitionByRange(*keys, F.asc("_neg_s")).withColumn("_p", F.spark_partition_id()), "curve")
+    step = F.struct("pos", "neg")
+    heads = dealt.groupBy(*by, "_p").agg(F.min_by(step, "_neg_s").alias("_head"))
+    after = heads.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"),
+                         F.lead("_head").over(Window.partitionBy(*by).orderBy("_p")).alias("_over"))
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    placed = dealt.withColumn("_next", F.lead(step).over(Window.partitionBy(*by, "_p").orderBy("_neg_s"))).join(after, same)
+    following = F.coalesce("_next", "_over")
+    first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    kept = placed.where(first | following.isNull() | (following != step))
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    named = totals.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)], "P", "N")
+    match = F.lit(True)
+    for i, c in enumerate(by):
+        match = match & F.col(c).eqNullSafe(F.col(f"_t{i}"))
+    points = kept.join(F.broadcast(named) if not by else named, match if by else None, "inner").select(
+        *by, F.col("_s").cast("double").alias("threshold"), F.try_divide("cum_neg", "N").alias("fpr"), F.try_divide("cum_pos", "P").alias("tpr"))
+    start = totals.where(F.col("P").isNotNull()).select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.unionByName(points)
+
+
 def regression_metrics(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by: list[str] | None = None,
                        msle: bool = True) -> DataFrame:
     """R², MSE, RMSE, MAE, MAPE (fraction), explained variance, MSLE — one aggregation.
