@@ -13,7 +13,7 @@ import logging
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +26,7 @@ from haze.functions import logistic
 from haze.functions.scalers import fold_scalings
 from haze.operators import clean, metrics, quality, select, split
 from haze.plans import models as M
+from haze.plans import staged
 from haze.session import checkpoint_root, written
 from haze.sources import files
 
@@ -153,17 +154,20 @@ def _estimator(prep: Prepared, name: str, cfg, task: str, model_kw: dict):
 
 
 def _vectors(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
-    return fitted.transform(rows).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    """Scaled vectors, written: a lost executor rereads them instead of scaling again from the start."""
+    return written(fitted.transform(rows).select("features", "label"), "vectors")
 
 
 def cross_validate(prep: Prepared, est, points: list, cfg, task: str) -> CrossValidated:
     """Scores of every grid point on every fold.
 
-    Scaler and assembler are fitted once per fold and the vectors kept while the points are fitted on
-    them, ``cfg.parallelism`` at a time; a fold's vectors go before the next fold's come.
+    Scaler and assembler are fitted once per fold and the vectors written; the points are fitted on
+    them, ``cfg.parallelism`` at a time.  Logistic grids share their scans and ensembles their fits.
     """
     if isinstance(est, logistic.OneVsRestLogistic):
         return _cross_validate_logistic(prep, est, points, cfg)
+    if len(points) > 1 and _staged_by(est):
+        return _cross_validate_staged(prep, est, points, cfg, task)
     train, judge = prep.data.where(F.col("is_test") == 0), _evaluator(task)
     scores = [[0.0] * cfg.cv_folds for _ in points]
     for f in range(cfg.cv_folds):
@@ -176,8 +180,6 @@ def cross_validate(prep: Prepared, est, points: list, cfg, task: str) -> CrossVa
 
         with ThreadPool(max(1, cfg.parallelism)) as pool:
             pool.map(inheritable_thread_target(prep.data.sparkSession)(one), range(len(points)))
-        fit_on.unpersist()
-        check_on.unpersist()
     return _summary(points, scores)
 
 
@@ -209,6 +211,56 @@ def _cross_validate_logistic(prep: Prepared, est, points: list, cfg) -> CrossVal
     return _summary(points, scores)
 
 
+def _staged_by(est) -> tuple[str, ...]:
+    """The parameters of an ensemble whose grid values all follow from one fit at the largest."""
+    if isinstance(est, (M.RandomForestClassifier, M.RandomForestRegressor)):
+        return "numTrees", "maxDepth"
+    tree = est.getClassifier() if isinstance(est, M.OneVsRest) else est
+    return ("maxIter",) if isinstance(tree, (M.GBTClassifier, M.GBTRegressor)) else ()
+
+
+def _cross_validate_staged(prep: Prepared, est, points: list, cfg, task: str, min_splits: tuple = (None,)) -> CrossValidated:
+    """One fit per fold and combination of the parameters that change splits, scored for all sizes, depths and least node sizes
+    (``staged.Variant``).  With ``min_splits`` every point is scored once for each of them, in turn."""
+    staged_names, forest = _staged_by(est), isinstance(est, (M.RandomForestClassifier, M.RandomForestRegressor))
+    tree = est.getClassifier() if isinstance(est, M.OneVsRest) else est
+    k, checked = len(prep.labels) if prep.labels else 0, checkpoint_root(prep.data.sparkSession)
+    assert checked  # tree fits keep their node ids there
+    value = lambda p, name: {q.name: v for q, v in p.items()}.get(name, tree.getOrDefault(name))
+    fits: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        fits.setdefault(tuple(sorted((q.name, v) for q, v in p.items() if q.name not in staged_names)), []).append(i)
+    scores = [[0.0] * cfg.cv_folds for _ in range(len(points) * len(min_splits))]
+    train = prep.data.where(F.col("is_test") == 0)
+    for f in range(cfg.cv_folds):
+        rows = train.where(F.col("fold") != f)
+        pre = M.inputs(prep.features, cfg.scaling_method).fit(rows)
+        fit_on, check_on = _vectors(pre, rows), _vectors(pre, train.where(F.col("fold") == f))
+        for fixed, members in fits.items():
+            most = {name: max(value(points[i], name) for i in members) for name in staged_names}
+            one = est.fit(fit_on, {tree.getParam(name): v for name, v in (*fixed, *most.items())})
+            sizes = sorted({value(points[i], staged_names[0]) for i in members})
+            cut = lambda i, m: staged.Variant(value(points[i], "maxDepth"), m) if forest else staged.Variant()
+            variants = list(dict.fromkeys(cut(i, m) for i in members for m in min_splits))
+            models = list(one.models) if isinstance(est, M.OneVsRest) else [one]
+            found = staged.scores(check_on, models, sizes, variants, k, boosted=not forest)
+            for i in members:
+                for j, m in enumerate(min_splits):
+                    r = found[value(points[i], staged_names[0]), cut(i, m)]
+                    scores[i * len(min_splits) + j][f] = logistic.weighted_f1(r) if k else float(r[1] / max(r[0], 1))
+    spread = [p if m is None else {**{q.name: v for q, v in p.items()}, "minSplit": m} for p in points for m in min_splits]
+    return _summary(spread, scores)
+
+
+def forest_grid(prep: Prepared, cfg, task: str, min_splits: tuple = (2, 5, 10)) -> CrossValidated:
+    """The whole grid of the forest, least node sizes included: trees x depth x leaf x split from one fit per leaf size and fold.
+
+    Points are dicts.  ``minSplit`` has no parameter in Spark's forest; a model with it is scored from its nodes (``haze.plans.staged``).
+    """
+    est, params = _estimator(prep, "forest", cfg, task, {})
+    return _cross_validate_staged(prep, est, M.grid("forest", params, prep.n_train, task, cfg.grid), cfg, task, min_splits)
+
+
 def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = None, cv: bool = True, **model_kw):
     """Tune (k-fold on the fold column) or just cross-validate one model; the best point is fitted again
     on all training rows.  Returns (PipelineModel, cv_mean, cv_std, CrossValidated); without ``cv`` the
@@ -225,7 +277,6 @@ def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = Non
     pre = M.inputs(prep.features, cfg.scaling_method).fit(train)
     vectors = _vectors(pre, train)
     fitted = est.fit(vectors, points[best])
-    vectors.unpersist()
     model = PipelineModel(stages=[*pre.stages, fitted])
     if scored is None:
         return model, None, None, None
