@@ -139,5 +139,49 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, c
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
 
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, embedding FROM embeddings),
+c AS (SELECT k, unnest(range(1, len(embedding) + 1)) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM v),
+ok AS (SELECT k, sqrt(sum(x * x)) AS n FROM c GROUP BY k HAVING count(x) = count(*) AND count_if(NOT isfinite(x)) = 0 AND sum(x * x) > 0),
+u AS (SELECT c.k, c.j, c.x / ok.n AS x FROM c JOIN ok USING (k)),
+link AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.j = b.j AND a.k <> b.k GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.9e0),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT r.a, min(v.vec_id) AS low FROM reach r JOIN v ON v.k = r.b GROUP BY r.a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low.low, vec_id)) AS component_id,
+       vec_id <= coalesce(low.low, vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = v.k LEFT JOIN low ON low.a = v.k"""
+
+# CRC-32 of each distinct word: a table of 256 remainders of the polynomial, eight shifts each, then one step per byte
+OP13_SQL = f"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+rem AS MATERIALIZED (SELECT i, c FROM bits WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+dw AS MATERIALIZED (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS MATERIALIZED (SELECT unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+words AS MATERIALIZED (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+step AS (
+  SELECT word, h, CAST(4294967295 AS BIGINT) AS c, 1 AS p FROM words
+  UNION ALL
+  SELECT word, h, xor(step.c // 256, rem.c), p + 2 FROM step JOIN rem
+    ON rem.i = xor(step.c % 256, CAST(('0x' || substr(h, p, 2)) AS BIGINT)) WHERE p < length(h)),
+bucket AS MATERIALIZED (SELECT word, xor(c, 4294967295) % 10000 AS b FROM step WHERE p > length(h)),
+s AS (SELECT b, count(*) AS n FROM dw JOIN bucket USING (word) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM bw JOIN bucket USING (word) GROUP BY b),
+gain AS (SELECT s.b, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) AS DOUBLE) * ((SELECT sum(n) FROM s) + 10000)
+                / (CAST((s.n + 1) AS DOUBLE) * (coalesce((SELECT sum(n) FROM t), 0) + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b)),
+weight AS (SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS weight FROM dw JOIN bucket USING (word) JOIN gain USING (b) GROUP BY doc_id),
+score AS (SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('2024:' || d.doc_id), 1, 8)) AS BIGINT)
+                                            + 0.5e0) / 4294967296.0e0))) AS BIGINT) AS score
+          FROM d LEFT JOIN weight USING (doc_id)),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM score WHERE n_features >= 20)
+SELECT score.doc_id, n_features, weight, score, CASE WHEN k <= (SELECT count(*) FROM able) * 10 // 100 THEN k END AS rank
+FROM score LEFT JOIN able USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL.strip(), "op2_arc_to_warc": OP2_SQL.strip(), "op8_superminhash": OP8_SQL.strip()}
+    return {"op1_decontaminate": OP1_SQL.strip(), "op2_arc_to_warc": OP2_SQL.strip(), "op8_superminhash": OP8_SQL.strip(),
+            "op12_subspace_neardup": OP12_SQL.strip(), "op13_importance_resampling": OP13_SQL.strip()}
