@@ -83,7 +83,7 @@ def clf_forest(spark, sf_dir):
 
 @register("clf_gbt")
 def clf_gbt(spark, sf_dir):
-    """Boosted trees; three classes → one-vs-rest over binary GBTs, AUC from raw scores."""
+    """Boosted trees; three classes → one-vs-rest over binary GBTs, AUC from their normalised probabilities."""
     return _one(spark, sf_dir, "classification", "gbt")
 
 

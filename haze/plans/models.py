@@ -5,10 +5,10 @@ Mapping of the reference's models (scikit-learn / XGBoost) to Spark ML:
 * logistic regression → ``haze.functions.logistic``: one against the rest, l1 or
   l2 penalty on all weights including the intercept, whole grids in shared scans
 * random forest → ``RandomForest*`` (depth None → 30, Spark's cap;
-  ``min_samples_leaf`` → ``minInstancesPerNode``; no twin for
-  ``min_samples_split``)
+  ``min_samples_leaf`` → ``minInstancesPerNode``; ``min_samples_split`` is
+  applied to the fitted nodes, see ``haze.plans.staged``)
 * boosted trees (XGBoost) → ``GBT*``; more than two classes:
-  ``OneVsRest(GBTClassifier)`` (scores from ``rawPrediction``)
+  ``OneVsRest(GBTClassifier)``, probabilities by ``haze.functions.probabilities``
 * RBF support-vector regression → random Fourier features + Huber
   ``LinearRegression`` (an approximation; the ε grid has no twin)
 """

@@ -15,6 +15,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from haze.config import ClassificationConfig, RegressionConfig
 from haze.functions import features as feat
 from haze.functions import logistic
+from haze.functions.probabilities import MarginProbabilities
 from haze.functions.scalers import fold_scalings
 from haze.operators import clean, metrics, quality, select, split
 from haze.plans import models as M
@@ -277,7 +279,8 @@ def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = Non
     pre = M.inputs(prep.features, cfg.scaling_method).fit(train)
     vectors = _vectors(pre, train)
     fitted = est.fit(vectors, points[best])
-    model = PipelineModel(stages=[*pre.stages, fitted])
+    after = [MarginProbabilities()] if isinstance(fitted, OneVsRestModel) else []
+    model = PipelineModel(stages=[*pre.stages, fitted, *after])
     if scored is None:
         return model, None, None, None
     return model, scored.means[best], scored.stds[best], scored
@@ -404,7 +407,7 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str], labels: li
 def feature_importance(model: PipelineModel, features: list[str]) -> DataFrame:
     """(feature, importance) sorted descending: tree importances, or mean |coefficient| for linear models."""
     import numpy as np
-    last = model.stages[-1]
+    last = next(s for s in reversed(model.stages) if not isinstance(s, MarginProbabilities))
     inner = getattr(last, "models", None)
     if hasattr(last, "featureImportances"):
         imp = last.featureImportances.toArray()

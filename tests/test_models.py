@@ -115,3 +115,23 @@ def test_grouped_model_on_all_columns(spark, signal):
     assert set(res.features) == {"a", "b", "city_q", "city_r", "city_rare"}
     assert [r["city"] for r in res.skipped.collect()] == ["rare"] and res.per_group.count() == 3
     assert res.metrics.first()["r2"] > 0.9
+
+
+def test_boosted_classes_get_probabilities(spark, signal, tmp_path):
+    from haze.config import ClassificationConfig
+    from haze.plans import training
+
+    df, _ = signal
+    rows = df.withColumn("y", F.when(F.col("t") > 4, "up").when(F.col("t") > 2, "mid").otherwise("down")).select("id", "a", "b", "y")
+    cfg = ClassificationConfig(target_column="y", key=["id"], outlier_method="zscore")
+    prep = training.prepare(rows, cfg, "classification")
+    model, *_ = training.fit_model(prep, "gbt", cfg, "classification", tune=False, cv=False, maxIter=4, maxDepth=2)
+    path = str(tmp_path / "gbt")
+    model.write().overwrite().save(path)
+    for m in (model, PipelineModel.load(path)):
+        for r in m.transform(prep.data).limit(50).collect():
+            each = 1 / (1 + np.exp(-2 * r["rawPrediction"].toArray()))
+            assert r["probability"].toArray() == pytest.approx(each / each.sum())
+            assert r["prediction"] == r["probability"].argmax()
+    assert training.evaluate_classifier(model, prep.data.where("is_test = 1"), 3)["roc_auc"] > 0.9
+    assert training.feature_importance(model, prep.features).count() == len(prep.features)
