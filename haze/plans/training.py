@@ -263,6 +263,12 @@ def forest_grid(prep: Prepared, cfg, task: str, min_splits: tuple = (2, 5, 10))
     return _cross_validate_staged(prep, est, M.grid("forest", params, prep.n_train, task, cfg.grid), cfg, task, min_splits)
 
 
+def chained(pre: PipelineModel, fitted) -> PipelineModel:
+    """Scaler, assembler and model as one; one-against-the-rest margins get probabilities."""
+    after = [MarginProbabilities()] if isinstance(fitted, OneVsRestModel) else []
+    return PipelineModel(stages=[*pre.stages, fitted, *after])
+
+
 def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = None, cv: bool = True, **model_kw):
     """Tune (k-fold on the fold column) or just cross-validate one model; the best point is fitted again
     on all training rows.  Returns (PipelineModel, cv_mean, cv_std, CrossValidated); without ``cv`` the
@@ -279,8 +285,7 @@ def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = Non
     pre = M.inputs(prep.features, cfg.scaling_method).fit(train)
     vectors = _vectors(pre, train)
     fitted = est.fit(vectors, points[best])
-    after = [MarginProbabilities()] if isinstance(fitted, OneVsRestModel) else []
-    model = PipelineModel(stages=[*pre.stages, fitted, *after])
+    model = chained(pre, fitted)
     if scored is None:
         return model, None, None, None
     return model, scored.means[best], scored.stds[best], scored
