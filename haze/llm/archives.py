@@ -16,7 +16,8 @@ the written list of paths count, so a lost or repeated task leaves at most an un
 Defined cases: null html is an empty payload, a null url is ``urn:none``, white space and control characters
 in urls are percent-encoded, a null page id stays null; repeated rows are records of their own (equal
 page ids: the later file and ordinal count as larger); a record that ends before its declared length
-is kept with ``WARC-Truncated``; header lines that do not parse are skipped and counted.
+is kept with ``WARC-Truncated``; header lines that do not parse are skipped and counted; an empty table gives no records;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

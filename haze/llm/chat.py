@@ -14,7 +14,7 @@ turns is so many fragments, never one task.
 
 Defined cases: order is by turn, then role and text (nulls last); null or unknown roles are
 always relabelled; null text is empty; a null conversation id is a conversation; repeated rows are
-turns of their own; ``<|`` inside a text is rendered as ``<\\|`` so that no text can open a turn.
+turns of their own; an empty table gives an empty result; other columns, whatever their names, are not read; ``<|`` inside a text is rendered as ``<\\|`` so that no text can open a turn.
 """
 
 from __future__ import annotations

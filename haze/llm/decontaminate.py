@@ -11,7 +11,8 @@ null ids need no row number; a heavily copied text is reduced before that shuffl
 one candidate row in a join that can split them.
 
 Defined cases: null or empty texts and items have no words and no hits; repeated items count once;
-an item id is compared as a string, null as ``null``; other columns pass through untouched.
+an item id is compared as a string, null as ``null``; an empty table gives an empty result, an empty benchmark no
+hits; other columns travel in a struct and pass through untouched, whatever their names.
 """
 
 from __future__ import annotations

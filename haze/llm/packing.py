@@ -13,7 +13,8 @@ hot source or long document there is.  Every level is written to the shared scra
 is read, so a lost executor reruns tasks against fixed inputs and bin numbers stay what they are.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; repeated rows and null
-ids are packed like any other row; only documents longer than ``capacity`` are cut.
+ids are packed like any other row; only documents longer than ``capacity`` are cut; an empty table gives no sequences;
+other columns, whatever their names, are not read.  Words are cached by 124-bit hashes under random keys of the worker.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ texts (those with the smallest hashes) of at most ``TRAIN_CHARS`` characters eac
 only sample.  Every whole text is searched, in its own row: no shuffle, memory bounded by one batch.
 
 Defined cases: null is empty text and has no spans; without training texts only the base speaks;
-repeated rows give repeated results; other columns pass through untouched.
+repeated rows give repeated results; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ ordered list of conjunctions; ``verdict`` renders it as one ``CASE WHEN`` over t
 
 Defined cases: null or empty text has no words (and fails the base rule); without labels of both
 kinds the list is empty and the base rule alone decides; several labels of a document count as bad
-if any is; labels without a document and documents without a label take no part in learning.
+if any is; labels without a document and documents without a label take no part in learning; an empty table gives an
+empty result; ``filtered`` carries other columns in a struct, whatever their names, ``rated`` returns the named keys only.
 """
 
 from __future__ import annotations

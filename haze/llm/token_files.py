@@ -11,7 +11,8 @@ or document is spread over many tasks.  Written files count only if the written
 
 Defined cases: null or empty text is a document of 0 tokens; ids behind the last separator are a last,
 unterminated document; an empty file has no documents; strings of special tokens in a text are ordinary
-text, so a text cannot forge a separator; repeated rows are documents of their own.
+text, so a text cannot forge a separator; repeated rows are documents of their own; an empty table has no documents;
+other columns, whatever their names, are not read.  Words are cached by 124-bit hashes under random keys of the worker.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Equal URLs are scored once with a weight, so a repeated URL is one row.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and fits no rule; a null URL
 has no score and gets ``default``, any other is scored; with an empty class there is no model and every
-undecided URL gets ``default``.  Repeated rows give repeated results.  Other columns pass through untouched.
+undecided URL gets ``default``.  Repeated rows give repeated results; an empty table gives an empty result.  Columns named host, path,
+rule, verdict or score are replaced by the results; other columns pass through untouched.
 """
 
 from __future__ import annotations
