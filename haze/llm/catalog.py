@@ -63,7 +63,9 @@ def op8_superminhash(spark, sf_dir):
 
 
 def op9_repeated_substrings(spark, sf_dir):
-    return repeats.removal_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))  # a cut may split a character
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

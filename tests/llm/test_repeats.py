@@ -24,8 +24,11 @@ def brute(texts, length):
 
 
 def test_query_equals_brute_force(spark, docs):
-    got = {r["doc_id"]: tuple(r)[1:] for r in E.queries()["op9_repeated_substrings"](spark, SF).collect()}
+    rows = E.queries()["op9_repeated_substrings"](spark, SF).collect()
+    got = {r["doc_id"]: tuple(r)[1:5] for r in rows}
     assert got == dict(zip(docs, brute(docs.values(), 400)))
+    assert all(r["text"] == docs[r["doc_id"]] for r in rows if not r["n_removed"])
+    assert all(len(r["text"].encode()) <= r["n_bytes"] for r in rows)
     assert any(v[1] for v in got.values())
 
 
