@@ -40,15 +40,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: int, prime: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo ``prime``."""
+    """base**0 .. base**(n-1) modulo ``prime``, four bytes each."""
     have = _tables.get((base, prime))
     if have is None or len(have) < n:
-        size = 1 << max(n, BLOCK + 1).bit_length()
-        have = np.ones(size, np.uint64)
+        size = -(-max(n, BLOCK + 1) // (1 << 16)) << 16
+        have = np.ones(size, np.uint32)
         k, step = 1, base % prime
         while k < size:
-            have[k:2 * k] = have[:k] * np.uint64(step) % np.uint64(prime)
-            k, step = 2 * k, step * step % prime
+            m = min(2 * k, size)
+            have[k:m] = have[:m - k] * np.uint64(step) % np.uint64(prime)
+            k, step = m, step * step % prime
         if n <= 8 * BLOCK:
             if len(_tables) > 16:
                 _tables.clear()
