@@ -43,7 +43,7 @@ class Problem:
     fold: int = -1
 
 
-def _scaled(x: np.ndarray, scaling) -> np.ndarray:
+def scaled(x: np.ndarray, scaling) -> np.ndarray:
     """The scaled columns and the constant column."""
     if scaling is not None:
         centre, scale = (np.asarray(v, float) for v in scaling)
@@ -52,7 +52,7 @@ def _scaled(x: np.ndarray, scaling) -> np.ndarray:
     return np.column_stack([x, np.ones(len(x))])
 
 
-def _arrays(batch: pa.RecordBatch, d: int):
+def arrays(batch: pa.RecordBatch, d: int):
     x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
     return x, batch.column("label").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False)
 
@@ -68,10 +68,10 @@ def _measures(rows: DataFrame, d: int, problems: list[Problem], scalings: dict,
     def scan(batches):
         total = {i: np.zeros(2 + p + len(upper[0])) for i in np.flatnonzero(live).tolist()}
         for batch in batches:
-            x_all, label, fold = _arrays(batch, d)
+            x_all, label, fold = arrays(batch, d)
             for f, members in by_fold.items():
                 use = fold != f
-                x, y = _scaled(x_all[use], scalings.get(f)), label[use]
+                x, y = scaled(x_all[use], scalings.get(f)), label[use]
                 target = y[:, None] == np.array([problems[i].code for i in members])[None, :]
                 z = x @ weights[members].T
                 loss = np.logaddexp(0.0, np.where(target, -z, z)).sum(axis=0)
@@ -184,10 +184,10 @@ def confusions(rows: DataFrame, d: int, n_classes: int, models: list[tuple[int,
     def scan(batches):
         total = np.zeros((len(models), n_classes, n_classes))
         for batch in batches:
-            x_all, label, fold = _arrays(batch, d)
+            x_all, label, fold = arrays(batch, d)
             for f in {f for f, _ in models}:
                 use = fold == f
-                x, y = _scaled(x_all[use], scalings.get(f)), label[use].astype(int)
+                x, y = scaled(x_all[use], scalings.get(f)), label[use].astype(int)
                 for i, (at, w) in enumerate(models):
                     if at == f:
                         z = x @ w.T

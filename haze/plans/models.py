@@ -9,8 +9,8 @@ Mapping of the reference's models (scikit-learn / XGBoost) to Spark ML:
   applied to the fitted nodes, see ``haze.plans.staged``)
 * boosted trees (XGBoost) → ``GBT*``; more than two classes:
   ``OneVsRest(GBTClassifier)``, probabilities by ``haze.functions.probabilities``
-* RBF support-vector regression → random Fourier features + Huber
-  ``LinearRegression`` (an approximation; the ε grid has no twin)
+* RBF support-vector regression → ``haze.functions.kernel``: the same loss and
+  penalty on Nystroem landmarks, whole grids in shared scans
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 
-from haze.functions.fourier import RandomFourierFeatures
+from haze.functions.kernel import AUTO, SCALE, KernelRegression
 from haze.functions.logistic import OneVsRestLogistic
 from haze.functions.scalers import ExactScaler
 
@@ -32,7 +32,7 @@ TREE_SPEED = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
 
 CLASSIFIER_NAMES = {"logistic": "Logistic Regression", "forest": "Random Forest", "gbt": "Gradient Boosting",
                     "tree": "Decision Tree"}
-REGRESSOR_NAMES = {"forest": "Random Forest", "gbt": "Gradient Boosting", "rbf": "RBF Regression (Fourier)",
+REGRESSOR_NAMES = {"forest": "Random Forest", "gbt": "Gradient Boosting", "rbf": "Support Vector Regression",
                    "linear": "Linear Regression", "tree": "Decision Tree"}
 
 
@@ -74,12 +74,8 @@ def regressor(name: str, seed: int = 42, **kw):
                          subsamplingRate=kw.get("subsample", 0.8), seed=seed, **TREE_SPEED)
         return g, g
     if name == "rbf":
-        rff = RandomFourierFeatures(inputCol="features", outputCol="rff", numFeatures=kw.get("numFeatures", 100),
-                                    gamma=kw.get("gamma", 0.0), seed=seed)
-        # tol 1e-3 is the reference library's default for its kernel regressor
-        lin = LinearRegression(featuresCol="rff", labelCol="label", loss="huber", epsilon=1.35,
-                               regParam=kw.get("regParam", 0.01), maxIter=kw.get("maxIter", 200), tol=1e-3)
-        return Pipeline(stages=[rff, lin]), (rff, lin)
+        svr = KernelRegression(c=kw.get("C", 1.0), epsilon=kw.get("epsilon", 0.1), gamma=kw.get("gamma", SCALE), seed=seed)
+        return svr, svr
     if name == "linear":
         lin = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal")
         return lin, lin
@@ -121,11 +117,10 @@ def grid(name: str, params, n_train: int, task: str, size: str = "full"):
             b.addGrid(params.maxDepth, [3, 5, 7])
             b.addGrid(params.subsamplingRate, [0.8, 0.9, 1.0])
     elif name == "rbf":
-        rff, lin = params
-        cs = [1.0, 10.0] if small else [0.1, 1.0, 10.0, 100.0]
-        b.addGrid(lin.regParam, [1.0 / (c * max(n_train, 1)) for c in cs])
+        b.addGrid(params.c, [1.0, 10.0] if small else [0.1, 1.0, 10.0, 100.0])
         if not small:
-            b.addGrid(rff.gamma, [0.0, -1.0, 0.001, 0.01, 0.1, 1.0])  # 0: scale, -1: auto
+            b.addGrid(params.gamma, [SCALE, AUTO, 0.001, 0.01, 0.1, 1.0])
+            b.addGrid(params.epsilon, [0.01, 0.1, 0.2, 0.5])
     elif name in ("tree", "linear"):
         pass
     else:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from haze.config import ClassificationConfig, RegressionConfig
 from haze.functions import features as feat
-from haze.functions import logistic
+from haze.functions import kernel, logistic
 from haze.functions.probabilities import MarginProbabilities
 from haze.functions.scalers import fold_scalings
 from haze.operators import clean, metrics, quality, select, split
@@ -164,10 +164,12 @@ def cross_validate(prep: Prepared, est, points: list, cfg, task: str) -> CrossVa
     """Scores of every grid point on every fold.
 
     Scaler and assembler are fitted once per fold and the vectors written; the points are fitted on
-    them, ``cfg.parallelism`` at a time.  Logistic grids share their scans and ensembles their fits.
+    them, ``cfg.parallelism`` at a time.  Logistic and kernel grids share their scans and ensembles their fits.
     """
     if isinstance(est, logistic.OneVsRestLogistic):
         return _cross_validate_logistic(prep, est, points, cfg)
+    if isinstance(est, kernel.KernelRegression):
+        return _cross_validate_kernel(prep, est, points, cfg)
     if len(points) > 1 and _staged_by(est):
         return _cross_validate_staged(prep, est, points, cfg, task)
     train, judge = prep.data.where(F.col("is_test") == 0), _evaluator(task)
@@ -213,6 +215,20 @@ def _cross_validate_logistic(prep: Prepared, est, points: list, cfg) -> CrossVal
     return _summary(points, scores)
 
 
+def _cross_validate_kernel(prep: Prepared, est, points: list, cfg) -> CrossValidated:
+    """All points and folds in the same scans, as the logistic grid."""
+    rows, d = _array_rows(prep), len(prep.features)
+    scalings = fold_scalings(prep.data.where(F.col("is_test") == 0), prep.features, cfg.scaling_method, "fold", cfg.cv_folds)
+    at = [(i, f) for i in range(len(points)) for f in range(cfg.cv_folds)]
+    problems = [kernel.Problem(*[points[i].get(p, est.getOrDefault(p)) for p in (est.c, est.epsilon, est.gamma)], f) for i, f in at]
+    found = kernel.fit_many(rows, d, problems, scalings, est.getOrDefault(est.landmarks), est.getOrDefault(est.seed))
+    errors = kernel.squared_errors(rows, d, [(f, m) for (_, f), m in zip(at, found)], scalings)
+    scores = [[0.0] * cfg.cv_folds for _ in points]
+    for (i, f), e in zip(at, errors):
+        scores[i][f] = float(e)
+    return _summary(points, scores)
+
+
 def _staged_by(est) -> tuple[str, ...]:
     """The parameters of an ensemble whose grid values all follow from one fit at the largest."""
     if isinstance(est, (M.RandomForestClassifier, M.RandomForestRegressor)):
