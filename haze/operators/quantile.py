@@ -187,6 +187,11 @@ def _select(df: DataFrame, wanted: dict[str, list[float]]) -> tuple[dict[str, in
     return counts, found
 
 
+def summaries(df: DataFrame, cols: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted values and weights of each column: all values, or ``POINTS`` order statistics; one scan."""
+    return [(np.asarray(m["v"], float), np.asarray(m["w"], float)) for m in _measure(df, [(c, None, None) for c in cols], [False] * len(cols))]
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Every quantile of every column, nulls and NaN skipped; None for a column without values."""
     if not cols:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from haze.config import ClassificationConfig, RegressionConfig
 from haze.functions import features as feat
-from haze.functions import kernel, logistic
+from haze.functions import kernel, logistic, trees
 from haze.functions.probabilities import MarginProbabilities
 from haze.functions.scalers import fold_scalings
 from haze.operators import clean, metrics, quality, select, split
@@ -300,7 +300,7 @@ def fit_model(prep: Prepared, name: str, cfg, task: str, tune: bool | None = Non
     train = prep.data.where(F.col("is_test") == 0)
     pre = M.inputs(prep.features, cfg.scaling_method).fit(train)
     vectors = _vectors(pre, train)
-    fitted = est.fit(vectors, points[best])
+    fitted = trees.fitted(est.copy(points[best]), vectors)
     model = chained(pre, fitted)
     if scored is None:
         return model, None, None, None
