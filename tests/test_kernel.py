@@ -105,3 +105,20 @@ def test_constant_target_repeated_rows_and_no_rows(spark):
     assert (got.map(np.array([[1.0, 2.0]])) @ got.weights)[0] == pytest.approx(5.0, abs=0.11)
     with pytest.raises(ValueError):
         K.fit_many(same.limit(0), 2, [K.Problem()])
+
+
+def test_steps_add_up_to_the_weighted_gram(spark):
+    """One scan's Gram matrices equal the weighted products in numpy, for far larger and far smaller weights alike."""
+    from haze.functions import kernel as K
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(200, 2)), rng.normal(size=200)
+    rows = spark.createDataFrame([(v.tolist(), float(t), 0) for v, t in zip(x, y)], "x array<double>, label double, fold int")
+    m = K._map(x[:20], 0.5, 20, 1)
+    z = m(x)
+    w = rng.normal(size=z.shape[1])
+    for corner in (1.0, 1e-6):
+        _, gram, _ = K._steps(rows, 2, [K.Problem(1.0, 0.1, 0.5, -1)], {}, {(-1, 0.5): m}, [w], [corner], [0])[0]
+        r = y - z @ w
+        weight = 0.25 / np.maximum(np.abs(r - 0.1), corner) + 0.25 / np.maximum(np.abs(r + 0.1), corner)
+        assert np.allclose(gram, (z * weight[:, None]).T @ z, rtol=1e-9)
