@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from haze.session import ship_package, written
 
 POINTS = 2048
-ERROR = 2 / POINTS  # three thinnings (chunk, task, group of tasks) of half a point's weight each, rounded up
+ERROR = 2 / POINTS  # four thinnings (chunk, several chunks, task, group of tasks) of half a point's weight each
 CHUNK = 1 << 16
-LEAF = 50_000
+CHUNKS = 16  # thinned chunks that a task holds before it joins them
+LEAF = 16_384
 
 
 def number(col: str | Column) -> Column:
@@ -55,7 +56,7 @@ def _thin(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 class _Summary:
     def __init__(self):
-        self.chunks, self.wait, self.rows = [], [], 0
+        self.parts, self.chunks, self.wait, self.rows = [], [], [], 0
 
     def add(self, x: np.ndarray) -> None:
         self.wait.append(x)
@@ -67,10 +68,13 @@ class _Summary:
         x = np.concatenate([np.zeros(0), *self.wait])
         self.chunks.append(_thin(x, np.ones(len(x))))
         self.wait, self.rows = [], 0
+        if len(self.chunks) >= CHUNKS:
+            self.parts.append(_joined(self.chunks))
+            self.chunks = []
 
     def end(self) -> tuple[np.ndarray, np.ndarray]:
         self._close()
-        return _joined(self.chunks)
+        return _joined(self.parts + self.chunks)
 
 
 def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,13 +115,13 @@ def _measure(df: DataFrame, spans: list[tuple], leaf: list[bool]) -> list[dict]:
         rows = []
         for i, (*_, whole) in enumerate(plan):
             v, w = (np.concatenate([np.zeros(0), *inside[i]]), np.zeros(0)) if whole else inside[i].end()
-            rows.append((i, *count[i].tolist(), v.tolist(), w.tolist()))
+            rows.append((i, *count[i].tolist(), v, w))
         yield _record(rows)
 
     def grouped(batches):
         by = {}
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 by.setdefault(r["span"], []).append(r)
         if by:
             yield _record([_one(i, rows, leaf[i]) for i, rows in by.items()])
@@ -126,14 +130,22 @@ def _measure(df: DataFrame, spans: list[tuple], leaf: list[bool]) -> list[dict]:
     groups = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     parts = rows.mapInArrow(scan, _ROW).repartition(groups).mapInArrow(grouped, _ROW)
     by = {}
-    for r in parts.collect():
-        by.setdefault(r["span"], []).append(r)
+    for batch in parts.toArrow().to_batches():
+        for r in _rows(batch):
+            by.setdefault(r["span"], []).append(r)
     return [dict(zip("_blnhvw", _one(i, by.get(i, []), leaf[i]))) for i in range(len(spans))]
 
 
+def _rows(batch: pa.RecordBatch):
+    """Rows as dicts whose lists stay arrays of eight bytes a value."""
+    plain = [batch.column(k).to_pylist() for k in ("span", "b", "l", "n", "h")]
+    for i, r in enumerate(zip(*plain)):
+        yield dict(zip(("span", "b", "l", "n", "h"), r)) | {k: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in "vw"}
+
+
 def _one(i: int, rows: list, whole: bool) -> tuple:
     v, w = _joined([(r["v"], r["w"]) for r in rows]) if not whole else (np.concatenate([np.zeros(0), *[np.asarray(r["v"], float) for r in rows]]), np.zeros(0))
-    return (i, *[sum(r[k] for r in rows) for k in "blnh"], v.tolist(), w.tolist())
+    return (i, *[sum(r[k] for r in rows) for k in "blnh"], v, w)
 
 
 def _bracket(m: dict, rank: int, span: tuple, miss: int) -> tuple[float | None, float | None, float]:
@@ -176,8 +188,8 @@ def _select(df: DataFrame, wanted: dict[str, list[float]]) -> tuple[dict[str, in
             elif at >= m["n"]:
                 found[key] = high
             elif whole:
-                if not isinstance(m["v"], np.ndarray):
-                    m["v"] = np.sort(m["v"])
+                if not m.get("sorted"):
+                    m["v"], m["sorted"] = np.sort(m["v"]), True
                 found[key] = float(m["v"][at])
             else:
                 lo, hi, most = _bracket(m, at, (c, low, high), miss)

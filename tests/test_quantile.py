@@ -94,3 +94,22 @@ def test_two_aggregations_for_many_columns(spark, monkeypatch):
     quantile.exact_quantiles(df, [f"c{i}" for i in range(4)], [0.25, 0.5, 0.75])
     assert len(seen) == 2 and seen[0] == [(False, quantile.POINTS)] * 4
     assert all(k for k, _ in seen[1]) and max(n for _, n in seen[1]) <= 400_000 * 8 / quantile.POINTS
+
+
+def test_summaries_join_their_chunks():
+    """A task of any size holds a bounded number of thinned chunks, and the summary stays within its error."""
+    from haze.operators import quantile as q
+
+    one, most = q._Summary(), 0
+    x = np.random.default_rng(1).permutation(40 * q.CHUNK).astype(float)
+    for a in range(0, len(x), q.CHUNK):
+        one.add(x[a:a + q.CHUNK])
+        most = max(most, len(one.chunks))
+    v, w = one.end()
+    assert most < q.CHUNKS and len(v) <= q.POINTS
+    upto = np.cumsum(w)
+    at = np.searchsorted(v, len(x) / 2)
+    assert abs(upto[at] - len(x) / 2) <= q.ERROR * len(x)
+    batch = q._record([(0, 1, 2, 3, 4, v, w)])
+    r = next(q._rows(batch))
+    assert isinstance(r["v"], np.ndarray) and np.array_equal(r["v"], v)
