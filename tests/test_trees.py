@@ -81,3 +81,12 @@ def test_constant_target_is_one_leaf(rows):
     assert own.transform(rows).where("prediction <> 2.5").isEmpty()
     with pytest.raises(ValueError):
         trees.fitted(DecisionTreeRegressor(labelCol="k", maxDepth=30), rows.withColumn("k", F.lit(None).cast("double")))
+
+
+def test_ensembles_hold_few_rows_a_task(rows, monkeypatch):
+    monkeypatch.setattr(trees, "TASK", 100)
+    seen, real = [], RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, df: seen.append(df) or real(self, df))
+    trees.fitted(RandomForestClassifier(labelCol="z", numTrees=3, maxDepth=4), rows)
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 200 and sum(sizes) == 3000
