@@ -90,3 +90,19 @@ def test_ensembles_hold_few_rows_a_task(rows, monkeypatch):
     trees.fitted(RandomForestClassifier(labelCol="z", numTrees=3, maxDepth=4), rows)
     sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= 30 and max(sizes) <= 200 and sum(sizes) == 3000
+
+
+def test_equal_gains_go_to_the_reservoirs_order():
+    """Every feature is looked at as often as any other, and later features, which take earlier ones' places, may win ties."""
+    spec = trees.Spec(1, 30, 1, 0.0, 2, 3, True, 42, 32)
+    order = trees._subset(np.arange(1, 20001), 0, 5, spec)
+    assert all(len(set(r)) == 3 for r in order[:500])
+    assert np.allclose(np.bincount(order.ravel(), minlength=5) / 20000, 0.6, atol=0.02)
+    assert np.mean(order[:, 0] >= 3) == pytest.approx(0.4, abs=0.02)
+    hist = np.zeros((2, 5, 2, 3))
+    hist[:, :, 0] = [4, 4, 0]
+    hist[:, :, 1] = [4, 0, 4]
+    assert trees.best_of(hist, np.array([[4, 1, 2], [0, 3, 2]]), spec)[1].tolist() == [4, 0]
+    code, s = np.array([[0] * 5] * 4 + [[1] * 5] * 4, np.uint8), trees.stats_of(np.repeat([0.0, 1.0], 4), np.ones(8), spec)
+    found = trees._best_sparse(code, s, np.zeros(8, int), s.sum(axis=0)[None, :], np.array([[4, 1, 2]]), 2, spec)
+    assert found[1].tolist() == [4] and found[2].tolist() == [0]
