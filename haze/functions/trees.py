@@ -592,13 +592,17 @@ class _Writer(MLWriter):
 
 
 class _Reader(MLReader):
+    def __init__(self, kind: type | None = None):
+        super().__init__()
+        self.kind = kind or DeepTreesModel
+
     def load(self, path: str) -> DeepTreesModel:
         spark = SparkSession.getActiveSession()
         metadata = DefaultParamsReader.loadMetadata(path, spark)
-        model = DeepTreesModel()
+        model = self.kind()
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
-        k = max(model.getOrDefault(model.numClasses), 1)
+        k = max(model.getOrDefault(model.numClasses), 1) if self.kind is DeepTreesModel else 1
         for r in spark.read.parquet(f"{path}/trees").orderBy("tree").collect():
             f, at, left, value = (np.frombuffer(base64.b64decode(r[c]), kind) for c, kind in
                                   (("feature", np.int16), ("at", float), ("left", np.int32), ("value", float)))
@@ -606,8 +610,12 @@ class _Reader(MLReader):
         return model
 
 
+def _more_than_small(rows: DataFrame) -> bool:
+    return len(rows.select(F.lit(1)).head(SMALL + 1)) > SMALL
+
+
 def _deep(est, rows: DataFrame) -> bool:
-    return est.getMaxDepth() >= DEEP and est.getMaxBins() <= 256 and len(rows.select(F.lit(1)).head(SMALL + 1)) > SMALL
+    return est.getMaxDepth() >= DEEP and est.getMaxBins() <= 256 and _more_than_small(rows)
 
 
 def importances(est, rows: DataFrame) -> np.ndarray:
@@ -624,7 +632,11 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def fitted(est, rows: DataFrame):
-    """``est.fit(rows)``; a deep tree or forest on more rows than ``SMALL`` by the scans of this module."""
+    """``est.fit(rows)``; on more rows than ``SMALL`` a deep tree or forest by the scans of this module, boosting by its own."""
+    from haze.functions import boosting
+
+    if boosting.takes(est) and _more_than_small(rows):
+        return boosting.fit(est, rows)
     if isinstance(est, (RandomForestClassifier, OneVsRest, GBTClassifier, GBTRegressor)):
         return est.fit(dealt(rows))
     if not (takes(est) and _deep(est, rows)):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from haze.config import ClassificationConfig, RegressionConfig
 from haze.functions import features as feat
 from haze.functions import kernel, logistic, trees
+from haze.functions.boosting import BoostedTreesModel
 from haze.functions.probabilities import MarginProbabilities
 from haze.functions.scalers import fold_scalings
 from haze.operators import clean, metrics, quality, select, split
@@ -281,7 +282,8 @@ def forest_grid(prep: Prepared, cfg, task: str, min_splits: tuple = (2, 5, 10))
 
 def chained(pre: PipelineModel, fitted) -> PipelineModel:
     """Scaler, assembler and model as one; one-against-the-rest margins get probabilities."""
-    after = [MarginProbabilities()] if isinstance(fitted, OneVsRestModel) else []
+    margins = isinstance(fitted, OneVsRestModel) or isinstance(fitted, BoostedTreesModel) and fitted.getOrDefault(fitted.numModels) > 1
+    after = [MarginProbabilities()] if margins else []
     return PipelineModel(stages=[*pre.stages, fitted, *after])
 
 
@@ -321,6 +323,8 @@ def _class_scores(pred: DataFrame, n_classes: int) -> tuple[str, DataFrame]:
 
 def evaluate_classifier(model: PipelineModel, test: DataFrame, n_classes: int) -> dict:
     pred = model.transform(test)
+    # written once: several scans follow, and each would predict again
+    pred = written(pred.select("label", "prediction", *[c for c in ("probability", "rawPrediction") if c in pred.columns]), "judged")
     m = metrics.classification_metrics(pred.select(F.col("label").alias("y"), F.col("prediction").alias("y_hat"))).first()
     _col, scored = _class_scores(pred, n_classes)
     if n_classes == 2:
@@ -333,7 +337,7 @@ def evaluate_classifier(model: PipelineModel, test: DataFrame, n_classes: int) -
 
 
 def evaluate_regressor(model: PipelineModel, test: DataFrame) -> dict:
-    pred = model.transform(test)
+    pred = written(model.transform(test).select("label", "prediction"), "judged")
     m = metrics.regression_metrics(pred.select(F.col("label").alias("y"), F.col("prediction").alias("y_hat")),
                                    msle=False).first()
     return {k: m[k] for k in ("r2", "mse", "rmse", "mae", "mape", "explained_variance")}
