@@ -2,6 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 import __spark_entry__ as E
 from haze.llm import repeats
 
@@ -68,3 +71,32 @@ def test_texts_made_to_collide(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(tuple(r) for r in repeats.removal_report(df).collect())
     assert got == [(i, *w) for i, w in enumerate(brute(texts, 400))]
+
+
+def test_matching_holds_few_buckets(monkeypatch):
+    """Packed runs are matched as their buckets end, not when the partition does, wherever the batches are cut."""
+    monkeypatch.setattr(repeats, "MATCH", 60, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(i, i // 5, 1 + int(i % 11 == 0), int(rng.integers(0, 3)), rng.integers(1, 5, int(rng.integers(1, 9)))) for i in range(400)]
+    seen = Counter()
+    for _, bucket, c, first, names in rows:
+        for off, w in enumerate(names):
+            seen[bucket, first - off, w] += c
+    want = {i: [o for o, w in enumerate(names) if seen[b, first - o, w] > 1] for i, b, _, first, names in rows}
+    taken = []
+
+    def batches():
+        for at in range(0, len(rows), 7):
+            part = rows[at:at + 7]
+            taken.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(4)]
+                                             + [pa.array([r[4].astype(np.uint64).tobytes() for r in part], pa.binary())],
+                                             ["id", "bucket", "c", "dist", "names"])
+
+    got, most = {}, 0
+    for out in repeats._matched(batches()):
+        most = max(most, len(taken))
+        taken.clear()
+        got |= {r["id"]: r["offs"] for r in out.to_pylist()}
+    assert got == {i: offs for i, offs in want.items() if offs}
+    assert most <= 6
