@@ -100,3 +100,17 @@ def test_matching_holds_few_buckets(monkeypatch):
         got |= {r["id"]: r["offs"] for r in out.to_pylist()}
     assert got == {i: offs for i, offs in want.items() if offs}
     assert most <= 6
+
+
+def test_planted_passages_leave_and_clean_texts_stay(spark):
+    """``n_removed`` tells removal, from 400 bytes on; ``n_bytes`` is the length of the input either way."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(6, 10))) for _ in range(n))
+    passages, short = [words(60) for _ in range(4)], words(60)[:399]
+    planted = {i: f"{words(rng.randint(5, 40))} {passages[i % 4]} {words(rng.randint(5, 40))}" for i in range(40)}
+    clean = {i: words(rng.randint(20, 160)) for i in range(40, 80)} | {i: f"{words(30)}{i}{short}{i}{words(30)}" for i in (80, 91, 102)}
+    texts = planted | clean
+    got = {r["doc_id"]: r for r in repeats.removal_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(got) == len(texts) and all(r["n_bytes"] == len(texts[i]) for i, r in got.items())
+    assert all(got[i]["n_removed"] >= len(passages[i % 4]) >= 400 and got[i]["n_spans"] == 1 for i in planted)
+    assert all(got[i]["n_removed"] == 0 and got[i]["kept_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() for i in clean)
