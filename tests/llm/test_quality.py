@@ -103,3 +103,39 @@ def test_more_than_eight_rules(spark):
     df = statistics(spark, rows)
     rules = quality.learn_rules(df)
     assert len(rules) > 8 and caught(df, rules) == {(True, 1200)}
+
+
+def test_filtered_computes_the_statistics_once(spark, monkeypatch):
+    calls, made = [], quality.text_statistics
+    monkeypatch.setattr(quality, "text_statistics", lambda *a: calls.append(1) or made(*a))
+    rows = [(i % 30, " ".join(f"w{i}x{k}" for k in range(20)) + (" ***" if i % 3 == 0 else ""), f"s{i}") for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, rows[1][1], "n"), (None, rows[0][1], "n")], "Doc_ID long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    got = sorted((tuple(r) for r in quality.filtered(df, labels).collect()), key=str)
+    want = [r for r in rows if "***" not in r[1]] + [(None, rows[1][1], "n")]
+    assert got == sorted(want, key=str) and len(calls) == 1
+
+
+def test_starts_grown_side_by_side_give_the_same_list(spark, monkeypatch):
+    import random
+    draw, plain = random.Random(3), {f: 0.0 for f in ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_digits", "n_dup_lines",
+                                                      "n_lines", "n_repeat_words", "n_distinct_words")}
+    rows = []
+    for i in range(900):  # the label leans on three statistics, none of which is precise alone
+        a, b, c = draw.random(), draw.random(), draw.random()
+        rows.append({**plain, "n_words": 100.0, "word_chars": 500.0, "n_symbols": 40 * a, "n_digits": 40 * b, "n_upper": 40 * c, "n_lines": 1.0,
+                     "bad": a + b + c + draw.random() > 2.6, "prune": i % 3 == 0})
+    df, sides, seen = spark.createDataFrame(rows), quality._sides, []
+    monkeypatch.setattr(quality, "_sides", lambda left, bins: seen.append(1) or sides(left, bins))
+    lists = []
+    for at_once in (1, 4):
+        monkeypatch.setattr(quality, "AT_ONCE", at_once)
+        lists.append(quality.learn_rules(df, bins=4, min_precision=0.97))
+    assert lists[0] == lists[1] and len(seen) > 4
+
+
+def test_cells_count_the_cuts_below(spark):
+    cuts = [0.0, 1e-05, 0.5, 2.0, 1e20]
+    values = [-1.0, 0.0, 1e-05, 0.3, 0.5, 0.50001, 2.0, 3.0, 1e20, 1e21]
+    got = spark.createDataFrame([(v,) for v in values], "f double").selectExpr("f", f"{quality._cell('f', cuts, 7)} AS c").collect()
+    assert [r["c"] for r in got] == [7 + sum(c < r["f"] for c in cuts) for r in got]
