@@ -135,3 +135,21 @@ def test_boosted_classes_get_probabilities(spark, signal, tmp_path):
             assert r["prediction"] == r["probability"].argmax()
     assert training.evaluate_classifier(model, prep.data.where("is_test = 1"), 3)["roc_auc"] > 0.9
     assert training.feature_importance(model, prep.features).count() == len(prep.features)
+
+
+def test_train_regression_runs_the_whole_grids(spark, sf_small, monkeypatch):
+    import __spark_entry__ as E
+    from haze.plans import training
+
+    class Seen(Exception):
+        pass
+
+    def caught(df, cfg):
+        raise Seen(cfg)
+
+    monkeypatch.setattr(training, "train_regression", caught)
+    with pytest.raises(Seen) as seen:
+        E.queries()["train_regression"](spark, sf_small)
+    cfg, = seen.value.args
+    assert cfg.use_hyperparameter_tuning and cfg.grid == "full" and cfg.cv_folds == 5
+    assert {"forest", "gbt", "rbf"} <= set(cfg.models) and not cfg.model_params
