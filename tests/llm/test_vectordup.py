@@ -104,3 +104,29 @@ def test_pairs_on_the_budget_are_found(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in V.groups(df, unit=16).collect()}
     assert got == {i: (1, i - i % 2) if i // 2 % 2 else (0, i) for i in range(120)}
+
+
+def test_rounds_leave_no_shuffle_and_no_link_out(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((6, 16))
+    rows = [(i, [float(x) for x in centres[i % 6] + (0.12 if i % 2 else 0.5) * rng.standard_normal(16)]) for i in range(240)]
+    df = spark.createDataFrame([*rows, (900, rows[0][1]), (901, None)], "vec_id long, embedding array<double>")
+    m = V.unit_length(np.array([r[1] for r in [*rows, (900, rows[0][1])]]))
+    near = m @ m.T >= V.COSINE
+    ids = [*range(240), 900]
+    monkeypatch.setattr(V, "DEALT", 0.0)
+    monkeypatch.setattr(V, "LEAST", 100)
+    jobs, made = [], V._rounds
+    monkeypatch.setattr(V, "_rounds", lambda *a: jobs.extend(made(*a)) or made(*a))
+    got = {r["doc_id"]: r["n_links"] for r in V.groups(df, unit=16).collect()}
+    assert got == {901: 0} | {i: int(n) - 1 for i, n in zip(ids, near.sum(axis=1))} and len(jobs) > 4
+    assert spark.conf.get(V.CLEANED, None) in (None, "false")
+
+
+def test_rounds_hold_every_unit_once():
+    sizes = [(0, 0, 5), (0, 1, 9), (1, 0, 3), (1, 1, 3), (1, 2, 50), (2, 0, 1)]
+    rounds = V._rounds(sizes[::-1], 10)
+    units = [(b, u) for r in rounds for b, (low, high) in r.items() for u in range(low, high + 1)]
+    assert sorted(units) == [s[:2] for s in sizes] and len(units) == len(set(units))
+    n = dict(((b, u), k) for b, u, k in sizes)
+    assert all(sum(n[b, u] for b, (low, high) in r.items() for u in range(low, high + 1)) <= 10 or len(r) == 1 for r in rounds)
